@@ -5,6 +5,7 @@ from __future__ import annotations
 # Importing a plan module registers its queries.
 from patronus.plans import customers  # noqa: F401
 from patronus.plans import dashboards  # noqa: F401
+from patronus.plans import revenue  # noqa: F401
 from patronus.plans.registry import ORACLE, QUERIES
 
 
