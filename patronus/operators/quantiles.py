@@ -6,26 +6,46 @@ order counts), unbounded for money columns.  Here the work is spread out:
 
 1. long form (metric, v) → ``groupBy(metric, v).count()``: a hot value
    collapses to one row in the map-side partial aggregate;
-2. coarse bucket boundaries from ``percentile_approx`` (a bounded sketch);
-3. bucket totals (≤ metrics × buckets rows) → prefix offsets;
-4. per-bucket running count over the distinct values (window partitioned by
-   (metric, bucket), so many tasks share it);
-5. the rows that hold the ranks floor(p·(n-1)) and the next one are joined
-   to the small target table and interpolated as ``lo + (hi - lo) * frac``
-   (the SQL ``quantile_cont`` formula).
-
-The result is one row per (metric, p).
+2. one small job returns, per metric, n and the number of distinct values
+   d; the bucket count is chosen so a bucket holds about ``per_bucket``
+   distinct values; only when more than one bucket is needed, a second
+   small job returns ``buckets - 1`` approximate quantile boundaries (a
+   bounded sketch, ≤ ``max_buckets`` doubles per metric);
+3. each distinct value finds its bucket by binary search (a balanced CASE
+   tree, O(log B) per value);
+4. bucket totals (≤ metrics × buckets rows) → prefix offsets;
+5. per-bucket running counts (window partitioned by (metric, bucket), so the
+   work spreads over many tasks) give each distinct value its rank range;
+6. one global aggregate picks the values at ranks floor(p·(n-1)) and the
+   next one and interpolates ``lo + (hi - lo) * frac`` (the SQL
+   ``quantile_cont`` formula).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    buckets: int = 1024, accuracy: int = 10000) -> DataFrame:
-    """Return (metric string, p double, q double) for every col × prob."""
+def _search(v: Column, splits: list[float], lo: int = 0) -> Column:
+    """Bucket index of v for sorted distinct splits (v < splits[0] → lo)."""
+    if not splits:
+        return F.lit(lo)
+    mid = len(splits) // 2
+    return F.when(v < F.lit(splits[mid]), _search(v, splits[:mid], lo)) \
+            .otherwise(_search(v, splits[mid + 1:], lo + mid + 1))
+
+
+def quantile_row(df: DataFrame, spec: dict[str, str], probs: list[float],
+                 names: dict[str, list[str]] | None = None,
+                 per_bucket: int = 2_000_000, max_buckets: int = 1024,
+                 accuracy: int = 10000) -> DataFrame:
+    """One-row frame with a column per (col, p), named ``names[col][i]``
+    (default ``{col}_p{i}``).  ``spec`` maps column name → metric tag."""
+    cols = list(spec)
+    names = names or {c: [f"{c}_p{i}" for i in range(len(probs))] for c in cols}
     long = (df.select(F.explode(F.array(*[
                 F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v"))
                 for c in cols])).alias("kv"))
@@ -33,59 +53,64 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
               .where(F.col("v").isNotNull()))
     vc = long.groupBy("metric", "v").agg(F.count(F.lit(1)).alias("c"))
 
-    fracs = [i / buckets for i in range(1, buckets)]
-    bounds = (vc.groupBy("metric")
-                .agg(F.percentile_approx("v", fracs, accuracy).alias("bounds"),
-                     F.sum("c").alias("n")))
-    # bounds has one row per metric: a size bound of len(cols) rows.
-    vb = (vc.join(F.broadcast(bounds), "metric")
-            .withColumn("b", F.size(F.filter("bounds", lambda x: x < F.col("v"))))
-            .drop("bounds"))
+    # ≤ len(cols) small rows: n and the number of distinct values d
+    summary = {r["metric"]: r.asDict() for r in
+               vc.groupBy("metric").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
+    nbs = {m: min(max_buckets, max(1, math.ceil(r["d"] / per_bucket))) for m, r in summary.items()}
+    if any(nb > 1 for nb in nbs.values()):
+        fracs = [i / max_buckets for i in range(1, max_buckets)]
+        # ≤ len(cols) rows of ≤ max_buckets doubles: a bounded driver result
+        for r in vc.groupBy("metric").agg(F.percentile_approx("v", fracs, accuracy).alias("bounds")).collect():
+            summary[r["metric"]]["bounds"] = r["bounds"]
+
+    bucket = None
+    for m, r in summary.items():
+        nb = nbs[m]
+        if nb == 1:
+            continue
+        step = max_buckets // nb
+        splits = sorted({float(r["bounds"][i * step - 1]) for i in range(1, nb)})
+        e = _search(F.col("v"), splits)
+        bucket = F.when(F.col("metric") == m, e) if bucket is None else bucket.when(F.col("metric") == m, e)
+    vb = vc.withColumn("b", bucket.otherwise(0) if bucket is not None else F.lit(0))
 
-    per_bucket = vb.groupBy("metric", "b").agg(F.sum("c").alias("bc"))
+    per_b = vb.groupBy("metric", "b").agg(F.sum("c").alias("bc"))
     w_off = (Window.partitionBy("metric").orderBy("b")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    offsets = per_bucket.withColumn("off", F.sum("bc").over(w_off) - F.col("bc")).drop("bc")
-
+    # ≤ metrics × buckets rows: a proven bound for the broadcast
+    offsets = per_b.withColumn("off", F.sum("bc").over(w_off) - F.col("bc")).drop("bc")
     w_in = (Window.partitionBy("metric", "b").orderBy("v")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = (vb.join(F.broadcast(offsets), ["metric", "b"])
                 .withColumn("end", F.col("off") + F.sum("c").over(w_in))
                 .withColumn("start", F.col("end") - F.col("c")))
 
-    spark = df.sparkSession
-    targets = spark.createDataFrame([(c, float(p)) for c in cols for p in probs],
-                                    "metric string, p double")
-    targets = (targets.join(F.broadcast(bounds.select("metric", "n")), "metric")
-                      .withColumn("pos", F.col("p") * (F.col("n") - 1))
-                      .withColumn("k", F.floor("pos"))
-                      .withColumn("frac", F.col("pos") - F.col("k"))
-                      .withColumn("k2", F.least(F.col("k") + 1, F.col("n") - 1)))
-    # rows holding rank k or k2: start <= rank < end
-    hit_lo = (ranked.join(F.broadcast(targets), "metric")
-                    .where((F.col("start") <= F.col("k")) & (F.col("k") < F.col("end")))
-                    .select("metric", "p", "frac", F.col("v").alias("lo")))
-    hit_hi = (ranked.join(F.broadcast(targets.select("metric", "p", "k2")), "metric")
-                    .where((F.col("start") <= F.col("k2")) & (F.col("k2") < F.col("end")))
-                    .select("metric", "p", F.col("v").alias("hi")))
-    return (hit_lo.join(hit_hi, ["metric", "p"])
-                  .select("metric", "p",
-                          F.when(F.col("frac") == 0, F.col("lo"))
-                           .otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac"))
-                           .alias("q")))
+    aggs, finals = [], []
+    for c in cols:
+        r = summary.get(c)
+        for p, nm in zip(probs, names[c]):
+            if r is None:
+                finals.append(F.lit(None).cast("double").alias(nm))
+                continue
+            n = int(r["n"])
+            pos = p * (n - 1)
+            k = math.floor(pos)
+            k2 = min(k + 1, n - 1)
+            frac = pos - k
+            is_m = F.col("metric") == c
+            lo = F.max(F.when(is_m & (F.col("start") <= k) & (F.col("end") > k), F.col("v")))
+            hi = F.max(F.when(is_m & (F.col("start") <= k2) & (F.col("end") > k2), F.col("v")))
+            aggs += [lo.alias(f"{nm}__lo"), hi.alias(f"{nm}__hi")]
+            lo_c, hi_c = F.col(f"{nm}__lo"), F.col(f"{nm}__hi")
+            finals.append((lo_c if frac == 0 else lo_c + (hi_c - lo_c) * F.lit(frac)).alias(nm))
+    return ranked.agg(*aggs).select(*finals) if aggs else df.sparkSession.range(1).select(*finals)
 
 
-def quantile_row(df: DataFrame, spec: dict[str, str], probs: list[float],
-                 names: dict[str, list[str]]) -> DataFrame:
-    """One-row frame with a named column per (col, p).
-
-    ``spec`` maps column → metric tag; ``names[col]`` gives output names in
-    ``probs`` order.
-    """
-    q = exact_quantiles(df, list(spec), probs)
-    aggs = []
-    for c in spec:
-        for p, nm in zip(probs, names[c]):
-            aggs.append(F.max(F.when((F.col("metric") == c) & (F.col("p") == p),
-                                     F.col("q"))).alias(nm))
-    return q.agg(*aggs)
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], **kw) -> DataFrame:
+    """Long form: (metric string, p double, q double) for every col × prob."""
+    names = {c: [f"q{i}_{j}" for j in range(len(probs))] for i, c in enumerate(cols)}
+    row = quantile_row(df, {c: c for c in cols}, probs, names, **kw)
+    items = [F.struct(F.lit(c).alias("metric"), F.lit(float(p)).alias("p"),
+                      F.col(names[c][j]).alias("q"))
+             for c in cols for j, p in enumerate(probs)]
+    return row.select(F.explode(F.array(*items)).alias("t")).select("t.*")

@@ -6,6 +6,7 @@ from __future__ import annotations
 from patronus.plans import customers  # noqa: F401
 from patronus.plans import dashboards  # noqa: F401
 from patronus.plans import revenue  # noqa: F401
+from patronus.plans import clusters  # noqa: F401
 from patronus.plans.registry import ORACLE, QUERIES
 
 
