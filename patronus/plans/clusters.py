@@ -66,10 +66,10 @@ def kmeans_ctes(k: int = K.K, iters: int = K.MAX_ITER) -> str:
     ctes.append("""cst AS (SELECT Cluster, avg(Monetary) AS am, avg(Recency) AS ar FROM asg GROUP BY Cluster)""")
     ctes.append("""crk AS (SELECT Cluster, am, ar, row_number() OVER (ORDER BY am DESC, Cluster) AS mrank FROM cst)""")
     L = C.CLUSTER_LABELS
-    ctes.append(f"""lab AS (SELECT Cluster, CASE WHEN mrank = 1 THEN '{L[0]}' WHEN mrank = 2 THEN '{L[1]}'
+    ctes.append(f"""clab AS (SELECT Cluster, CASE WHEN mrank = 1 THEN '{L[0]}' WHEN mrank = 2 THEN '{L[1]}'
         WHEN row_number() OVER (PARTITION BY mrank <= 2 ORDER BY ar, Cluster) = 1 THEN '{L[2]}'
         ELSE '{L[3]}' END AS ClusterLabel FROM crk)""")
-    ctes.append("crfm AS (SELECT asg.* EXCLUDE (z0, z1, z2), ClusterLabel FROM asg JOIN lab USING (Cluster))")
+    ctes.append("crfm AS (SELECT asg.* EXCLUDE (z0, z1, z2), ClusterLabel FROM asg JOIN clab USING (Cluster))")
     return ",\n".join(ctes)
 
 
