@@ -147,8 +147,13 @@ def score(base: DataFrame, stats: DataFrame | None = None) -> DataFrame:
 
 
 def customer_profiles(t: Tables) -> DataFrame:
-    """The full scored customer table (without clusters)."""
-    return score(customer_base(t))
+    """The full scored customer table (without clusters).
+
+    The customer base is read by the statistics jobs (counts, quantiles) and
+    by the scoring projection; it is written once to the shared checkpoint
+    folder so the lineitem ⋈ orders aggregation runs once, and later plans
+    start from a short lineage."""
+    return score(customer_base(t).checkpoint(eager=True))
 
 
 def score_inputs(requests: DataFrame, r: str = "recency", f: str = "frequency",
