@@ -51,34 +51,40 @@ def _balanced(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(w), "label")   # ≤ 2 rows
 
 
+def _cached_fit(estimator, d: DataFrame):
+    """MLlib persists its own (converted) input for iterative fits when the
+    frame is not cached, so the prepared frame is passed as it is."""
+    return estimator.fit(d)
+
+
 def fit_logreg(df: DataFrame, seed: int = C.SEED):
     d = _vec(_balanced(df))
     wsum = d.agg(F.sum("w")).first()[0]
     lr = LogisticRegression(maxIter=1200, regParam=1.0 / (0.8 * wsum), elasticNetParam=0.0,
-                            standardization=False, weightCol="w", labelCol="label", tol=1e-6)
-    return lr.fit(d)
+                            standardization=False, weightCol="w", labelCol="label", tol=1e-4)
+    return _cached_fit(lr, d)
 
 
 def fit_tree(df: DataFrame, seed: int = C.SEED):
-    return DecisionTreeClassifier(maxDepth=5, minInstancesPerNode=15, maxBins=64, seed=seed,
-                                  labelCol="label").fit(_vec(df))
+    return _cached_fit(DecisionTreeClassifier(maxDepth=5, minInstancesPerNode=15, maxBins=64, seed=seed,
+                                              labelCol="label"), _vec(df))
 
 
 def fit_forest(df: DataFrame, seed: int = C.SEED):
-    return RandomForestClassifier(numTrees=160, maxDepth=8, minInstancesPerNode=10,
-                                  featureSubsetStrategy="sqrt", maxBins=64, seed=seed,
-                                  labelCol="label").fit(_vec(df))
+    return _cached_fit(RandomForestClassifier(numTrees=160, maxDepth=8, minInstancesPerNode=10,
+                                              featureSubsetStrategy="sqrt", maxBins=64, seed=seed,
+                                              labelCol="label"), _vec(df))
 
 
 def fit_xgb_like(df: DataFrame, seed: int = C.SEED):
-    return GBTClassifier(maxIter=140, maxDepth=3, stepSize=0.05, subsamplingRate=0.8,
-                         featureSubsetStrategy="0.8", minInstancesPerNode=1, maxBins=64, seed=seed,
-                         labelCol="label").fit(_vec(df))
+    return _cached_fit(GBTClassifier(maxIter=140, maxDepth=3, stepSize=0.05, subsamplingRate=0.8,
+                                     featureSubsetStrategy="0.8", minInstancesPerNode=1, maxBins=64, seed=seed,
+                                     labelCol="label"), _vec(df))
 
 
 def fit_gbt(df: DataFrame, seed: int = C.SEED):
-    return GBTClassifier(maxIter=120, maxDepth=2, minInstancesPerNode=15, stepSize=0.04,
-                         subsamplingRate=0.85, maxBins=64, seed=seed, labelCol="label").fit(_vec(df))
+    return _cached_fit(GBTClassifier(maxIter=120, maxDepth=2, minInstancesPerNode=15, stepSize=0.04,
+                                     subsamplingRate=0.85, maxBins=64, seed=seed, labelCol="label"), _vec(df))
 
 
 class KnnModel:
