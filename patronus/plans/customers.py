@@ -89,7 +89,7 @@ oracle("customer_clv", with_base(f"SELECT CustomerID, {R('CLV', 2)} AS CLV FROM
 
 def _requests(spark, sf):
     """Score requests derived from the data: every customer's own R, F, M."""
-    base = rfm.customer_base(tables(spark, sf))
+    base = rfm.customer_base(tables(spark, sf)).checkpoint(eager=True)
     return base, base.select("CustomerID",
                              F.col("Recency").alias("recency"),
                              F.col("Frequency").alias("frequency"),

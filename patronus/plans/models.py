@@ -50,11 +50,20 @@ def q_smote(spark, sf):
     return out.select("CustomerID", "label", (F.col("CustomerID") < 0).alias("synthetic"), "x")
 
 
+_RUNS: dict = {}
+
+
 def full_run(spark, sf):
-    plans, use_smote = T.build_plans(training(spark, sf))
-    res = T.train_models(plans)
-    res.smote_applied = use_smote
-    return res
+    """The training run for a data directory, shared by the queries that
+    read its outputs (metrics, CV metrics, importances, explanation, saved
+    model) within one session; its frames are checkpointed files."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        plans, use_smote = T.build_plans(training(spark, sf))
+        res = T.train_models(plans)
+        res.smote_applied = use_smote
+        _RUNS[key] = res
+    return _RUNS[key]
 
 
 @query("model_metrics")
