@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from patronus import config as C
 from patronus.operators import metrics as M
 from patronus.operators.features import Prepared, fit_prep
+from patronus.operators.boosting import NewtonBoostModel, Tree
 from patronus.operators.models import FITTERS, KnnModel, importances, scorer_of
 from patronus.operators.smote import needs_smote, smote
 
@@ -149,14 +150,18 @@ def save_artifacts(result: TrainResult, root: str) -> str:
 def save_model(model, prep: Prepared, path: str, name: str) -> None:
     spark = prep.medians.sparkSession
     kind = type(model).__name__
+    extra = {}
     if isinstance(model, KnnModel):
         model.fit_rows.write.mode("overwrite").parquet(os.path.join(path, "knn_rows"))
+    elif isinstance(model, NewtonBoostModel):
+        extra = {"edges": model.edges, "base_margin": model.base_margin, "depth": model.depth,
+                 "trees": [[t.feature, t.threshold, t.leaf] for t in model.trees]}
     else:
         model.write().overwrite().save(os.path.join(path, "classifier"))
     for nm, df in (("medians", prep.medians), ("scaler", prep.scaler), ("mode", prep.mode),
                    ("onehot", prep.onehot)):
         df.write.mode("overwrite").parquet(os.path.join(path, nm))
-    meta = {"name": name, "kind": kind, "onehot_cols": prep.onehot_cols}
+    meta = {"name": name, "kind": kind, "onehot_cols": prep.onehot_cols, **extra}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
         .write.mode("overwrite").text(os.path.join(path, "meta"))
 
@@ -169,6 +174,9 @@ def load_model(spark: SparkSession, path: str):
                     meta["onehot_cols"])
     if meta["kind"] == "KnnModel":
         model = KnnModel(spark.read.parquet(os.path.join(path, "knn_rows")))
+    elif meta["kind"] == "NewtonBoostModel":
+        model = NewtonBoostModel(meta["edges"], meta["base_margin"], meta["depth"],
+                                 [Tree(*t) for t in meta["trees"]])
     else:
         model = getattr(mlc, meta["kind"]).load(os.path.join(path, "classifier"))
     return meta["name"], scorer_of(model), prep

@@ -38,7 +38,20 @@ def _single(name):
 
 
 for _q, _name in _MODEL_QUERIES.items():
-    query(_q)(_single(_name))
+    if _q != "model_newton_boost":
+        query(_q)(_single(_name))
+
+
+@query("model_newton_boost")
+def q_newton(spark, sf):
+    """M9d: the regularised Newton booster on the final plan (test rows)."""
+    from patronus.operators.models import fit_newton, scorer_of
+    plan = _final_plan(spark, sf)[0]
+    m = fit_newton(plan.fit)
+    te = dict(plan.evals)["test"]
+    return (scorer_of(m)(te).join(te.select("CustomerID", "label"), "CustomerID")
+            .select(F.lit("XGBoost (Newton)").alias("model"), F.lit("test").alias("split"),
+                    F.lit(-1).alias("fold"), "CustomerID", "label", "prediction", "score"))
 
 
 @query("smote_balance")

@@ -45,3 +45,23 @@ def test_json_document_sink(spark):
     write_json_document(spark.createDataFrame([("Random Forest", 62.07)], "best_model string, f1 double"), d)
     back = spark.read.json(d).first()
     assert back.best_model == "Random Forest" and back.f1 == 62.07
+
+
+def test_newton_boost_learns_and_round_trips(spark, sf_small):
+    from patronus.operators.boosting import fit_newton_boost
+    from patronus.operators import metrics as M
+    plans, _ = T.build_plans(training(spark, sf_small), cv=False)
+    plan = plans[0]
+    m = fit_newton_boost(plan.fit, rounds=5)
+    assert len(m.trees) == 5 and abs(sum(m.featureImportances.toArray()) - 1) < 1e-9
+    fx = plan.fit
+    p = m.scorer()(fx).join(fx.select("CustomerID", "label"), "CustomerID") \
+        .select(F.lit("nb").alias("model"), F.lit("train").alias("split"), F.lit(-1).alias("fold"),
+                "CustomerID", "label", "prediction", "score")
+    assert M.roc_auc(p).first().auc > 0.6
+    path = os.path.join(tempfile.mkdtemp(prefix="patronus-nb-"), "best")
+    T.save_model(m, plan.prep, path, "XGBoost (Newton)")
+    _, scorer, _ = T.load_model(spark, path)
+    a = {r.CustomerID: r.score for r in m.scorer()(fx).collect()}
+    b = {r.CustomerID: r.score for r in scorer(fx).collect()}
+    assert a == b
