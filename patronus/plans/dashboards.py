@@ -302,6 +302,21 @@ def q_export(spark, sf):
 oracle("export_customers", with_base(f"SELECT {_r2(D.EXPORT_COLUMNS, DOUBLES)} FROM rfm"))
 
 
+# A1 + A10: the customer table written by the CSV sink into the shared
+# checkpoint folder and scanned back with its declared schema
+@query("scan_rfm_csv")
+def q_scan_csv(spark, sf):
+    from patronus.session import scratch_path
+    from patronus.sources.files import read_export_csv
+    from patronus.sources.sinks import export_customers_csv
+    import uuid
+    path = export_customers_csv(_rfm(spark, sf), scratch_path(spark, f"export-{uuid.uuid4().hex}"))
+    return read_export_csv(spark, path)
+
+
+oracle("scan_rfm_csv", with_base(f"SELECT {_r2(D.EXPORT_COLUMNS, DOUBLES)} FROM rfm"))
+
+
 # C6
 @query("dedupe_rows")
 def q_dedupe(spark, sf):

@@ -23,6 +23,11 @@ RFM_SCHEMA = T.StructType([
     T.StructField("RFM_Score", I), T.StructField("CLV", D), T.StructField("Segment", S),
     T.StructField("Recommendation", S), T.StructField("ChurnRisk", S), T.StructField("ChurnScore", D),
     T.StructField("ClusterLabel", S)])
+EXPORT_SCHEMA = T.StructType([f for name in
+                              ["CustomerID", "Recency", "Frequency", "Monetary", "CLV", "ChurnRisk",
+                               "ChurnScore", "Segment", "RFM_Score", "Country", "AvgOrderValue",
+                               "UniqueProducts", "Recommendation"]
+                              for f in RFM_SCHEMA.fields if f.name == name])
 MONTHLY_SCHEMA = T.StructType([T.StructField("Month", S), T.StructField("Revenue", D)])
 PRODUCTS_SCHEMA = T.StructType([T.StructField("Product", S), T.StructField("Revenue", D)])
 COUNTRY_SCHEMA = T.StructType([T.StructField("Country", S), T.StructField("Revenue", D)])
@@ -54,6 +59,11 @@ def read_rfm_csv(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, RFM_SCHEMA)
 
 
+def read_export_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The 13-column customer export (A10's output) with its declared schema."""
+    return read_csv(spark, path, EXPORT_SCHEMA)
+
+
 def read_monthly_csv(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, MONTHLY_SCHEMA)
 
