@@ -19,8 +19,10 @@ class Tables:
     """Lazy accessors for the parquet tables under one directory."""
 
     def __init__(self, spark: SparkSession, root: str):
+        from patronus.session import checkpoint_dir
         self.spark = spark
         self.root = root
+        checkpoint_dir(spark)   # the cluster's shared folder; a private one only when unset
 
     def read(self, name: str, *cols: str) -> DataFrame:
         df = self.spark.read.parquet(os.path.join(self.root, f"{name}.parquet"))
