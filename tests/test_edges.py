@@ -154,3 +154,14 @@ def test_export_csv_sink(spark, tiny):
     path = K.export_customers_csv(tiny, d)
     back = spark.read.option("header", True).csv(path)
     assert back.columns == D.EXPORT_COLUMNS and back.count() == 5
+
+
+def test_forecast_document_reader(spark):
+    d = tempfile.mkdtemp(prefix="patronus-test-")
+    p = os.path.join(d, "forecast.json")
+    with open(p, "w") as f:
+        f.write('{"historical": [{"Month": "2011-11", "Revenue": 10.5}, {"Month": "2011-12", "Revenue": 7.0}], '
+                '"forecast": [{"Month": "2012-01", "Revenue": 8.25}]}')
+    rows = S.read_forecast_json(spark, p).orderBy("kind", "idx").collect()
+    assert [(r.kind, r.idx, r.Month, r.Revenue) for r in rows] == [
+        ("forecast", 0, "2012-01", 8.25), ("historical", 0, "2011-11", 10.5), ("historical", 1, "2011-12", 7.0)]
