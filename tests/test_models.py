@@ -65,3 +65,18 @@ def test_newton_boost_learns_and_round_trips(spark, sf_small):
     a = {r.CustomerID: r.score for r in m.scorer()(fx).collect()}
     b = {r.CustomerID: r.score for r in scorer(fx).collect()}
     assert a == b
+
+
+def test_artifacts_and_importance_choice(spark, sf_small):
+    from patronus.operators import compare as CMP
+    plans, _ = T.build_plans(training(spark, sf_small), cv=False)
+    res = T.train_models(plans, ["Decision Tree", "Random Forest"])
+    root = tempfile.mkdtemp(prefix="patronus-art-")
+    best = T.save_artifacts(res, root)
+    assert best in ("Decision Tree", "Random Forest")
+    for t in ("model_metrics", "feature_importance", "confusion_matrix", "roc_points"):
+        assert spark.read.parquet(os.path.join(root, t)).count() > 0
+    fi = CMP.feature_importance(res.importances).collect()
+    assert {r.model for r in fi} == {"Random Forest"}          # first in the importance order
+    assert [r.rank for r in fi] == list(range(1, len(fi) + 1))
+    assert abs(sum(r.importance for r in fi) - 1) < 1e-9
