@@ -25,9 +25,16 @@ _MODEL_QUERIES = {
 }
 
 
+_FINAL: dict = {}
+
+
 def _final_plan(spark, sf):
-    plans, _ = T.build_plans(training(spark, sf), cv=False)
-    return plans
+    """The prepared final plan (train → test) for a data directory, shared
+    by the single-model queries of one session (checkpointed files)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FINAL:
+        _FINAL[key], _ = T.build_plans(training(spark, sf), cv=False)
+    return _FINAL[key]
 
 
 def _single(name):
