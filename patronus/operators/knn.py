@@ -1,15 +1,21 @@
-"""Exact k-nearest-neighbour search (Euclidean) by blocks.
-
-Query rows and reference rows are hashed into blocks of at most
-``block_rows`` rows.  Every (query block, reference block) pair meets in one
-``cogroup`` task, where numpy computes the block's distance matrix in
-chunks and keeps only the k best reference rows per query row; a final
-``row_number`` per query row merges the k × (reference blocks) candidates.
-No pair of rows is ever materialised as a Spark row, and no side is
-broadcast.  The arithmetic cost is the exact method's n_query × n_ref × d.
-
-Ties in distance are broken by the reference id, so results do not depend
-on partitioning.
+"""Exact k-nearest-neighbour search (Euclidean) with slab pruning.
+
+Reference rows are cut into slabs along one coordinate (approximate
+quantile boundaries, ``Bucketizer``).  Because |Δ coordinate| ≤ distance,
+a point farther than r along the coordinate cannot be within r:
+
+1. round 1 searches each query's own slab and the two next to it, which
+   gives an upper bound r_k on its k-th distance (∞ if < k candidates);
+2. round 2 adds exactly the other slabs that intersect
+   [c − r_k, c + r_k] — so the result is exact, and in well-spread data
+   most queries never leave round 1.
+
+Inside a slab, query and reference rows are cut into hash chunks of at most
+``slab_rows`` rows (per-slab counts, a table of ≤ slabs rows), so a hot slab
+(many equal coordinates) is split over many tasks; each (slab, query chunk,
+reference chunk) group meets in one ``cogroup`` task where numpy keeps only
+the k best per query row.  A final ``row_number`` per query merges the
+candidates.  Ties in distance are broken by the reference id.
 """
 
 from __future__ import annotations
@@ -18,21 +24,25 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+MAX_SLABS = 4096
+
 
 def _local_topk(k: int, exclude_self: bool, chunk: int = 1024):
     def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"),
+                              "dist": pd.Series([], dtype="float64"), "rlabel": pd.Series([], dtype="int32")})
         if q.empty or r.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64"), "rlabel": pd.Series([], dtype="int32")})
+            return empty
         qx = np.vstack(q["qx"].to_numpy()).astype(np.float64)
         rx = np.vstack(r["rx"].to_numpy()).astype(np.float64)
         qid = q["qid"].to_numpy()
         rid = r["rid"].to_numpy()
         rl = r["rlabel"].to_numpy()
-        order = np.argsort(rid, kind="stable")   # tie-break by reference id
+        order = np.argsort(rid, kind="stable")
         rx, rid, rl = rx[order], rid[order], rl[order]
         r2 = (rx * rx).sum(1)
         out = []
@@ -42,44 +52,102 @@ def _local_topk(k: int, exclude_self: bool, chunk: int = 1024):
             if exclude_self:
                 d2[qid[s:s + chunk][:, None] == rid[None, :]] = np.inf
             kk = min(k, d2.shape[1])
-            idx = np.argpartition(d2, kk - 1, axis=1)[:, :kk] if kk < d2.shape[1] else \
-                np.tile(np.arange(d2.shape[1]), (len(a), 1))
-            rows = np.repeat(np.arange(len(a)), idx.shape[1])
-            cols = idx.ravel()
-            # exact distances for the kept candidates
+            # every candidate within a hair of the k-th squared distance, so
+            # ties and rounding of the expansion cannot drop a true neighbour
+            kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+            thr = kth * (1 + 1e-9) + 1e-12
+            rows, cols = np.nonzero((d2 <= thr[:, None]) & np.isfinite(d2))
             diff = a[rows] - rx[cols]
             dist = np.sqrt((diff * diff).sum(1))
-            keep = np.isfinite(d2[rows, cols])
-            out.append(pd.DataFrame({"qid": qid[s:s + chunk][rows][keep], "rid": rid[cols][keep],
-                                     "dist": dist[keep], "rlabel": rl[cols][keep].astype("int32")}))
-        return pd.concat(out, ignore_index=True)
+            # exact order: by row, distance, reference id; keep k per row
+            o = np.lexsort((rid[cols], dist, rows))
+            rows, cols, dist = rows[o], cols[o], dist[o]
+            first = np.searchsorted(rows, rows, side="left")
+            keep = (np.arange(len(rows)) - first) < k
+            rows, cols, dist = rows[keep], cols[keep], dist[keep]
+            out.append(pd.DataFrame({"qid": qid[s:s + chunk][rows], "rid": rid[cols],
+                                     "dist": dist, "rlabel": rl[cols].astype("int32")}))
+        return pd.concat(out, ignore_index=True) if out else empty
     return fn
 
 
+def _chunked_topk(qs: DataFrame, rs: DataFrame, k: int, exclude_self: bool, slab_rows: int) -> DataFrame:
+    """qs: (qid, qx, s) — a query row once per slab it must search;
+    rs: (rid, rx, rlabel, s).  Returns candidate (qid, rid, dist, rlabel)."""
+    qn = qs.groupBy("s").agg(F.count(F.lit(1)).alias("nq"))
+    rn = rs.groupBy("s").agg(F.count(F.lit(1)).alias("nr"))
+    # ≤ number of slabs rows
+    ch = (qn.join(rn, "s")
+            .select("s", F.greatest(F.lit(1), F.ceil(F.col("nq") / slab_rows)).cast("int").alias("qc_n"),
+                    F.greatest(F.lit(1), F.ceil(F.col("nr") / slab_rows)).cast("int").alias("rc_n")))
+    ch = F.broadcast(ch)
+    qrep = (qs.join(ch, "s")
+              .withColumn("qc", F.pmod(F.xxhash64("qid"), F.col("qc_n")).cast("int"))
+              .withColumn("rc", F.explode(F.sequence(F.lit(0), F.col("rc_n") - 1))))
+    rrep = (rs.join(ch, "s")
+              .withColumn("rc", F.pmod(F.xxhash64("rid"), F.col("rc_n")).cast("int"))
+              .withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("qc_n") - 1))))
+    return (qrep.select("s", "qc", "rc", "qid", "qx").groupBy("s", "qc", "rc")
+                .cogroup(rrep.select("s", "qc", "rc", "rid", "rx", "rlabel").groupBy("s", "qc", "rc"))
+                .applyInPandas(_local_topk(k, exclude_self),
+                               schema="qid long, rid long, dist double, rlabel int"))
+
+
+def _best(cands: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("qid").orderBy("dist", "rid")
+    return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def knn(query: DataFrame, ref: DataFrame, k: int, qid: str, rid: str, vec: str = "x",
-        rlabel: str = "label", block_rows: int = 4096, exclude_self: bool = False) -> DataFrame:
+        rlabel: str = "label", slab_rows: int = 4096, exclude_self: bool = False,
+        coord: int = 0) -> DataFrame:
     """(qid, rid, dist, rlabel, rank) — the k nearest ref rows per query row.
 
     ``vec`` is an array<double> column present in both frames."""
-    nq = query.count()
-    nr = ref.count()
-    bq = max(1, math.ceil(nq / block_rows))
-    br = max(1, math.ceil(nr / block_rows))
-    q = query.select(F.col(qid).cast("long").alias("qid"), F.col(vec).alias("qx")) \
-             .withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(bq)))
+    q = query.select(F.col(qid).cast("long").alias("qid"), F.col(vec).alias("qx"))
     r = ref.select(F.col(rid).cast("long").alias("rid"), F.col(vec).alias("rx"),
-                   F.col(rlabel).cast("int").alias("rlabel")) \
-           .withColumn("rb", F.pmod(F.xxhash64("rid"), F.lit(br)))
-    qrep = q.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))) \
-            .withColumn("pair", F.col("qb") * br + F.col("rb"))
-    rrep = r.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))) \
-            .withColumn("pair", F.col("qb") * br + F.col("rb"))
-    cand = (qrep.select("pair", "qid", "qx").groupBy("pair")
-                .cogroup(rrep.select("pair", "rid", "rx", "rlabel").groupBy("pair"))
-                .applyInPandas(_local_topk(k, exclude_self),
-                               schema="qid long, rid long, dist double, rlabel int"))
-    w = Window.partitionBy("qid").orderBy("dist", "rid")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                   F.col(rlabel).cast("int").alias("rlabel"))
+    nr = r.count()
+    nslab = max(1, min(MAX_SLABS, math.ceil(nr / slab_rows)))
+    if nslab > 1:
+        fr = [i / nslab for i in range(1, nslab)]
+        # ≤ MAX_SLABS − 1 boundaries: bounded by the parameter
+        b = r.agg(F.percentile_approx(F.col("rx")[coord], fr, 10000)).first()[0] or []
+        bounds = sorted(set(float(v) for v in b))
+    else:
+        bounds = []
+    splits = [-math.inf] + bounds + [math.inf]
+    last = len(splits) - 2
+
+    def slab_of(df: DataFrame, col: str, out: str) -> DataFrame:
+        if not bounds:
+            return df.withColumn(out, F.lit(0))
+        bz = Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep")
+        return bz.transform(df).withColumn(out, F.least(F.col(out).cast("int"), F.lit(last)))
+
+    rs = slab_of(r.withColumn("_c", F.col("rx")[coord]), "_c", "s").drop("_c")
+    qc = slab_of(q.withColumn("_c", F.col("qx")[coord]), "_c", "home")
+
+    # round 1: own slab and its neighbours
+    near = F.filter(F.array(F.col("home") - 1, F.col("home"), F.col("home") + 1),
+                    lambda s: (s >= 0) & (s <= last))
+    q1 = qc.select("qid", "qx", F.explode(near).alias("s"))
+    c1 = _best(_chunked_topk(q1, rs, k, exclude_self, slab_rows), k).checkpoint(eager=True)
+    if last == 0:
+        return c1
+
+    # round 2: every further slab that intersects [c − r_k, c + r_k]
+    rk = c1.groupBy("qid").agg(F.max("dist").alias("rk"), F.count(F.lit(1)).alias("got"))
+    q2 = (qc.join(rk, "qid", "left")
+            .withColumn("rad", F.when(F.col("got") >= k, F.col("rk")).otherwise(F.lit(math.inf)))
+            .withColumn("_lo", F.col("qx")[coord] - F.col("rad"))
+            .withColumn("_hi", F.col("qx")[coord] + F.col("rad")))
+    q2 = slab_of(slab_of(q2, "_lo", "lo_s"), "_hi", "hi_s")
+    far = F.filter(F.sequence(F.col("lo_s"), F.col("hi_s")),
+                   lambda s: (s < F.col("home") - 1) | (s > F.col("home") + 1))
+    q2 = q2.select("qid", "qx", F.explode(far).alias("s"))
+    c2 = _chunked_topk(q2, rs, k, exclude_self, slab_rows)
+    return _best(c1.drop("rank").unionByName(c2), k)
 
 
 def knn_vote(neighbours: DataFrame) -> DataFrame:

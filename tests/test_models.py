@@ -4,6 +4,9 @@ load round trip and score the same; k-NN votes follow the distance rule."""
 import os
 import tempfile
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
 from patronus.operators import training as T
@@ -32,7 +35,7 @@ def test_knn_exact_and_zero_distance_vote(spark):
     ref = spark.createDataFrame([(1, [0.0, 0.0], 1), (2, [3.0, 0.0], 0), (3, [0.0, 4.0], 0), (4, [10.0, 10.0], 1)],
                                 "id long, x array<double>, label int")
     q = spark.createDataFrame([(10, [0.0, 0.0]), (11, [2.0, 0.0])], "id long, x array<double>")
-    nn = knn(q, ref, 2, "id", "id", block_rows=2).orderBy("qid", "rank").collect()
+    nn = knn(q, ref, 2, "id", "id", slab_rows=2).orderBy("qid", "rank").collect()
     assert [(r.qid, r.rid) for r in nn] == [(10, 1), (10, 2), (11, 2), (11, 1)]
     votes = {r.qid: (r.score, r.prediction) for r in knn_vote(knn(q, ref, 2, "id", "id")).collect()}
     assert votes[10] == (1.0, 1)                      # the zero-distance neighbour decides
@@ -80,3 +83,24 @@ def test_artifacts_and_importance_choice(spark, sf_small):
     assert {r.model for r in fi} == {"Random Forest"}          # first in the importance order
     assert [r.rank for r in fi] == list(range(1, len(fi) + 1))
     assert abs(sum(r.importance for r in fi) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("slab_rows,exclude_self", [(10**6, False), (37, False), (11, True)])
+def test_knn_matches_brute_force(spark, slab_rows, exclude_self):
+    rng = np.random.default_rng(7)
+    n, d, k = 400, 5, 6
+    x = rng.normal(size=(n, d))
+    x[:120, 0] = 0.25                        # a hot coordinate value: one big slab
+    x[200:210] = x[210:220]                  # exact duplicates (distance ties)
+    y = rng.integers(0, 2, n)
+    ref = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(n)],
+                                "id long, x array<double>, label int")
+    got = knn(ref, ref, k, "id", "id", slab_rows=slab_rows, exclude_self=exclude_self) \
+        .select("qid", "rid", "rank").toPandas()
+    dist = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    if exclude_self:
+        np.fill_diagonal(dist, np.inf)
+    for q in range(n):
+        order = sorted(range(n), key=lambda j: (dist[q, j], j))[:k]
+        mine = got[got.qid == q].sort_values("rank").rid.tolist()
+        assert mine == order, q
