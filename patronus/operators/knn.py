@@ -99,7 +99,7 @@ def _best(cands: DataFrame, k: int) -> DataFrame:
 
 
 def knn(query: DataFrame, ref: DataFrame, k: int, qid: str, rid: str, vec: str = "x",
-        rlabel: str = "label", slab_rows: int = 4096, exclude_self: bool = False,
+        rlabel: str = "label", slab_rows: int = 16384, exclude_self: bool = False,
         coord: int = 0) -> DataFrame:
     """(qid, rid, dist, rlabel, rank) — the k nearest ref rows per query row.
 
