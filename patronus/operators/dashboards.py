@@ -20,7 +20,6 @@ EXPORT_COLUMNS = ["CustomerID", "Recency", "Frequency", "Monetary", "CLV", "Chur
                   "UniqueProducts", "Recommendation"]
 HIGH_RISK_COLUMNS = ["CustomerID", "Recency", "Frequency", "Monetary", "CLV", "ChurnScore",
                      "Segment", "Country", "Recommendation"]
-ROUNDED = {"Monetary", "CLV", "ChurnScore", "AvgOrderValue"}
 
 
 def round_cols(df: DataFrame, cols: list[str], scale: int = 2) -> DataFrame:

@@ -31,9 +31,6 @@ from patronus.operators.boosting import NewtonBoostModel, Tree
 from patronus.operators.models import FITTERS, KnnModel, importances, scorer_of
 from patronus.operators.smote import needs_smote, smote
 
-PRED_COLS = ["model", "split", "fold", "CustomerID", "label", "prediction", "score"]
-
-
 @dataclass
 class Plan:
     name: str

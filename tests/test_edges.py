@@ -6,7 +6,6 @@ import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from patronus.operators import dashboards as D
 from patronus.operators import metrics as M
