@@ -255,6 +255,24 @@ def customers_page(rfm: DataFrame, page: int = 1, per_page: int = 20, search: st
     return round_cols(rows, EXPORT_COLUMNS)
 
 
+def customers_page_after(rfm: DataFrame, after: tuple | None, per_page: int = 20, search: str = "",
+                         segment: str = "", churn: str = "", sort: str = "Monetary",
+                         direction: str = "desc") -> DataFrame:
+    """Keyset page: the ``per_page`` rows that follow ``after`` = (sort value,
+    CustomerID) of the previous page's last row in the same order.  The cost
+    does not grow with the page number (no offset to skip)."""
+    df = filter_customers(rfm, search, segment, churn)
+    col = sort if sort in df.columns else "Monetary"
+    desc = direction != "asc" if sort in df.columns else True
+    if after is not None:
+        v, last_id = after
+        c, i = F.col(col), F.col("CustomerID")
+        beyond = (c < F.lit(v)) if desc else (c > F.lit(v))
+        df = df.where(beyond | ((c == F.lit(v)) & (i > F.lit(last_id))))
+    rows = df.orderBy(*sort_spec(df, sort, direction)).limit(per_page)
+    return round_cols(rows, EXPORT_COLUMNS)
+
+
 def customers_page_info(rfm: DataFrame, page: int = 1, per_page: int = 20, search: str = "",
                         segment: str = "", churn: str = "") -> DataFrame:
     df = filter_customers(rfm, search, segment, churn)

@@ -164,3 +164,16 @@ def test_forecast_document_reader(spark):
     rows = S.read_forecast_json(spark, p).orderBy("kind", "idx").collect()
     assert [(r.kind, r.idx, r.Month, r.Revenue) for r in rows] == [
         ("forecast", 0, "2012-01", 8.25), ("historical", 0, "2011-11", 10.5), ("historical", 1, "2011-12", 7.0)]
+
+
+def test_keyset_pages_equal_offset_pages(spark, tiny):
+    seen, after = [], None
+    for page in range(1, 4):
+        by_offset = [r.CustomerID for r in D.customers_page(tiny, page=page, per_page=2, sort="Recency",
+                                                           direction="desc").collect()]
+        rows = D.customers_page_after(tiny, after, per_page=2, sort="Recency", direction="desc").collect()
+        assert [r.CustomerID for r in rows] == by_offset
+        if rows:
+            after = (rows[-1].Recency, rows[-1].CustomerID)
+        seen += by_offset
+    assert sorted(seen) == [1, 2, 3, 12, 112]
