@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from patronus import config as C
 from patronus.functions.keyed import keyed_hex
 from patronus.functions.numeric import exact_mean, pct, rnd
+from patronus.functions.text import fill
 
 EXPORT_COLUMNS = ["CustomerID", "Recency", "Frequency", "Monetary", "CLV", "ChurnRisk",
                   "ChurnScore", "Segment", "RFM_Score", "Country", "AvgOrderValue",
@@ -179,46 +180,48 @@ def insight_metrics(rfm: DataFrame) -> DataFrame:
         "top_segment", "top_segment_count")
 
 
-# --- fixed values: insight card texts (type, icon, action, page and wording) ---
-_FORECAST_TITLE = "Revenue Forecasting Available"
-_FORECAST_BODY = ("ML-powered 6-month revenue forecast generated using historical trend analysis. "
-                  "Review projected revenue trajectory.")
-
-
-def _thousands(c: Column) -> Column:
-    return F.format_number(c, 0)
+# --- fixed values: insight cards (type, icon, title, body, action, page), in order ---
+INSIGHT_CARDS = [
+    ("warning", "⚠️", "{churn_rate}% Customers at High Churn Risk",
+     "{high_churn_count} customers show high churn signals. Estimated revenue at risk: £{revenue_at_risk}. "
+     "Immediate win-back campaigns recommended.",
+     "View Churn Analysis", "churn"),
+    ("success", "🏆", "Champions Segment Driving {champions_revenue_share}% Revenue",
+     "{champions_count} Champions customers have an avg CLV of £{avg_clv_champions}. "
+     "Focus on retention and upsell.",
+     "Explore Segments", "segments"),
+    ("info", "📈", "Revenue Forecasting Available",
+     "ML-powered 6-month revenue forecast generated using historical trend analysis. "
+     "Review projected revenue trajectory.",
+     "View Forecast", "forecast"),
+    ("info", "🎯", "Top Segment: {top_segment}",
+     "{top_segment_count} customers classified as {top_segment}. "
+     "Target them with tailored engagement strategies.",
+     "View Customers", "customers"),
+]
+
+
+def insight_values() -> dict[str, Column]:
+    """How each metric appears in the card text (thousands separators etc.)."""
+    return {"churn_rate": F.col("churn_rate").cast("string"),
+            "high_churn_count": F.format_number(F.col("high_churn_count"), 0),
+            "revenue_at_risk": F.format_number(F.col("revenue_at_risk"), 0),
+            "champions_revenue_share": F.col("champions_revenue_share").cast("string"),
+            "champions_count": F.format_number(F.col("champions_count"), 0),
+            "avg_clv_champions": F.format_number(F.col("avg_clv_champions"), 2),
+            "top_segment": F.col("top_segment"),
+            "top_segment_count": F.format_number(F.col("top_segment_count"), 0)}
 
 
 def insight_rows(metrics: DataFrame) -> DataFrame:
     """The four insight cards as rows, built from the 1-row metrics."""
-    m = metrics
-    cards = F.array(
-        F.struct(F.lit(1).alias("idx"), F.lit("warning").alias("type"), F.lit("⚠️").alias("icon"),
-                 F.concat(F.col("churn_rate").cast("string"), F.lit("% Customers at High Churn Risk")).alias("title"),
-                 F.concat(_thousands(F.col("high_churn_count")),
-                          F.lit(" customers show high churn signals. Estimated revenue at risk: £"),
-                          _thousands(F.col("revenue_at_risk")),
-                          F.lit(". Immediate win-back campaigns recommended.")).alias("body"),
-                 F.lit("View Churn Analysis").alias("action"), F.lit("churn").alias("page")),
-        F.struct(F.lit(2).alias("idx"), F.lit("success").alias("type"), F.lit("🏆").alias("icon"),
-                 F.concat(F.lit("Champions Segment Driving "), F.col("champions_revenue_share").cast("string"),
-                          F.lit("% Revenue")).alias("title"),
-                 F.concat(_thousands(F.col("champions_count")),
-                          F.lit(" Champions customers have an avg CLV of £"),
-                          F.format_number(F.col("avg_clv_champions"), 2),
-                          F.lit(". Focus on retention and upsell.")).alias("body"),
-                 F.lit("Explore Segments").alias("action"), F.lit("segments").alias("page")),
-        F.struct(F.lit(3).alias("idx"), F.lit("info").alias("type"), F.lit("📈").alias("icon"),
-                 F.lit(_FORECAST_TITLE).alias("title"), F.lit(_FORECAST_BODY).alias("body"),
-                 F.lit("View Forecast").alias("action"), F.lit("forecast").alias("page")),
-        F.struct(F.lit(4).alias("idx"), F.lit("info").alias("type"), F.lit("🎯").alias("icon"),
-                 F.concat(F.lit("Top Segment: "), F.col("top_segment")).alias("title"),
-                 F.concat(_thousands(F.col("top_segment_count")), F.lit(" customers classified as "),
-                          F.col("top_segment"),
-                          F.lit(". Target them with tailored engagement strategies.")).alias("body"),
-                 F.lit("View Customers").alias("action"), F.lit("customers").alias("page")),
-    )
-    return m.select(F.explode(cards).alias("c")).select("c.*")
+    vals = insight_values()
+    cards = F.array(*[
+        F.struct(F.lit(i + 1).alias("idx"), F.lit(t).alias("type"), F.lit(icon).alias("icon"),
+                 fill(title, vals).alias("title"), fill(body, vals).alias("body"),
+                 F.lit(action).alias("action"), F.lit(page).alias("page"))
+        for i, (t, icon, title, body, action, page) in enumerate(INSIGHT_CARDS)])
+    return metrics.select(F.explode(cards).alias("c")).select("c.*")
 
 
 # --- customers page: C2–C5, C8, L3 --------------------------------------------------------------

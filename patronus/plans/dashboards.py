@@ -5,6 +5,7 @@ from __future__ import annotations
 from patronus.operators import dashboards as D
 from patronus.operators import rfm
 from patronus.plans.registry import oracle, query
+from patronus.functions.text import sql_fill
 from patronus.plans.sqlbits import MEAN, R, with_base
 from patronus.sources.tables import tables
 
@@ -196,26 +197,21 @@ def q_insight_rows(spark, sf):
     return D.insight_rows(D.insight_metrics(_rfm(spark, sf)))
 
 
-oracle("insight_rows", with_base("""
-SELECT 1 AS idx, 'warning' AS type, '⚠️' AS icon,
-       CAST(churn_rate AS VARCHAR) || '% Customers at High Churn Risk' AS title,
-       format('{:,}', high_churn_count) || ' customers show high churn signals. Estimated revenue at risk: £'
-         || format('{:,.0f}', revenue_at_risk) || '. Immediate win-back campaigns recommended.' AS body,
-       'View Churn Analysis' AS action, 'churn' AS page FROM im
-UNION ALL
-SELECT 2, 'success', '🏆', 'Champions Segment Driving ' || CAST(champions_revenue_share AS VARCHAR) || '% Revenue',
-       format('{:,}', champions_count) || ' Champions customers have an avg CLV of £'
-         || format('{:,.2f}', avg_clv_champions) || '. Focus on retention and upsell.',
-       'Explore Segments', 'segments' FROM im
-UNION ALL
-SELECT 3, 'info', '📈', 'Revenue Forecasting Available',
-       'ML-powered 6-month revenue forecast generated using historical trend analysis. Review projected revenue trajectory.',
-       'View Forecast', 'forecast' FROM im
-UNION ALL
-SELECT 4, 'info', '🎯', 'Top Segment: ' || top_segment,
-       format('{:,}', top_segment_count) || ' customers classified as ' || top_segment
-         || '. Target them with tailored engagement strategies.',
-       'View Customers', 'customers' FROM im""", _INSIGHT_CTE))
+_INSIGHT_SQL_VALUES = {
+    "churn_rate": "CAST(churn_rate AS VARCHAR)",
+    "high_churn_count": "format('{:,}', high_churn_count)",
+    "revenue_at_risk": "format('{:,.0f}', revenue_at_risk)",
+    "champions_revenue_share": "CAST(champions_revenue_share AS VARCHAR)",
+    "champions_count": "format('{:,}', champions_count)",
+    "avg_clv_champions": "format('{:,.2f}', avg_clv_champions)",
+    "top_segment": "top_segment",
+    "top_segment_count": "format('{:,}', top_segment_count)",
+}
+oracle("insight_rows", with_base("\nUNION ALL\n".join(
+    f"SELECT {i + 1} AS idx, '{t}' AS type, '{icon}' AS icon, "
+    f"{sql_fill(title, _INSIGHT_SQL_VALUES)} AS title, {sql_fill(body, _INSIGHT_SQL_VALUES)} AS body, "
+    f"'{action}' AS action, '{page}' AS page FROM im"
+    for i, (t, icon, title, body, action, page) in enumerate(D.INSIGHT_CARDS)), _INSIGHT_CTE))
 
 
 # C2

@@ -20,6 +20,7 @@ from patronus.operators import metrics as M
 from patronus.operators import prep as P
 from patronus.operators import rfm
 from patronus.plans.registry import oracle, query
+from patronus.functions.text import sql_fill
 from patronus.plans.sqlbits import R, with_base
 from patronus.plans.training import TRAIN_INTERCEPT, labeled_sql, split_sql
 from patronus.sources.tables import tables
@@ -247,22 +248,21 @@ def _fmt_sql(x: str, d: int) -> str:
     return f"format('{{:.{d}f}}', {R(x, d)})"
 
 
+_EXPL_VALUES = {
+    "best_model": "best_model", "f1_1": _fmt_sql("best_model_f1", 1),
+    "reasons": f"CASE WHEN len(parts) > 0 THEN array_to_string(parts, '; ') ELSE '{CMP.DEFAULT_REASON}' END",
+    "threshold": "'8'", "overfit_models": "overfit_models", "prefer": "coalesce(first_clean, best_model)",
+    "recall_0": _fmt_sql("b_rec", 0), "recall_1": _fmt_sql("b_rec", 1), "precision_0": _fmt_sql("b_prec", 0),
+    "false_alarms_0": _fmt_sql("100 - b_prec", 0), "auc_1": _fmt_sql("best_model_auc", 1),
+    "acc_min_1": _fmt_sql("accuracy_min", 1), "acc_max_1": _fmt_sql("accuracy_max", 1)}
 _EXPL_SQL = f"""
 SELECT best_model, best_model_f1, best_model_auc, highest_auc_model, highest_auc,
        overfit_models, clean_models, accuracy_min, accuracy_max,
-       best_model || ' achieved the highest F1 score (' || {_fmt_sql('best_model_f1', 1)} || '%) because '
-         || CASE WHEN len(parts) > 0 THEN array_to_string(parts, '; ') ELSE '{CMP.DEFAULT_REASON}' END || '.'
-         AS why_best_performed,
-       CASE WHEN overfit_models <> '' THEN overfit_models || ' show signs of overfitting — their generalization gap exceeds 8 percentage points. This means they memorised training patterns instead of learning generalisable rules. For production use, prefer ' || coalesce(first_clean, best_model) || ' which has a smaller gap.'
-            ELSE 'No model shows significant overfitting — the generalization gap stays within 8 percentage points for all models.' END AS overfitting_analysis,
-       'The ' || best_model || ' model correctly identifies ' || {_fmt_sql('b_rec', 0)} || '% of customers who will churn (Recall = '
-         || {_fmt_sql('b_rec', 1)} || '%). Of all customers flagged as churners, ' || {_fmt_sql('b_prec', 0)}
-         || '% are genuine at-risk customers (' || {_fmt_sql('100 - b_prec', 0)} || '% are false alarms). With an AUC of '
-         || {_fmt_sql('best_model_auc', 1)} || '%, the model performs significantly better than random guessing (50%). In practical terms, marketing teams can prioritise retention campaigns for flagged customers and expect a meaningful uplift in churn prevention.'
-         AS business_interpretation,
-       'Model accuracies range from ' || {_fmt_sql('accuracy_min', 1)} || '% to ' || {_fmt_sql('accuracy_max', 1)}
-         || '%, which is realistic for a churn prediction problem with noisy real-world labels. Perfect accuracy (100%) would indicate data leakage — this pipeline has been verified to have none.'
-         AS accuracy_range_note
+       {sql_fill(CMP.WHY_TEMPLATE, _EXPL_VALUES)} AS why_best_performed,
+       CASE WHEN overfit_models <> '' THEN {sql_fill(CMP.OVERFIT_TEMPLATE, _EXPL_VALUES)}
+            ELSE {sql_fill(CMP.NO_OVERFIT_TEMPLATE, _EXPL_VALUES)} END AS overfitting_analysis,
+       {sql_fill(CMP.BUSINESS_TEMPLATE, _EXPL_VALUES)} AS business_interpretation,
+       {sql_fill(CMP.RANGE_TEMPLATE, _EXPL_VALUES)} AS accuracy_range_note
 FROM (
   SELECT b.model AS best_model, b.f1 AS best_model_f1, b.auc AS best_model_auc, b.recall AS b_rec, b.precision AS b_prec,
          h.model AS highest_auc_model, h.auc AS highest_auc,
