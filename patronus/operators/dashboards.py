@@ -142,6 +142,21 @@ def overview_kpis(rfm: DataFrame) -> DataFrame:
                     pct(t - h, t, 1).alias("retention_rate"))
 
 
+def stats_summary(rfm: DataFrame) -> DataFrame:
+    """The statistics document's scalars (one row)."""
+    return overview_kpis(rfm).drop("churn_rate", "retention_rate")
+
+
+def stats_document(rfm: DataFrame) -> DataFrame:
+    """B16 with the three count maps (segment, churn, cluster) as
+    map<string, bigint> columns; the maps come from one small grouped pass."""
+    counts = count_maps(rfm, with_clusters="ClusterLabel" in rfm.columns)
+    maps = counts.groupBy().agg(*[
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("key", "Count")))))
+         .alias(f"{k}_counts") for k in ("segment", "churn", "cluster")])
+    return stats_summary(rfm).crossJoin(maps)
+
+
 def count_maps(rfm: DataFrame, with_clusters: bool = False) -> DataFrame:
     """Segment / churn (/ cluster) counts as one long table in a single pass."""
     kinds = [F.struct(F.lit("segment").alias("kind"), F.col("Segment").alias("key")),

@@ -150,6 +150,20 @@ FROM (SELECT count(*) AS total_customers,
       FROM rfm)"""))
 
 
+# B16
+@query("stats_summary")
+def q_stats_summary(spark, sf):
+    return D.stats_summary(_rfm(spark, sf))
+
+
+oracle("stats_summary", with_base(f"""
+SELECT count(*) AS total_customers, {R('CAST(sum(CAST(Monetary AS DECIMAL(38,6))) AS DOUBLE)', 2)} AS total_revenue,
+       {R(MEAN('CLV'), 2)} AS avg_clv, {R(MEAN('AvgOrderValue'), 2)} AS avg_order_value,
+       count(*) FILTER (WHERE ChurnRisk = 'High') AS high_churn_count,
+       count(*) FILTER (WHERE Segment = 'Champions') AS champions_count
+FROM rfm"""))
+
+
 # E10
 @query("count_maps")
 def q_count_maps(spark, sf):

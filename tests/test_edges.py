@@ -6,6 +6,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from patronus.operators import dashboards as D
 from patronus.operators import metrics as M
@@ -177,3 +178,11 @@ def test_keyset_pages_equal_offset_pages(spark, tiny):
             after = (rows[-1].Recency, rows[-1].CustomerID)
         seen += by_offset
     assert sorted(seen) == [1, 2, 3, 12, 112]
+
+
+def test_stats_document_maps(spark, tiny):
+    doc = D.stats_document(tiny.withColumn("ClusterLabel", F.lit("VIP"))).first()
+    assert doc.total_customers == 5 and doc.high_churn_count == 3 and doc.champions_count == 1
+    assert doc.segment_counts == {"At Risk": 2, "Champions": 1, "Lost": 1}
+    assert doc.churn_counts == {"High": 3, "Low": 1, "Medium": 1}
+    assert doc.cluster_counts == {"VIP": 5}
