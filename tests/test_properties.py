@@ -116,3 +116,19 @@ def test_metrics_partition_invariant(preds):
     b = M.classification_metrics(preds.repartition(1)).toPandas().sort_values(["model", "split", "fold"]) \
         .reset_index(drop=True)
     assert a.equals(b)
+
+
+def test_profiles_invariant_to_shuffle_partitions(spark, sf_small):
+    from patronus.operators import dashboards as D
+    out = []
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            prof = rfm.customer_profiles(tables(spark, sf_small))
+            out.append((sorted(map(tuple, prof.select("CustomerID", "RFM_Score", "CLV", "Segment").collect())),
+                        sorted(map(tuple, D.segment_summary(prof).collect()))))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert out[0] == out[1]
