@@ -125,15 +125,15 @@ def q_evaluate_saved(spark, sf):
 
 @query("score_customers_model")
 def q_score_model(spark, sf):
-    """Score every customer with a trained model: P(churn) and risk."""
-    plans = _final_plan(spark, sf)
-    res = T.train_models(plans, ["Random Forest"])
-    model, plan = res.models["Random Forest"]
+    """Score every customer with the best model of the training run
+    (by F1, as the saved model): P(churn) and the probability risk band."""
     from patronus.operators.models import scorer_of
-    fr = training(spark, sf)
-    x = plan.prep.transform(fr)
+    res = full_run(spark, sf)
+    best = T.best_model_name(res.metrics)
+    model, plan = res.models[best]
+    x = plan.prep.transform(training(spark, sf))
     s = scorer_of(model)(x)
     return s.select("CustomerID", F.round("score", 6).alias("churn_probability"),
                     F.when(F.col("score") > C.PROB_HIGH, "High").when(F.col("score") > C.PROB_MEDIUM, "Medium")
                      .otherwise("Low").alias("churn_risk"),
-                    F.lit("Random Forest").alias("model_used"))
+                    F.lit(best).alias("model_used"))
