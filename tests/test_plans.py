@@ -51,3 +51,14 @@ def test_keyed_sample_is_take_ordered(spark, t):
     base = rfm.customer_base(t)
     p = _plan(D.keyed_sample(base, 50))
     assert "TakeOrderedAndProject" in p
+
+
+def test_statistics_row_is_broadcast(spark, sf_small):
+    base = rfm.customer_base(tables(spark, sf_small))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = _plan(rfm.score(base))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "BroadcastNestedLoopJoin" in p
+    assert "CartesianProduct" not in p
