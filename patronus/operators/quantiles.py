@@ -51,7 +51,9 @@ def quantile_row(df: DataFrame, spec: dict[str, str], probs: list[float],
                 for c in cols])).alias("kv"))
               .select("kv.metric", "kv.v")
               .where(F.col("v").isNotNull()))
-    vc = long.groupBy("metric", "v").agg(F.count(F.lit(1)).alias("c"))
+    # read by up to three jobs (summary, sketch, ranks): computed once and
+    # written to the shared checkpoint folder
+    vc = long.groupBy("metric", "v").agg(F.count(F.lit(1)).alias("c")).checkpoint(eager=True)
 
     # ≤ len(cols) small rows: n and the number of distinct values d
     summary = {r["metric"]: r.asDict() for r in
