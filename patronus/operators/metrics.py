@@ -85,8 +85,10 @@ def classification_report(preds: DataFrame) -> DataFrame:
 def score_points(preds: DataFrame, group: list[str] = GROUP) -> DataFrame:
     """Per distinct score: pos, neg, and running counts in ascending score
     order (inclusive), plus the group's totals P, N and distinct count D."""
+    # read three times (bucket totals, group totals, windows): written once
     ps = preds.groupBy(*group, "score").agg(F.sum("label").cast("long").alias("pos"),
-                                           F.sum(1 - F.col("label")).cast("long").alias("neg"))
+                                           F.sum(1 - F.col("label")).cast("long").alias("neg")) \
+              .checkpoint(eager=True)
     bucket = F.least(F.greatest(F.floor(F.col("score") * SCORE_BUCKETS), F.lit(0)), F.lit(SCORE_BUCKETS - 1))
     cum = two_level(ps, group, bucket, [F.col("score")],
                     {"cpos": F.col("pos"), "cneg": F.col("neg"), "cdist": F.lit(1).cast("long")})
