@@ -110,7 +110,9 @@ def stratified_split(df: DataFrame, label: str = "ChurnBinary", key: str = "Cust
 
 def training_frame(profiles: DataFrame, intercept: float = C.LABEL_INTERCEPT) -> DataFrame:
     """CustomerID (key only), the 8 features, ChurnBinary, split, fold."""
-    labeled = churn_label(profiles.dropDuplicates(), intercept=intercept)
+    # de-duplicated once: the label's min/max, the class counts and the
+    # ranking all read it
+    labeled = churn_label(profiles.dropDuplicates().checkpoint(eager=True), intercept=intercept)
     x = labeled.select("CustomerID", *C.ALL_FEATURES, "ChurnBinary")
     check_no_leakage([c for c in x.columns if c not in ("CustomerID", "ChurnBinary")])
     return stratified_split(x)

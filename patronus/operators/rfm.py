@@ -131,7 +131,9 @@ def clv_of(r: Column, f: Column, m: Column) -> Column:
 
 def score(base: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """B5–B10 on every customer; stats is the broadcast 1-row frame."""
-    stats = rfm_stats(base) if stats is None else stats
+    # the 1-row statistics are materialised once, so every later read of the
+    # scored table does not re-run the quantile ranking behind them
+    stats = (rfm_stats(base) if stats is None else stats).checkpoint(eager=True)
     r, f, m = F.col("Recency"), F.col("Frequency"), F.col("Monetary")
     out = (base.crossJoin(F.broadcast(stats))
                .withColumn("R_Score", r_score(r))
