@@ -98,34 +98,44 @@ def _best(cands: DataFrame, k: int) -> DataFrame:
     return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn(query: DataFrame, ref: DataFrame, k: int, qid: str, rid: str, vec: str = "x",
+class RefSlabs:
+    """Reference rows with their slab, plus the slab boundaries; reusable
+    for several query frames against the same reference."""
+
+    def __init__(self, ref: DataFrame, rid: str, vec: str = "x", rlabel: str = "label",
+                 slab_rows: int = 16384, coord: int = 0):
+        r = ref.select(F.col(rid).cast("long").alias("rid"), F.col(vec).alias("rx"),
+                       F.col(rlabel).cast("int").alias("rlabel"))
+        nr = r.count()
+        nslab = max(1, min(MAX_SLABS, math.ceil(nr / slab_rows)))
+        bounds: list[float] = []
+        if nslab > 1:
+            fr = [i / nslab for i in range(1, nslab)]
+            # ≤ MAX_SLABS − 1 boundaries: bounded by the parameter
+            b = r.agg(F.percentile_approx(F.col("rx")[coord], fr, 10000)).first()[0] or []
+            bounds = sorted(set(float(v) for v in b))
+        self.bounds, self.coord, self.slab_rows = bounds, coord, slab_rows
+        self.splits = [-math.inf] + bounds + [math.inf]
+        self.last = len(self.splits) - 2
+        self.rs = self.slab_of(r.withColumn("_c", F.col("rx")[coord]), "_c", "s").drop("_c")
+
+    def slab_of(self, df: DataFrame, col: str, out: str) -> DataFrame:
+        if not self.bounds:
+            return df.withColumn(out, F.lit(0))
+        bz = Bucketizer(splits=self.splits, inputCol=col, outputCol=out, handleInvalid="keep")
+        return bz.transform(df).withColumn(out, F.least(F.col(out).cast("int"), F.lit(self.last)))
+
+
+def knn(query: DataFrame, ref: DataFrame | None, k: int, qid: str, rid: str, vec: str = "x",
         rlabel: str = "label", slab_rows: int = 16384, exclude_self: bool = False,
-        coord: int = 0) -> DataFrame:
+        coord: int = 0, prepared: RefSlabs | None = None) -> DataFrame:
     """(qid, rid, dist, rlabel, rank) — the k nearest ref rows per query row.
 
-    ``vec`` is an array<double> column present in both frames."""
+    ``vec`` is an array<double> column present in both frames; ``prepared``
+    reuses the reference slabs of an earlier call."""
+    prep = prepared or RefSlabs(ref, rid, vec, rlabel, slab_rows, coord)
+    rs, last, slab_of, slab_rows, coord = prep.rs, prep.last, prep.slab_of, prep.slab_rows, prep.coord
     q = query.select(F.col(qid).cast("long").alias("qid"), F.col(vec).alias("qx"))
-    r = ref.select(F.col(rid).cast("long").alias("rid"), F.col(vec).alias("rx"),
-                   F.col(rlabel).cast("int").alias("rlabel"))
-    nr = r.count()
-    nslab = max(1, min(MAX_SLABS, math.ceil(nr / slab_rows)))
-    if nslab > 1:
-        fr = [i / nslab for i in range(1, nslab)]
-        # ≤ MAX_SLABS − 1 boundaries: bounded by the parameter
-        b = r.agg(F.percentile_approx(F.col("rx")[coord], fr, 10000)).first()[0] or []
-        bounds = sorted(set(float(v) for v in b))
-    else:
-        bounds = []
-    splits = [-math.inf] + bounds + [math.inf]
-    last = len(splits) - 2
-
-    def slab_of(df: DataFrame, col: str, out: str) -> DataFrame:
-        if not bounds:
-            return df.withColumn(out, F.lit(0))
-        bz = Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep")
-        return bz.transform(df).withColumn(out, F.least(F.col(out).cast("int"), F.lit(last)))
-
-    rs = slab_of(r.withColumn("_c", F.col("rx")[coord]), "_c", "s").drop("_c")
     qc = slab_of(q.withColumn("_c", F.col("qx")[coord]), "_c", "home")
 
     # round 1: own slab and its neighbours

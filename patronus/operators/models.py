@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronus import config as C
-from patronus.operators.knn import knn, knn_vote
+from patronus.operators.knn import RefSlabs, knn, knn_vote
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -105,10 +105,13 @@ class KnnModel:
         self.fit_rows = fit_rows
         self.k = k
         self.featureImportances = None
+        self._slabs = None
 
     def scorer(self, key: str = "CustomerID") -> Scorer:
         def score(df: DataFrame) -> DataFrame:
-            nn = knn(df, self.fit_rows, self.k, key, key, vec="x", rlabel="label")
+            if self._slabs is None:              # the reference side is prepared once per model
+                self._slabs = RefSlabs(self.fit_rows, key, "x", "label")
+            nn = knn(df, None, self.k, key, key, vec="x", rlabel="label", prepared=self._slabs)
             return knn_vote(nn).select(F.col("qid").alias(key), "prediction", "score")
         return score
 
