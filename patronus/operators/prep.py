@@ -100,10 +100,12 @@ def stratified_split(df: DataFrame, label: str = "ChurnBinary", key: str = "Cust
     # ≤ number-of-classes rows
     x = ranked.join(F.broadcast(alloc.select(label, "n_test")), label)
     is_test = F.col("_rank") <= F.col("n_test")
+    # materialised: fit statistics, folds and evaluations all read the split
     return (x.withColumn("split", F.when(is_test, "test").otherwise("train"))
              .withColumn("fold", F.when(is_test, F.lit(None))
                          .otherwise((F.col("_rank") - F.col("n_test") - 1) % folds).cast("int"))
-             .drop("_h", "_rank", "n_test"))
+             .drop("_h", "_rank", "n_test")
+             .checkpoint(eager=True))
 
 
 # --- M1 ------------------------------------------------------------------------------------
