@@ -330,7 +330,8 @@ oracle("scan_rfm_csv", with_base(f"SELECT {_r2(D.EXPORT_COLUMNS, DOUBLES)} FROM
 # C6
 @query("dedupe_rows")
 def q_dedupe(spark, sf):
-    return D.dedupe_report(rfm.customer_base(tables(spark, sf)).drop("CustomerID"))
+    # both counts read the same table: materialise it once
+    return D.dedupe_report(rfm.customer_base(tables(spark, sf)).drop("CustomerID").checkpoint(eager=True))
 
 
 oracle("dedupe_rows", with_base("""
