@@ -9,7 +9,8 @@ run and partitioning:
 * each iteration assigns every point to the nearest centre (ties to the
   lower index) and moves each centre to the mean of its points (an empty
   cluster keeps its centre);
-* it stops when no centre moves or after ``max_iter`` iterations.
+* it stops when no centre moves by more than 1e-9 or after ``max_iter``
+  iterations.
 
 Each iteration is one distributed pass (assign + partial aggregate of
 k × 3 sums); only the k × 3 centre coordinates reach the driver, as in
@@ -32,6 +33,7 @@ from patronus.operators.quantiles import exact_quantiles
 FEATURES = ["Recency", "Frequency", "Monetary"]
 K = 4
 MAX_ITER = 20
+TOL = 1e-9
 
 
 def start_probs(k: int = K) -> list[float]:
@@ -84,7 +86,9 @@ def fit(base: DataFrame, k: int = K, max_iter: int = MAX_ITER):
             new = [list(c) for c in centers]
             for r in rows:
                 new[r["k"]] = [float(r["c0"]), float(r["c1"]), float(r["c2"])]
-            if new == centers:
+            # converged: no centre moves (beyond float noise of the sums)
+            if max(abs(a - b) for c0, c1 in zip(new, centers) for a, b in zip(c0, c1)) <= TOL:
+                centers = new
                 break
             centers = new
     finally:
