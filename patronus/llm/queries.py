@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, quality, sharding
+from . import decontaminate, jaccard, lines, mixing, quality, sharding
 from .shared import LOWER, UPPER, table, text_or_empty
 
 
+def op2_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select(F.col("doc").alias("doc_id"), "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def op3_bounded_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounded loads without slack: the law of rows."""
     sized = sharding.sized(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32")
@@ -16,6 +23,11 @@ def op3_bounded_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_partenum_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs))
@@ -33,11 +45,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "n_bangs", "n_stop_words")
 
 
-QUERIES = {f.__name__: f for f in (op3_bounded_ring_shards, op8_line_dedup, op9_fair_queue_mix, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_winnowing_decontamination, op3_bounded_ring_shards, op5_partenum_jaccard_join, op8_line_dedup, op9_fair_queue_mix, op10_quality_rules)}
 
 _WS = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
 
+_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+_WINNOW = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_LETTERS}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_LETTERS}') AS w FROM benchmark),
+n AS (SELECT item_id, w, least(len(w), 13) AS size FROM b WHERE len(w) > 0),
+v AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS win FROM n, unnest(range(1, len(w) - size + 2)) u(i)),
+s AS (SELECT DISTINCT size FROM n),
+p AS (SELECT r, i, size, array_to_string(w[i:i + size - 1], ' ') AS win FROM d, s, unnest(range(1, len(w) - size + 2)) u(i)),
+h AS (SELECT p.r, p.i, p.size, v.item_id FROM p JOIN v USING (size, win)),
+c AS (SELECT r, count(DISTINCT j) AS n FROM h, unnest(range(i, i + size)) u(j) GROUP BY r),
+t AS (SELECT r, count(*) AS n, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM h) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)"""
+
 _LINES = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 l AS (SELECT r, doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d),
@@ -98,4 +127,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND {_rules()} AS kept
 FROM b"""
 
-ORACLE = {"op8_line_dedup": _LINES, "op9_fair_queue_mix": _MIX, "op10_quality_rules": _QUALITY}
+ORACLE = {"op2_winnowing_decontamination": _WINNOW, "op8_line_dedup": _LINES, "op9_fair_queue_mix": _MIX, "op10_quality_rules": _QUALITY}
