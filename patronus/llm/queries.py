@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, lines, mixing, quality, sharding
+from . import archive, decontaminate, jaccard, lines, mixing, quality, sharding, tokens
 from .shared import LOWER, UPPER, table, text_or_empty
 
 
@@ -23,11 +23,23 @@ def op3_bounded_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_two_tier_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    import public_tokenizers
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs, model or public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 def op5_partenum_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return near.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op7_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = archive.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return archive.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type",
+                                            F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs))
@@ -45,7 +57,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "n_bangs", "n_stop_words")
 
 
-QUERIES = {f.__name__: f for f in (op2_winnowing_decontamination, op3_bounded_ring_shards, op5_partenum_jaccard_join, op8_line_dedup, op9_fair_queue_mix, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_winnowing_decontamination, op3_bounded_ring_shards, op4_two_tier_token_counts, op5_partenum_jaccard_join,
+                               op7_content_addressed_warc, op8_line_dedup, op9_fair_queue_mix, op10_quality_rules)}
 
 _WS = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -67,6 +80,14 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coa
   sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)"""
 
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+x AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM x WHERE payload_bytes >= 100 GROUP BY payload_digest),
+j AS (SELECT x.*, f.first, f.first IS NOT NULL AND (page_id IS NULL OR page_id > f.first) AS again FROM x LEFT JOIN f USING (payload_digest))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to FROM j"""
+
 _LINES = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 l AS (SELECT r, doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d),
@@ -127,4 +148,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND {_rules()} AS kept
 FROM b"""
 
-ORACLE = {"op2_winnowing_decontamination": _WINNOW, "op8_line_dedup": _LINES, "op9_fair_queue_mix": _MIX, "op10_quality_rules": _QUALITY}
+ORACLE = {"op2_winnowing_decontamination": _WINNOW, "op7_content_addressed_warc": _WARC, "op8_line_dedup": _LINES, "op9_fair_queue_mix": _MIX, "op10_quality_rules": _QUALITY}
