@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, decontaminate, jaccard, lines, mixing, quality, sharding, tokens
+from . import archive, brown, decontaminate, jaccard, lines, mixing, pii, quality, sharding, tokens
 from .shared import LOWER, UPPER, table, text_or_empty
 
 
+def op1_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
+    return found.select(F.col("doc").alias("doc_id"), *n, F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        pii.joined(F.col("spans")).alias("spans"))
+
+
 def op2_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -34,6 +41,10 @@ def op5_partenum_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op6_brown_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("doc", "doc_id")
+
+
 def op7_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = archive.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return archive.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type",
@@ -57,8 +68,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "n_bangs", "n_stop_words")
 
 
-QUERIES = {f.__name__: f for f in (op2_winnowing_decontamination, op3_bounded_ring_shards, op4_two_tier_token_counts, op5_partenum_jaccard_join,
-                               op7_content_addressed_warc, op8_line_dedup, op9_fair_queue_mix, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_weak_supervision_pii, op2_winnowing_decontamination, op3_bounded_ring_shards, op4_two_tier_token_counts, op5_partenum_jaccard_join,
+                               op6_brown_class_scores, op7_content_addressed_warc, op8_line_dedup, op9_fair_queue_mix, op10_quality_rules)}
 
 _WS = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
