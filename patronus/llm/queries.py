@@ -11,8 +11,10 @@ from .shared import LOWER, UPPER, table, text_or_empty
 
 def op1_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
-    return found.select(F.col("doc").alias("doc_id"), *n, F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select(F.col("doc").alias("doc_id"), *[count(k) for k in pii.KINDS[:4]], F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         pii.joined(F.col("spans")).alias("spans"))
 
 
