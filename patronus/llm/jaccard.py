@@ -20,13 +20,14 @@ by very many sets are found in a first pass (per task the most common ones,
 summed, a bounded table) and come last in the order: only a text made mostly of
 common passages needs signatures of them, and these are dealt out by a salt.
 
-Links.  Round one compares each set with the least set of each of its signatures
-and joins what is similar into components.  Signatures whose sets then all lie in
-one component are closed.  In the others every set outside the least one's
-component is compared with all sets of other components.  Each comparison is
-first bounded by sizes and by 1024-bit sketches (bits that differ come from
-elements that differ), inside the join; only what passes is compared exactly, on
-the shingles.  Pairs inside a component are never formed.
+Links.  Round one pairs each set with the least sets of its signatures, keeps what
+sizes and sketches allow, and compares each set with the one of them that shares
+most signatures; what is similar forms components.  Signatures whose sets then
+all lie in one component are closed.  In the others every set outside the least
+one's component is paired with all sets of other components.  Sketches have 1 to 4
+bits per element (bits that differ come from elements that differ) and bound a
+pair inside the join; only what passes is compared exactly, on the shingles of
+these sets alone.  Pairs inside a component are never formed.
 
 Defined results: with fewer words than a shingle, the whole sequence is one
 element; null or empty texts have no set and link with nothing; null ids link
@@ -48,7 +49,6 @@ from .shared import bitmap, in_bitmap, written
 
 SHINGLE = 5
 NEED, OF = 75, 100  # similar: OF * intersection >= NEED * union
-SKETCH = 1024
 HOT_TABLE = 1 << 16  # most common shingles, at most (512 KB)
 HOT_COUNT = 64       # a common shingle is in so many sets at least
 _U = np.uint64
@@ -116,9 +116,12 @@ def signatures(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(keys), np.concatenate(hots)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(SKETCH, dtype=np.uint8)
-    bits[(mix(s) >> _U(54)).astype(np.int64)] = 1
+def sketch(s: np.ndarray, band: int) -> np.ndarray:
+    """Occupied places of a hash table for sets of a band: 4 bits per element at its
+    lower end, 1 at its upper, 1024 at least."""
+    log = max(10, 2 * band + 2)
+    bits = np.zeros(1 << log, dtype=np.uint8)
+    bits[(mix(s) >> _U(64 - log)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.int64)
 
 
@@ -138,34 +141,46 @@ class _Seen:
         return True
 
 
+_SURVEY = "doc {key}, n long, id long, band int, own array<long>, next array<long>, shingle long, count long"
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row its set's size and id; per about two million shingles the most common."""
+    """Per row its set's size, id, band and sketches (of the band, and of the next if
+    the set is in both); per about two million shingles the most common."""
+    longs = pa.list_(pa.int64())
+
     def counted() -> pa.RecordBatch:
         h, n = np.unique(np.concatenate(held), return_counts=True)
         top = np.argsort(-n, kind="stable")[:4096]
         top = top[n[top] > 1]
-        return row([None] * len(top), [None] * len(top), [None] * len(top), signed(h[top]), n[top])
+        none = [None] * len(top)
+        return row(none, none, none, none, none, none, signed(h[top]), n[top])
 
-    def row(doc, n, ident, shingle, count) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc, key_type), pa.array(n, pa.int64()), pa.array(ident, pa.int64()),
-                                           pa.array(shingle, pa.int64()), pa.array(count, pa.int64())],
-                                          names=["doc", "n", "id", "shingle", "count"])
+    def row(*columns) -> pa.RecordBatch:
+        kinds = (key_type, pa.int64(), pa.int64(), pa.int32(), longs, longs, pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                                          names=["doc", "n", "id", "band", "own", "next", "shingle", "count"])
     seen, held, size = _Seen(), [], 0
     key_type = pa.int64()
-    for batch in batches:
-        key_type = batch.schema.field(0).type
-        n, ident = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-        for d, s in shingle_sets(batch.column(1)):
-            n[d] = len(s)
-            if len(s):
-                ident[d] = set_id(s)
-                if seen.new(int(ident[d])):
+    for whole in batches:
+        key_type = whole.schema.field(0).type
+        for i in range(0, whole.num_rows, 1024):
+            batch = whole.slice(i, 1024)
+            n, ident, band, own, following = [], [], [], [], []
+            for _, s in shingle_sets(batch.column(1)):
+                n.append(len(s))
+                of = schemes(len(s)) if len(s) else []
+                ident.append(set_id(s) if of else None)
+                band.append(of[0] if of else None)
+                own.append(sketch(s, of[0]) if of else None)
+                following.append(sketch(s, of[1]) if len(of) > 1 else None)
+                if of and seen.new(ident[-1]):
                     held.append(s)
                     size += len(s)
-            if size > 1 << 21:
-                yield counted()
-                held, size = [], 0
-        yield row(batch.column(0), n, pa.array(ident, mask=n == 0), [None] * len(n), [None] * len(n))
+                if size > 1 << 21:
+                    yield counted()
+                    held, size = [], 0
+            yield row(batch.column(0), n, ident, band, own, following, [None] * len(n), [None] * len(n))
     if held:
         yield counted()
 
@@ -231,7 +246,7 @@ def _nodes(wanted_ids, wanted_docs):
             texts = batch.column(1).take(pa.array(keep))
             for _, s in shingle_sets(texts):
                 if len(s) and in_bitmap(ids, np.array([i := set_id(s)]))[0] and seen.new(i):
-                    rows.append((i, len(s), sketch(s), signed(s)))
+                    rows.append((i, signed(s)))
                     size += len(s)
                 if size > 1 << 18:
                     yield _node_batch(rows)
@@ -242,23 +257,40 @@ def _nodes(wanted_ids, wanted_docs):
 
 
 def _node_batch(rows) -> pa.RecordBatch:
-    i, n, sk, sh = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(sk, pa.list_(pa.int64())),
-                                       pa.array(sh, pa.list_(pa.int64()))], names=["id", "n", "sketch", "shingles"])
+    i, sh = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(sh, pa.list_(pa.int64()))], names=["id", "shingles"])
 
 
-def _possible(n1: Column, n2: Column, sk1: Column, sk2: Column) -> Column:
-    """Whether sizes and sketches allow similarity (never false for a similar pair)."""
-    differ = F.aggregate(F.zip_with(sk1, sk2, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-    return (OF * F.least(n1, n2) >= NEED * F.greatest(n1, n2)) & ((OF + NEED) * differ <= (OF - NEED) * (n1 + n2))
+def _possible() -> Column:
+    """Whether sizes and sketches of sides a and b allow similarity (never false for a
+    similar pair): sketches of the band both are in."""
+    same = F.col("band_a") == F.col("band_b")
+    ka = F.when(same | (F.col("band_a") > F.col("band_b")), F.col("own_a")).otherwise(F.col("next_a"))
+    kb = F.when(same | (F.col("band_b") > F.col("band_a")), F.col("own_b")).otherwise(F.col("next_b"))
+    differ = F.aggregate(F.zip_with(ka, kb, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    n1, n2 = F.col("n_a"), F.col("n_b")
+    near = OF * F.least(n1, n2) >= NEED * F.greatest(n1, n2)
+    return F.when(near, (OF + NEED) * differ <= (OF - NEED) * (n1 + n2)).otherwise(False)
 
 
-def similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, compared exactly."""
+def _side(brief: DataFrame, s: str) -> DataFrame:
+    return brief.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "band", "own", "next")])
+
+
+def similar(pairs: DataFrame, df: DataFrame, brief: DataFrame, key: str, text: str) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, compared exactly.  Only the sets that
+    occur are read from the texts again: two bitmaps of fixed size pick them (and a
+    few others by chance, which no pair joins).  The set of b goes to a's."""
+    spark = df.sparkSession
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = written(wanted.join(brief.select("id", "doc"), "id"), "jaccard-wanted")
+    bits = [spark.sparkContext.broadcast(bitmap(wanted, c)) for c in ("id", "doc")]
+    texts = df.select(F.xxhash64(F.col(key)), F.col(text).cast("string"))
+    nodes = written(texts.mapInArrow(_nodes(*bits), "id long, shingles array<long>"), "jaccard-nodes")
     node = lambda s: nodes.select(F.col("id").alias(s), F.col("shingles").alias(f"s{s}"))
-    both = pairs.join(node("a"), "a").join(node("b"), "b")
+    both = pairs.join(node("b"), "b").join(node("a"), "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(OF * common >= NEED * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+    return written(both.where(OF * common >= NEED * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct(), "jaccard-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -269,7 +301,8 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         if not large:
             both = both.where(F.col("v") < F.col("u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, so that the join below is between two shuffled sides and a hot node can be split
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         linked = both.where(F.col("v") > F.col("u")) if large else both
         out = linked.join(least, "u").select(F.least("v", "m").alias("a"), F.greatest("v", "m").alias("b"))
         if not large:
@@ -291,14 +324,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def sets_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """(doc, n, id) of every row, and the sorted common shingles."""
+    """(doc, n, id, band, own, next) of every row, and the sorted common shingles."""
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key), F.col(text).cast("string"))
-    survey = written(rows.mapInArrow(_survey, f"doc {kind}, n long, id long, shingle long, count long"), "jaccard-survey")
+    survey = written(rows.mapInArrow(_survey, _SURVEY.format(key=kind)), "jaccard-survey")
     often = survey.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("count").alias("count")).where(
         F.col("count") >= HOT_COUNT).orderBy(F.desc("count"), "shingle").limit(HOT_TABLE).select("shingle")
     common = np.sort(np.array([r[0] for r in often.collect()], dtype=np.int64).view(_U))
-    return survey.where(F.col("n").isNotNull()).select("doc", "n", "id"), common
+    return survey.where(F.col("n").isNotNull()).select("doc", "n", "id", "band", "own", "next"), common
 
 
 def links(df: DataFrame, sets: DataFrame, common: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -312,44 +345,35 @@ def links(df: DataFrame, sets: DataFrame, common: np.ndarray, key: str = "doc_id
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = written(signed_sets.repartition(parts, "sig", "salt").sortWithinPartitions("sig", "salt", "id").mapInArrow(
         _shared_only, "sig long, id long"), "jaccard-shared")
-    # round one: the least set of each signature with the others
     least = shared.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where(
         F.col("pivot") != F.col("last")).select("sig", "pivot", "n")
     shared = written(shared.join(least, "sig"), "jaccard-groups")
-    chosen = sets.join(shared.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc").alias("doc"))
-    chosen = written(chosen.select("id", F.xxhash64("doc").alias("doc")), "jaccard-chosen")
-    near = df.select(F.xxhash64(F.col(key)), F.col(text).cast("string"))
-    nodes = written(near.mapInArrow(_nodes(share(bitmap(chosen, "id")), share(bitmap(chosen, "doc"))),
-                                    "id long, n long, sketch array<long>, shingles array<long>"), "jaccard-nodes")
-    brief = nodes.select("id", "n", "sketch")
-    side = lambda s: brief.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"k{s}"))
-    bound = _possible(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"))
-    pairs = shared.where(F.col("pivot") != F.col("id")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    first = similar(pairs.join(side("a"), "a").join(side("b"), "b").where(bound).select("a", "b"), nodes)
-    first = written(first, "jaccard-first")
+    brief = sets.join(shared.select("id").distinct(), "id", "left_semi").groupBy("id").agg(
+        F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "band", "own", "next")])
+    brief = written(brief.withColumn("doc", F.xxhash64("doc")), "jaccard-brief")
+    # round one: each set with the least set of its signatures that shares most of them
+    pairs = shared.where(F.col("pivot") != F.col("id")).groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(
+        F.count(F.lit(1)).alias("times"))
+    close = pairs.join(_side(brief, "a"), "a").join(_side(brief, "b"), "b").where(_possible())
+    first = written(close.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"), "jaccard-first")
+    one = similar(first, df, brief, key, text)
     # round two: what the first left open
-    labels = components(first)
-    labelled = shared.join(labels, "id", "left").select("sig", "id", "pivot", "n", F.coalesce("label", "id").alias("label"))
-    open_ = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("label", "id").alias("main")).where(
-        F.col("lo") != F.col("hi")).select("sig", "main")
-    rest = labelled.where((F.col("n") > 2) & (F.col("id") != F.col("pivot"))).join(open_, "sig")
-    rest = written(_with_nodes(rest, brief), "jaccard-open")
-    out = rest.where(~F.col("main")).select("sig", F.col("block").alias("i"), F.explode("blocks").alias("j"), F.col("id").alias("a"),
-                                            F.col("label").alias("la"), F.col("x").alias("na"), F.col("sketch").alias("ka"))
-    all_ = rest.select("sig", F.explode("blocks").alias("i"), F.col("block").alias("j"), F.col("id").alias("b"),
-                       F.col("label").alias("lb"), F.col("x").alias("nb"), F.col("sketch").alias("kb"), F.col("main").alias("mb"))
-    cross = (out["sig"] == all_["sig"]) & (out["i"] == all_["i"]) & (out["j"] == all_["j"]) & (F.col("la") != F.col("lb")) & (
-        F.col("mb") | (F.col("a") < F.col("b"))) & bound
-    more = out.join(all_, cross).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return first.unionByName(written(similar(more, nodes), "jaccard-second"))
-
-
-def _with_nodes(rest: DataFrame, brief: DataFrame) -> DataFrame:
-    blocks_ = F.greatest(F.ceil(F.col("n") / 1024), F.lit(1)).cast("long")
-    node = brief.select("id", F.col("n").alias("x"), "sketch")
-    return rest.join(node, "id").select(
-        "sig", "id", "label", (F.col("label") == F.col("main")).alias("main"), "x", "sketch",
-        F.pmod(F.xxhash64("id"), blocks_).alias("block"), F.sequence(F.lit(0).cast("long"), blocks_ - 1).alias("blocks"))
+    labelled = shared.join(components(one), "id", "left").select("sig", "id", "n", "pivot", F.coalesce("label", "id").alias("label"))
+    main = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("label", "id").alias("main"))
+    main = main.where(F.col("lo") != F.col("hi")).select("sig", "main")
+    pieces = F.greatest(F.ceil(F.col("size") / 1024), F.lit(1)).cast("long")
+    rest = written(labelled.withColumnRenamed("n", "size").join(main, "sig").join(brief.drop("doc"), "id").select(
+        "sig", "id", "label", (F.col("label") == F.col("main")).alias("main"), "n", "band", "own", "next",
+        F.pmod(F.xxhash64("id"), pieces).alias("piece"), F.sequence(F.lit(0).cast("long"), pieces - 1).alias("pieces")), "jaccard-open")
+    side = lambda s, i, j: [i.alias(f"i_{s}"), j.alias(f"j_{s}"), F.col("sig").alias(f"sig_{s}"), F.col("id").alias(s), *[
+        F.col(c).alias(f"{c}_{s}") for c in ("label", "main", "n", "band", "own", "next")]]
+    out = rest.where(~F.col("main")).select(*side("a", F.col("piece"), F.explode("pieces")))
+    every = rest.select(*side("b", F.explode("pieces"), F.col("piece")))
+    cross = (F.col("sig_a") == F.col("sig_b")) & (F.col("i_a") == F.col("i_b")) & (F.col("j_a") == F.col("j_b")) & (
+        F.col("label_a") != F.col("label_b")) & (F.col("main_b") | (F.col("a") < F.col("b"))) & _possible()
+    more = out.join(every, cross).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = written(more.join(first, ["a", "b"], "left_anti"), "jaccard-second")
+    return one.unionByName(similar(more, df, brief, key, text))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

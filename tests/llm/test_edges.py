@@ -1,0 +1,308 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and extra
+columns with clashing names, for every operator and stage."""
+
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
+from patronus.llm import archive, brown, decontaminate, jaccard, lines, mixing, pii, quality, sharding, tokens  # noqa: E402
+
+LONG = " ".join(f"long{i % 977}x{i % 13}" for i in range(60_000))
+PROSE = "the old man and the sea is a book that was read by all of us in the winter of that year and it is good"
+ROWS = [(1, PROSE, "a"), (2, None, "a"), (3, "", None), (4, " \n\t ", "b"), (5, LONG, "c"), (6, PROSE, "a"), (6, PROSE, "a"),
+        (None, "a null id has this text of some words, and a line\nthat others have too", None),
+        (8, "that others have too\nTHAT others have too \nshort", "b"), (9, "x", "b"), (10, "é ü ñ 漢字 😀 plain", "c"),
+        (11, "mail a.b@c.example.com or 1.2.3.4 and 4111 1111 1111 1111 call +1 (988) 555-2485", "c")]
+#: Names that operators use inside or add.
+CLASH = ["n_words", "kept", "shard", "slot", "size", "target", "copies", "words", "doc", "id", "row", "in", "t", "t1", "key",
+         "source_size", "finish", "n_tokens", "spans", "label", "n", "h", "k", "cell", "n_lines", "n_dropped"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
+    return df.withColumns({c: F.lit(f"own {c}") for c in CLASH})
+
+
+@pytest.fixture(scope="module")
+def none(spark, odd):
+    return odd.where(F.lit(False))
+
+
+@pytest.fixture(scope="module")
+def bench(spark):
+    return spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "x", 0), (None, "é ü", 0), (4, PROSE, 0), (4, PROSE, 0)],
+                                 "item_id long, text string, words int")
+
+
+def ids(df, name="doc"):
+    return sorted((r[name] for r in df.collect()), key=lambda x: (x is None, x))
+
+
+ALL = sorted((r[0] for r in ROWS), key=lambda x: (x is None, x))
+
+
+def test_quality(odd, none):
+    got = quality.judge(odd)
+    assert set(got.columns) == {*odd.columns, *quality.FIGURES, "base_failed", "kept"}
+    by = {r["doc_id"]: r for r in got.collect()}
+    assert by[2]["n_words"] == by[3]["n_words"] == by[4]["n_words"] == 0 and by[2]["base_failed"] and not by[2]["kept"]
+    assert by[1]["kept"] and by[5]["n_words"] == 60_000 and by[1]["words"] == "own words"
+    kept = quality.keep_good(odd)
+    assert kept.columns == odd.columns and kept.where("doc_id = 6").count() == 2
+    assert quality.keep_good(none).count() == 0
+
+
+def test_repeated_windows(spark):
+    texts = ["a b c d e a b c d e", "a a a a a a", "a b c d", "a b c d e f g", "p q r s t u p q r s t v p q r s t"]
+    got = quality.figures(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    for t, r in zip(texts, sorted(got, key=lambda r: texts.index(r["text"])), strict=True):
+        w, wins, hit = t.split(), {}, set()
+        for i in range(len(w) - 4):
+            wins.setdefault(tuple(w[i:i + 5]), []).append(i)
+        for at in wins.values():
+            if len(at) > 1:
+                hit |= {j for i in at for j in range(i, i + 5)}
+        assert r["n_repeat_words"] == len(hit), t
+
+
+def test_sharding(odd, none):
+    got = sharding.assign(odd, shards=4, virtual_nodes=8)
+    assert got.columns == [c for c in odd.columns if c not in ("shard", "slot")] + ["shard", "slot"]
+    assert ids(got, "doc_id") == ALL
+    assert sorted(r["n"] for r in got.groupBy("shard").agg(F.count("*").alias("n")).collect()) == [3, 3, 3, 3]
+    assert sharding.assign(none).count() == 0
+
+
+def test_sharding_splits_a_hot_key(spark):
+    df = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("doc_id"))
+    got = sharding.assign(df, cell_rows=50).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("m"),
+                                                                F.countDistinct("slot").alias("d")).collect()
+    assert len(got) == 16 and all(r["n"] in (187, 188) and r["d"] == r["n"] == r["m"] + 1 for r in got)
+
+
+def test_slack_moves_fewer_keys(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"))
+    free = sharding.assign(df, slack=100.0).withColumnRenamed("shard", "home").drop("slot")
+    moved = [sharding.assign(df, slack=s).join(free, "doc_id").where("shard <> home").count() for s in (0.0, 0.25, 1.0)]
+    assert moved[0] > moved[1] > moved[2]
+    grown = sharding.assign(df, shards=17, slack=0.25).withColumnRenamed("shard", "s17").drop("slot")
+    same = sharding.assign(df, slack=0.25).join(grown, "doc_id").where("shard = s17").count()
+    assert same > 4000 * 0.7  # plain modulo would keep one in seventeen
+
+
+def test_mixing(odd, none):
+    got = mixing.mix(odd)
+    assert len(got.collect()) == len(ROWS) and got.columns[-5:] == ["size", "source_size", "target", "copies", "finish"]
+    by = {r["doc_id"]: r for r in got.collect()}
+    assert by[2]["size"] == by[3]["size"] == 0 and by[2]["copies"] == 0 and by[3]["copies"] == 0
+    assert by[None]["source_size"] == 15 and by[5]["copies"] <= 2
+    assert mixing.mix(none).count() == 0 and mixing.repeated(none).count() == 0
+    again = mixing.repeated(odd)
+    assert again.columns == odd.columns
+    assert again.count() == sum(r["copies"] for r in got.collect())
+
+
+def test_lines(odd, none):
+    maps = lines.keep_bitmaps(odd)
+    got = lines.apply_bitmaps(odd, maps)
+    texts = {}
+    for r in got.collect():
+        texts.setdefault(r["doc_id"], []).append((r["text"], r["n_lines"], r["n_dropped"]))
+    assert texts[2] == [("", 1, 0)] and texts[3] == [("", 1, 0)]
+    assert texts[6] == [("", 1, 1)] * 2 and texts[1][0][2] == 0
+    assert texts[8][0] == (ROWS[8][1], 3, 0)  # the smallest id that holds the line keeps it, repeated or not
+    assert texts[None] == [("a null id has this text of some words, and a line", 2, 1)]
+    assert lines.apply_bitmaps(none, lines.keep_bitmaps(none)).count() == 0
+
+
+def test_a_line_in_most_documents(spark):
+    df = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(
+        F.lit("a line that all documents share\n"), F.col("id").cast("string"), F.lit(" is a line of its own\nshort")).alias("text"))
+    got = lines.apply_bitmaps(df, lines.keep_bitmaps(df)).collect()
+    assert all(r["n_dropped"] == (r["doc_id"] > 0) and r["text"].endswith("own\nshort") for r in got)
+
+
+def test_decontamination(odd, none, bench):
+    got = decontaminate.search(odd, bench)
+    assert ids(got) == ALL
+    by = {r["doc"]: r for r in got.collect()}
+    want = brute.contamination([(r[0], r[1]) for r in ROWS], [(3, "x"), (None, "é ü"), (4, PROSE)])
+    for i, (n, h, items) in want.items():
+        assert (by[i]["n_words"], by[i]["n_hit"], by[i]["items"]) == (n, h, [x for x in items if x != "None"]), i
+    left = decontaminate.clean(odd, bench)
+    assert left.columns == odd.columns and 1 not in ids(left, "doc_id") and None in ids(left, "doc_id")
+    assert decontaminate.search(none, bench).count() == 0
+    assert decontaminate.clean(odd, bench.where(F.lit(False))).count() == len(ROWS)
+
+
+def test_jaccard(odd, none):
+    got = {(r["doc"], r["n"], r["component"]) for r in jaccard.near_duplicates(odd).collect()}
+    comp, size = brute.components([(r[0], r[1]) for r in ROWS if r[0] is not None])
+    assert got == {(i, size[i], comp[i]) for i in comp} | {(None, 12, None)}
+    one = jaccard.one_per_group(odd)
+    assert one.columns == odd.columns and ids(one, "doc_id") == [1, 2, 3, 4, 5, 8, 9, 10, 11, None]
+    assert jaccard.near_duplicates(none).count() == 0
+
+
+def test_jaccard_chains_copies_and_shared_passages(spark):
+    """Chains of near copies, hundreds of copies, short texts, a passage that all
+    hold: the components are those of all pairs."""
+    import random
+    random.seed(5)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(4))
+    passage = [word() for _ in range(55)]
+    texts = []
+    for _ in range(60):  # mostly passage, and not similar
+        own = [word() for _ in range(random.randint(15, 60))]
+        texts.append(own[:8] + passage + own[8:])
+    chain = [word() for _ in range(120)]
+    for _ in range(25):  # each near the one before, the ends far apart
+        chain = chain[:]
+        chain[random.randrange(len(chain))] = word()
+        texts.append(chain)
+    base = [word() for _ in range(200)]
+    for _ in range(120):
+        copy = base[:]
+        for _ in range(random.randint(0, 6)):
+            copy[random.randrange(len(copy))] = word()
+        texts.append(copy)
+    for n in range(1, 13):  # tiny sets, all lengths
+        tiny = [word() for _ in range(n)]
+        texts += [tiny, tiny, tiny[:-1], tiny + [word()]]
+    texts += [passage] * 30
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    comp, _ = brute.components(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc"]: r["component"] for r in jaccard.near_duplicates(df).collect()} == comp
+
+
+def test_every_similar_pair_shares_a_signature():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    none = np.zeros(0, dtype=np.uint64)
+    for x in [*range(1, 40), 63, 64, 100, 250, 255, 256, 300, 1000]:
+        for _ in range(30):
+            a = rng.integers(0, 1 << 63, x, dtype=np.uint64) * np.uint64(2)
+            drop, add = rng.integers(0, x // 4 + 1), rng.integers(0, x // 3 + 1)
+            b = np.concatenate([a[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64)])
+            a, b = np.unique(a), np.unique(b)
+            common = len(np.intersect1d(a, b))
+            if len(b) and 100 * common >= 75 * (len(a) + len(b) - common):
+                hot = np.sort(rng.choice(a, len(a) // 2, replace=False)) if rng.random() < 0.5 else none
+                assert set(jaccard.signatures(a, hot)[0]) & set(jaccard.signatures(b, hot)[0]), (x, drop, add)
+
+
+def test_tokens(spark, odd, none):
+    import public_tokenizers
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = tokens.load(path)
+    got = tokens.count_tokens(odd, path).collect()
+    assert sorted(r["n_tokens"] for r in got) == sorted(len(sp.encode(t or "")) for _, t, _ in ROWS)
+    assert tokens.count_tokens(none, path).count() == 0
+    lengths = tokens.Lengths(sp, {})
+    for t in ["a  b", " a", "a\n b", "▁x▁", "\n\n", "  ", "a ", " \n ", "<s> </s>", "\t\x00", "a▁ b", "x" * 5000, "😀" * 50]:
+        assert lengths.total(t) == len(sp.encode(t)), repr(t)
+
+
+def test_brown(spark, odd, none):
+    got = brown.score(odd, rounds=2)
+    assert ids(got) == ALL
+    by = {r["doc"]: r for r in got.collect()}
+    assert by[2]["n_tokens"] == by[3]["n_tokens"] == by[4]["n_tokens"] == 1 and by[5]["n_tokens"] == 60_001
+    assert all(r["score"] < 0 and r["base_score"] < 0 for r in by.values())
+    assert brown.score(none, rounds=2).count() == 0
+
+
+def test_class_model_is_a_distribution(spark):
+    """Transitions and emissions sum to one with the room for an unseen word."""
+    import numpy as np
+    words, counts = np.arange(3000) * 7 + 5, np.sort(np.random.default_rng(1).integers(2, 500, 3000))[::-1]
+    t = brown.Table(words, counts)
+    classes = np.concatenate([np.arange(brown.CLUSTERED) % 64, 64 + np.arange(brown.UNITS - brown.CLUSTERED)])
+    n = np.random.default_rng(2).integers(0, 9, (106, 106)).astype(float)
+    m = brown.Model(t, classes, n, int(counts.sum()) + 50, 3031, 40, 30)
+    assert np.allclose((10 ** m.step).sum(1), 1)
+    assert np.allclose(np.bincount(classes[t.units], weights=10 ** m.emit)[np.unique(classes[t.units])], 1)
+    assert np.isclose((40 + 30 + 1) * 10 ** m.rest, 1)
+
+
+def test_exchange_raises_the_likelihood(spark):
+    """Two kinds of words that alternate end up in classes of their own."""
+    rows = [(i, j, 20) for i in range(0, 40, 2) for j in range(1, 40, 2)] + [(j, i, 20) for i in range(0, 40, 2) for j in range(1, 40, 2)]
+    classes, n = brown.cluster(spark.createDataFrame(rows, "i int, j int, n long"), rounds=8)
+    assert not set(classes[0:40:2]) & set(classes[1:40:2])
+    start = spark.createDataFrame(rows, "i int, j int, n long")
+    assert brown._likelihood(n) >= brown._likelihood(brown.cluster(start, rounds=1)[1])
+
+
+def test_pii(odd, none):
+    got = pii.find(odd)
+    assert ids(got) == ALL
+    by = {r["doc"]: r for r in got.collect()}
+    assert [pii.KINDS[s["kind"]] for s in by[11]["base"]] == ["email", "ip", "card", "phone"] and not by[2]["spans"]
+    assert pii.find(none).count() == 0
+
+
+def test_pii_linear_scans():
+    for t in ["9" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "+1" + " (" * 100_000, "a@b." * 50_000, "-@" * 50_000]:
+        pii.candidates(t)
+
+
+def test_pii_learns_keys(spark):
+    """Keys without a fixed form are found by what the other labelers say."""
+    rows = [(i, f"some text here password=ab{i:03d}cd98ef76{i:04d}gh and more words") for i in range(60)]
+    rows += [(100 + i, f"a long plainwordwithoutdigits{'x' * (i % 5)} and version 1.2.3.4 of it") for i in range(60)]
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r["doc"]: [pii.KINDS[s["kind"]] for s in r["spans"]] for r in got}
+    assert all("secret" in found[i] for i in range(60)) and not any("secret" in found[100 + i] for i in range(60))
+
+
+def test_reliabilities():
+    """A labeler that is wrong half of the time is told from those that are right."""
+    import numpy as np
+    rng = np.random.default_rng(0)
+    truth = rng.random(5000) < 0.4
+    good = lambda p: np.where(rng.random(5000) < p, truth, ~truth).astype(int)
+    v = np.stack([good(0.95), good(0.9), good(0.5)], 1)
+    q, prior, rate = pii.reliabilities(v, np.ones(5000))
+    assert abs(prior - 0.4) < 0.05 and rate[1, 0] > 0.85 and rate[0, 0] < 0.15 and abs(rate[1, 2] - rate[0, 2]) < 0.2
+    assert ((q > 0.5) == truth).mean() > 0.93
+
+
+def test_archive_round_trip(spark):
+    big = "<html>" + "é" * 200 + "</html>"
+    rows = [(3, "http://a", big), (1, None, big), (2, "http://b\r\nX: y", "small"), (4, "http://c", "small"), (5, "u", None),
+            (6, "u", ""), (None, "n", big), (1, "twice", big), (7, "own", big + "!")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("own"))
+    path = archive.write(df)
+    got = archive.read(spark, path)
+    kinds = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in got.collect())
+    assert kinds == sorted([(3, "revisit", "1"), (1, "response", None), (1, "response", None), (2, "response", None),
+                            (4, "response", None), (5, "response", None), (6, "response", None), (0, "revisit", "1"), (7, "response", None)])
+    assert spark.read.parquet(f"{path}/payloads").count() == 4
+    heads = {(r["page_id"], r["header"]) for r in got.collect()}
+    bodies = {(p, (h or "").encode()) for p, _, h in rows}
+    for r in archive.records(spark, path).collect():
+        head, _, block = bytes(r["record"]).partition(b"\r\n\r\n")
+        assert (r["page_id"], head.decode() + "\r\n") in heads and block.endswith(b"\r\n\r\n")
+        block = block[:-4]
+        assert int(head.split(b"Content-Length: ")[1]) == len(block)
+        assert b"revisit" in head and not block or (r["page_id"], block) in bodies
+    assert archive.read(spark, archive.write(df.where(F.lit(False)))).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_and_empty_tables(spark, odd, none, bench, name, tmp_path):
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got = stage(spark, odd, str(tmp_path))
+    assert name == "shard" or got.columns == odd.columns
+    got.collect()
+    assert stage(spark, none, str(tmp_path)).count() == 0
