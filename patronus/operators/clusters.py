@@ -9,8 +9,9 @@ run and partitioning:
 * each iteration assigns every point to the nearest centre (ties to the
   lower index) and moves each centre to the mean of its points (an empty
   cluster keeps its centre);
-* it stops when no centre moves by more than 1e-9 or after ``max_iter``
-  iterations.
+* it stops when no centre moves by more than 1e-9.  Lloyd's iteration reaches
+  that in finitely many steps; ``safety`` iterations without it are an error,
+  never an answer.
 
 Each iteration is one distributed pass (assign + partial aggregate of
 k × 3 sums); only the k × 3 centre coordinates reach the driver, as in
@@ -32,7 +33,7 @@ from patronus.operators.quantiles import exact_quantiles
 
 FEATURES = ["Recency", "Frequency", "Monetary"]
 K = 4
-MAX_ITER = 20
+SAFETY = 10_000
 TOL = 1e-9
 
 
@@ -60,7 +61,7 @@ def assign_expr(centers: list[list[float]]) -> Column:
     return expr.otherwise(len(d) - 1) if expr is not None else F.lit(0)
 
 
-def fit(base: DataFrame, k: int = K, max_iter: int = MAX_ITER):
+def fit(base: DataFrame, k: int = K, safety: int = SAFETY):
     """Return (centers, means, stds) — small driver-side fitted statistics."""
     s = base.agg(*[F.avg(c).alias(f"mean_{c}") for c in FEATURES],
                  *[F.stddev_pop(c).alias(f"std_{c}") for c in FEATURES]).first()
@@ -80,7 +81,7 @@ def fit(base: DataFrame, k: int = K, max_iter: int = MAX_ITER):
     pts = base.select(*[_z(c, means[j], stds[j]).alias(f"z{j}") for j, c in enumerate(FEATURES)])
     pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        for _ in range(max_iter):
+        for _ in range(safety):
             rows = (pts.withColumn("k", assign_expr(centers)).groupBy("k")
                        .agg(*[F.avg(f"z{j}").alias(f"c{j}") for j in range(3)]).collect())
             new = [list(c) for c in centers]
@@ -91,6 +92,8 @@ def fit(base: DataFrame, k: int = K, max_iter: int = MAX_ITER):
                 centers = new
                 break
             centers = new
+        else:
+            raise RuntimeError(f"k-means did not converge in {safety} iterations")
     finally:
         pts.unpersist()
     return centers, means, stds
@@ -110,13 +113,13 @@ def label_clusters(assigned: DataFrame) -> DataFrame:
          .otherwise(C.CLUSTER_LABELS[3]).alias("ClusterLabel"))
 
 
-def with_clusters(base: DataFrame, k: int = K, max_iter: int = MAX_ITER) -> DataFrame:
+def with_clusters(base: DataFrame, k: int = K) -> DataFrame:
     """Add Cluster (int) and ClusterLabel to a frame holding R, F, M."""
     # The customer table is read by the fit (statistics, quantiles, passes)
     # and by the assignment: write it once to the shared checkpoint folder,
     # which also cuts its lineage back to lineitem.
     base = base.checkpoint(eager=True)
-    centers, means, stds = fit(base, k, max_iter)
+    centers, means, stds = fit(base, k)
     z = [_z(c, means[j], stds[j]).alias(f"z{j}") for j, c in enumerate(FEATURES)]
     assigned = (base.select("*", *z).withColumn("Cluster", assign_expr(centers).cast("int"))
                     .drop("z0", "z1", "z2"))

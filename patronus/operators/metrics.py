@@ -18,9 +18,15 @@ from pyspark.sql import functions as F
 
 from patronus.functions.numeric import rnd
 from patronus.operators.prefix import two_level
+from patronus.operators.quantiles import search
 
 GROUP = ["model", "split", "fold"]
-SCORE_BUCKETS = 256
+SCORE_BUCKETS = 256  # ordered slices of the distinct scores, cut at their quantiles
+
+
+def _whole(c: Column) -> Column:
+    """A count as DECIMAL: products of counts exceed 64 bits on large tables."""
+    return c.cast("decimal(19,0)")
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -89,8 +95,9 @@ def score_points(preds: DataFrame, group: list[str] = GROUP) -> DataFrame:
     ps = preds.groupBy(*group, "score").agg(F.sum("label").cast("long").alias("pos"),
                                            F.sum(1 - F.col("label")).cast("long").alias("neg")) \
               .checkpoint(eager=True)
-    bucket = F.least(F.greatest(F.floor(F.col("score") * SCORE_BUCKETS), F.lit(0)), F.lit(SCORE_BUCKETS - 1))
-    cum = two_level(ps, group, bucket, [F.col("score")],
+    # boundaries from the scores themselves, so crowded scores spread as well (≤ 255 doubles)
+    cuts = ps.agg(F.percentile_approx("score", [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)])).first()[0]
+    cum = two_level(ps, group, search(F.col("score"), sorted({float(x) for x in cuts or []})), [F.col("score")],
                     {"cpos": F.col("pos"), "cneg": F.col("neg"), "cdist": F.lit(1).cast("long")})
     tot = ps.groupBy(*group).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
                                  F.count(F.lit(1)).alias("D"))
@@ -104,8 +111,8 @@ def roc_auc(preds: DataFrame) -> DataFrame:
     sp = score_points(preds)
     below = F.col("cneg") - F.col("neg")           # negatives with a lower score
     a = sp.groupBy(*GROUP, "P", "N").agg(
-        F.sum(2 * below * F.col("pos") + F.col("pos") * F.col("neg")).alias("twice_u"))
-    auc = _ratio(F.col("twice_u"), 2 * F.col("P") * F.col("N"))
+        F.sum(_whole(F.col("pos")) * _whole(2 * below + F.col("neg"))).alias("twice_u"))
+    auc = _ratio(F.col("twice_u"), 2 * _whole(F.col("P")) * _whole(F.col("N")))
     return a.select(*GROUP, rnd(auc, 6).alias("auc"), rnd(auc * 100, 2).alias("auc_pct"))
 
 
@@ -114,7 +121,7 @@ def average_precision(preds: DataFrame) -> DataFrame:
     sp = score_points(preds)
     tps = F.col("P") - F.col("cpos") + F.col("pos")   # positives with score >= s
     fps = F.col("N") - F.col("cneg") + F.col("neg")
-    term = (F.col("pos") * tps).cast("double") / (F.col("P") * (tps + fps)).cast("double")
+    term = (_whole(F.col("pos")) * _whole(tps)).cast("double") / (_whole(F.col("P")) * _whole(tps + fps)).cast("double")
     ap = sp.groupBy(*GROUP).agg(F.sum(term.cast("decimal(38,18)")).cast("double").alias("ap"))
     return ap.select(*GROUP, rnd(F.col("ap"), 6).alias("average_precision"))
 
@@ -134,9 +141,9 @@ def roc_points(preds: DataFrame, max_points: int = 100, keep_last: bool = False)
     keep = ((F.col("j") == 0) | (F.col("j") == F.col("D") - 1)
             | (F.col("fps_n") - 2 * F.col("fps") + F.col("fps_p") != 0)
             | (F.col("tps_n") - 2 * F.col("tps") + F.col("tps_p") != 0))
-    kept = x.where(keep).select(*GROUP, "j", "P", "N", "tps", "fps")
-    # position among kept points, two-level over j
-    kb = F.floor(F.col("j") * SCORE_BUCKETS / F.greatest(F.col("N") + F.col("P"), F.lit(1)))
+    kept = x.where(keep).select(*GROUP, "j", "D", "P", "N", "tps", "fps")
+    # position among kept points, two-level over j, which runs from 0 to D - 1
+    kb = F.floor(F.col("j") * SCORE_BUCKETS / F.greatest(F.col("D"), F.lit(1)))
     kept = two_level(kept, GROUP, kb, [F.col("j")], {"kidx": F.lit(1).cast("long")}).checkpoint(eager=True)
     origin = kept.where(F.col("kidx") == 1).select(*GROUP, F.lit(0).cast("long").alias("kidx"), "P", "N",
                                                    F.lit(0).cast("long").alias("tps"),

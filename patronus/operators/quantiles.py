@@ -29,13 +29,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _search(v: Column, splits: list[float], lo: int = 0) -> Column:
+def search(v: Column, splits: list[float], lo: int = 0) -> Column:
     """Bucket index of v for sorted distinct splits (v < splits[0] → lo)."""
     if not splits:
         return F.lit(lo)
     mid = len(splits) // 2
-    return F.when(v < F.lit(splits[mid]), _search(v, splits[:mid], lo)) \
-            .otherwise(_search(v, splits[mid + 1:], lo + mid + 1))
+    return F.when(v < F.lit(splits[mid]), search(v, splits[:mid], lo)) \
+            .otherwise(search(v, splits[mid + 1:], lo + mid + 1))
 
 
 def quantile_row(df: DataFrame, spec: dict[str, str], probs: list[float],
@@ -70,9 +70,8 @@ def quantile_row(df: DataFrame, spec: dict[str, str], probs: list[float],
         nb = nbs[m]
         if nb == 1:
             continue
-        step = max_buckets // nb
-        splits = sorted({float(r["bounds"][i * step - 1]) for i in range(1, nb)})
-        e = _search(F.col("v"), splits)
+        splits = sorted({float(r["bounds"][round(i * max_buckets / nb) - 1]) for i in range(1, nb)})
+        e = search(F.col("v"), splits)
         bucket = F.when(F.col("metric") == m, e) if bucket is None else bucket.when(F.col("metric") == m, e)
     vb = vc.withColumn("b", bucket.otherwise(0) if bucket is not None else F.lit(0))
 

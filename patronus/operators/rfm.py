@@ -16,7 +16,7 @@ Plan shape (see ``explain``):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronus import config as C
@@ -51,24 +51,30 @@ def _orders_keyed(t: Tables) -> DataFrame:
 def customer_base(t: Tables) -> DataFrame:
     """B1/B2: CustomerID, Recency, Frequency, Monetary, AvgOrderValue,
     TotalItems, UniqueProducts, Country — one row per customer with orders."""
+    # lineitem is shuffled once, by order; (order, part) totals, the order's
+    # one flagged row and the join with orders all use that partitioning.
+    lines = (t.lineitem()
+              .select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
+              .repartition("l_orderkey"))
+    parts = lines.groupBy("l_orderkey", "l_partkey").agg(
+        F.sum(money(F.col("l_extendedprice"), F.col("l_discount"))).alias("rev"), F.sum("l_quantity").alias("qty"))
+    one = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey")) == 1
+    parts = parts.withColumn("order", F.when(one, 1).otherwise(0))
     orders = _orders_keyed(t)
-    per_order = orders.join(order_lines(t), orders.o_orderkey == F.col("l_orderkey"))
-    money_side = (per_order.groupBy("o_custkey")
-                  .agg(F.max("od").alias("last_od"),
-                       F.count(F.lit(1)).alias("Frequency"),
-                       F.sum("rev").alias("rev"),
+    # one row per (customer, part): a customer with a third of all lines spreads over all tasks
+    pairs = (parts.join(orders, F.col("l_orderkey") == orders.o_orderkey)
+                  .groupBy("o_custkey", "l_partkey")
+                  .agg(F.max("od").alias("last_od"), F.sum("order").alias("orders"), F.sum("rev").alias("rev"),
                        F.sum("qty").alias("qty")))
-
-    pairs = (t.lineitem().select("l_orderkey", "l_partkey")
-              .join(orders, F.col("l_orderkey") == orders.o_orderkey)
-              .select("o_custkey", "l_partkey").distinct())
-    product_side = pairs.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("UniqueProducts"))
+    per_customer = pairs.groupBy("o_custkey").agg(
+        F.max("last_od").alias("last_od"), F.sum("orders").alias("Frequency"), F.sum("rev").alias("rev"),
+        F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("UniqueProducts"))
 
     country = (t.customer()
                .join(F.broadcast(t.nation()), F.col("c_nationkey") == F.col("n_nationkey"), "left")
                .select(F.col("c_custkey"), F.col("n_name").alias("Country")))
 
-    base = (money_side.join(product_side, "o_custkey")
+    base = (per_customer
             .crossJoin(F.broadcast(snapshot(t)))
             .select(F.col("o_custkey").alias("CustomerID"),
                     (F.datediff("snap_date", "last_od") + 1).cast("int").alias("Recency"),

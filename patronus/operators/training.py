@@ -92,7 +92,7 @@ def _run_plan(model_name: str, plan: Plan):
 
 
 def train_models(plans: list[Plan], models: list[str] | None = None, workers: int = 6) -> TrainResult:
-    models = models or list(C.MODEL_NAMES)
+    models = models or list(FITTERS)
     spark = plans[0].fit.sparkSession
     times, fitted, preds = {}, {}, []
     for m in models:
@@ -108,7 +108,7 @@ def train_models(plans: list[Plan], models: list[str] | None = None, workers: in
     for p in preds[1:]:
         allp = allp.unionByName(p)
     allp = allp.checkpoint(eager=True)
-    order = F.create_map(*[x for i, n in enumerate(C.MODEL_NAMES) for x in (F.lit(n), F.lit(i))])
+    order = F.create_map(*[x for i, n in enumerate(FITTERS) for x in (F.lit(n), F.lit(i))])
     tt = spark.createDataFrame([(k, float(v)) for k, v in times.items()], "model string, train_time double")
     met = (M.model_metrics(allp, C.OVERFIT_GAP_PP).join(F.broadcast(tt), "model", "left")
            .withColumn("order", order[F.col("model")]))

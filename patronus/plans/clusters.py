@@ -1,8 +1,8 @@
 """Cluster queries (B11, B12, E3, C9) with generated SQL oracles.
 
-The oracle spells the same k-means out as a chain of CTEs, one assignment
-and one centre update per iteration, so it is an independent statement of
-the result rather than a copy of the Spark plan.
+The oracle states the same k-means as a recursive CTE, one assignment and one
+centre update per step until no centre moves by more than the tolerance, so
+it is an independent statement of the converged result.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ def _p(x: float) -> str:
     return repr(float(x))
 
 
-def kmeans_ctes(k: int = K.K, iters: int = K.MAX_ITER) -> str:
+def kmeans_ctes(k: int = K.K) -> str:
     probs = K.start_probs(k)
     feats = K.FEATURES
     zst = ", ".join([f"avg({f}) AS mean{j}, stddev_pop({f}) AS std{j}" for j, f in enumerate(feats)])
@@ -53,15 +53,18 @@ def kmeans_ctes(k: int = K.K, iters: int = K.MAX_ITER) -> str:
             whens.append(f"WHEN {cond} THEN {i}")
         return f"CASE {' '.join(whens)} ELSE {k - 1} END"
 
-    for it in range(1, iters + 1):
-        prev = f"c{it - 1}"
-        ctes.append(f"as{it} AS (SELECT pts.CustomerID, z0, z1, z2, {assign(prev)} AS k FROM pts CROSS JOIN {prev})")
-        ctes.append(f"m{it} AS (SELECT k, avg(z0) AS b0, avg(z1) AS b1, avg(z2) AS b2 FROM as{it} GROUP BY k)")
-        upd = ", ".join(
-            f"coalesce((SELECT b{j} FROM m{it} WHERE k = {i}), {prev}.a{i}_{j}) AS a{i}_{j}"
-            for i in range(k) for j in range(3))
-        ctes.append(f"c{it} AS (SELECT {upd} FROM {prev})")
-    last = f"c{iters}"
+    names = [f"a{i}_{j}" for i in range(k) for j in range(3)]
+    step = ", ".join(f"coalesce(avg(z{j}) FILTER (k = {i}), any_value(a{i}_{j})) AS n{i}_{j}" for i in range(k) for j in range(3))
+    old = ", ".join(f"any_value({n}) AS o{n}" for n in names)
+    moved = ", ".join(f"abs(n{n[1:]} - o{n})" for n in names)
+    ctes.append(f"""steps AS (
+      SELECT 0 AS it, FALSE AS done, {', '.join(names)} FROM c0
+      UNION ALL
+      SELECT it + 1, greatest({moved}) <= {_p(K.TOL)}, {', '.join('n' + n[1:] for n in names)} FROM (
+        SELECT it, {old}, {step} FROM (
+          SELECT s.*, z0, z1, z2, {assign('s')} AS k FROM steps s CROSS JOIN pts WHERE NOT s.done) GROUP BY it))""")
+    last = "centre"
+    ctes.append("centre AS (SELECT * FROM steps WHERE done)")
     ctes.append(f"asg AS (SELECT pts.*, CAST({assign(last)} AS INTEGER) AS Cluster FROM pts CROSS JOIN {last})")
     ctes.append("""cst AS (SELECT Cluster, avg(Monetary) AS am, avg(Recency) AS ar FROM asg GROUP BY Cluster)""")
     ctes.append("""crk AS (SELECT Cluster, am, ar, row_number() OVER (ORDER BY am DESC, Cluster) AS mrank FROM cst)""")

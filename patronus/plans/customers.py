@@ -99,6 +99,9 @@ def _requests(spark, sf):
 @query("score_defaults")
 def q_score_defaults(spark, sf):
     _, req = _requests(spark, sf)
+    # fields missing by a rule on the id, so that every default is used
+    req = req.select("CustomerID", *[F.when(F.col("CustomerID") % m != 0, F.col(c)).alias(c)
+                                     for c, m in (("recency", 5), ("frequency", 7), ("monetary", 11))])
     return rfm.score_inputs(req).select(
         "CustomerID", "recency", "frequency", "monetary",
         rnd(F.col("avg_order"), 2).alias("avg_order"), "total_items", "unique_products")
@@ -108,9 +111,9 @@ oracle("score_defaults", with_base(f"""
 SELECT CustomerID, recency, frequency, monetary, {R('monetary / greatest(frequency, 1.0)', 2)} AS avg_order,
        CAST(trunc(frequency * 15) AS INTEGER) AS total_items,
        least(CAST(trunc(frequency * 8) AS INTEGER), 200) AS unique_products
-FROM (SELECT CustomerID, coalesce(CAST(Recency AS DOUBLE), 30.0) AS recency,
-             coalesce(CAST(Frequency AS DOUBLE), 5.0) AS frequency,
-             coalesce(CAST(Monetary AS DOUBLE), 500.0) AS monetary FROM base)"""))
+FROM (SELECT CustomerID, CASE WHEN CustomerID % 5 <> 0 THEN CAST(Recency AS DOUBLE) ELSE 30.0 END AS recency,
+             CASE WHEN CustomerID % 7 <> 0 THEN CAST(Frequency AS DOUBLE) ELSE 5.0 END AS frequency,
+             CASE WHEN CustomerID % 11 <> 0 THEN CAST(Monetary AS DOUBLE) ELSE 500.0 END AS monetary FROM base)"""))
 
 
 @query("score_customers_rule")

@@ -3,9 +3,12 @@ oracle — model fits are iterative and not expressible in SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from patronus import config as C
+from patronus.functions.numeric import rnd
 from patronus.operators import compare as CMP
 from patronus.operators import metrics as M
 from patronus.operators import training as T
@@ -19,7 +22,6 @@ _MODEL_QUERIES = {
     "model_logreg": "Logistic Regression",
     "model_tree": "Decision Tree",
     "model_forest": "Random Forest",
-    "model_newton_boost": "XGBoost",
     "model_knn": "KNN",
     "model_gbt": "Gradient Boosting",
 }
@@ -45,8 +47,7 @@ def _single(name):
 
 
 for _q, _name in _MODEL_QUERIES.items():
-    if _q != "model_newton_boost":
-        query(_q)(_single(_name))
+    query(_q)(_single(_name))
 
 
 @query("model_newton_boost")
@@ -112,7 +113,7 @@ def q_evaluate_saved(spark, sf):
     """Train, save the best model, load it back and re-evaluate it on
     the same keyed test split (the split is a pure function of the data)."""
     res = full_run(spark, sf)
-    root = scratch_path(spark, f"artifacts-{abs(hash(sf)) % 10**8}")
+    root = scratch_path(spark, f"artifacts-{uuid.uuid4().hex}")
     T.save_artifacts(res, root)
     name, scorer, prep = T.load_model(spark, f"{root}/best_model")
     te = training(spark, sf).where(F.col("split") == "test")
@@ -133,7 +134,7 @@ def q_score_model(spark, sf):
     model, plan = res.models[best]
     x = plan.prep.transform(training(spark, sf))
     s = scorer_of(model)(x)
-    return s.select("CustomerID", F.round("score", 6).alias("churn_probability"),
+    return s.select("CustomerID", rnd(F.col("score"), 6).alias("churn_probability"),
                     F.when(F.col("score") > C.PROB_HIGH, "High").when(F.col("score") > C.PROB_MEDIUM, "Medium")
                      .otherwise("Low").alias("churn_risk"),
                     F.lit(best).alias("model_used"))

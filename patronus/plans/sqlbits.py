@@ -85,4 +85,4 @@ def with_base(body: str, extra_ctes: str = "") -> str:
     ctes = BASE_CTES.strip()
     if extra_ctes:
         ctes += ",\n" + extra_ctes.strip()
-    return f"WITH {ctes}\n{body}"
+    return f"WITH RECURSIVE {ctes}\n{body}"

@@ -17,6 +17,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # checkpoints go with their DataFrame
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -35,7 +36,8 @@ def get_spark(master: str | None = None, app: str = "patronus",
         builder = builder.master(master)
         if master.startswith("local"):
             # local mode: the driver JVM is the only executor
-            builder = builder.config("spark.driver.memory", os.environ.get("PATRONUS_DRIVER_MEMORY", "16g"))
+            half = max(1, os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") // (1 << 31))
+            builder = builder.config("spark.driver.memory", os.environ.get("PATRONUS_DRIVER_MEMORY", f"{half}g"))
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
@@ -57,6 +59,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="patronus-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
