@@ -49,6 +49,7 @@ from .shared import bitmap, in_bitmap, written
 
 SHINGLE = 5
 NEED, OF = 75, 100  # similar: OF * intersection >= NEED * union
+SMALL = 9  # log of the bits of the sketch that all sets have
 HOT_TABLE = 1 << 16  # most common shingles, at most (512 KB)
 HOT_COUNT = 64       # a common shingle is in so many sets at least
 _U = np.uint64
@@ -116,15 +117,18 @@ def signatures(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(keys), np.concatenate(hots)
 
 
-def sketch(s: np.ndarray, band: int) -> np.ndarray:
-    """Occupied places of a hash table for sets of a band: 4 bits per element at its
-    lower end, 1 at its upper, 1024 at least."""
-    log = max(10, 2 * band + 2)
+def sketch(s: np.ndarray, log: int) -> np.ndarray:
+    """Occupied places of a hash table of 2^log places."""
     bits = np.zeros(1 << log, dtype=np.uint8)
     bits[(mix(s) >> _U(64 - log)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.int64)
 
 
+def band_log(band: int) -> int:
+    """For a band's sets, 4 bits per element at its lower end and 1 at its upper."""
+    return max(SMALL, 2 * band + 2)
+
+
 class _Seen:
     """Set ids of late: repeated sets of a task are emitted once.  Bounded; what it
     forgets is only emitted again."""
@@ -141,12 +145,12 @@ class _Seen:
         return True
 
 
-_SURVEY = "doc {key}, n long, id long, band int, own array<long>, next array<long>, shingle long, count long"
+_SURVEY = "doc {key}, n long, id long, band int, small array<long>, own array<long>, next array<long>, shingle long, count long"
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row its set's size, id, band and sketches (of the band, and of the next if
-    the set is in both); per about two million shingles the most common."""
+    """Per row its set's size, id, band and sketches (a small one, that of the band,
+    and that of the next if the set is in both); per about two million shingles the most common."""
     longs = pa.list_(pa.int64())
 
     def counted() -> pa.RecordBatch:
@@ -154,33 +158,34 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = np.argsort(-n, kind="stable")[:4096]
         top = top[n[top] > 1]
         none = [None] * len(top)
-        return row(none, none, none, none, none, none, signed(h[top]), n[top])
+        return row(none, none, none, none, none, none, none, signed(h[top]), n[top])
 
     def row(*columns) -> pa.RecordBatch:
-        kinds = (key_type, pa.int64(), pa.int64(), pa.int32(), longs, longs, pa.int64(), pa.int64())
+        kinds = (key_type, pa.int64(), pa.int64(), pa.int32(), longs, longs, longs, pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                                          names=["doc", "n", "id", "band", "own", "next", "shingle", "count"])
+                                          names=["doc", "n", "id", "band", "small", "own", "next", "shingle", "count"])
     seen, held, size = _Seen(), [], 0
     key_type = pa.int64()
     for whole in batches:
         key_type = whole.schema.field(0).type
         for i in range(0, whole.num_rows, 1024):
             batch = whole.slice(i, 1024)
-            n, ident, band, own, following = [], [], [], [], []
+            n, ident, band, small, own, following = [], [], [], [], [], []
             for _, s in shingle_sets(batch.column(1)):
                 n.append(len(s))
                 of = schemes(len(s)) if len(s) else []
                 ident.append(set_id(s) if of else None)
                 band.append(of[0] if of else None)
-                own.append(sketch(s, of[0]) if of else None)
-                following.append(sketch(s, of[1]) if len(of) > 1 else None)
+                small.append(sketch(s, SMALL) if of else None)
+                own.append(sketch(s, band_log(of[0])) if of else None)
+                following.append(sketch(s, band_log(of[1])) if len(of) > 1 else None)
                 if of and seen.new(ident[-1]):
                     held.append(s)
                     size += len(s)
                 if size > 1 << 21:
                     yield counted()
                     held, size = [], 0
-            yield row(batch.column(0), n, ident, band, own, following, [None] * len(n), [None] * len(n))
+            yield row(batch.column(0), n, ident, band, small, own, following, [None] * len(n), [None] * len(n))
     if held:
         yield counted()
 
@@ -261,20 +266,30 @@ def _node_batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(sh, pa.list_(pa.int64()))], names=["id", "shingles"])
 
 
-def _possible() -> Column:
-    """Whether sizes and sketches of sides a and b allow similarity (never false for a
-    similar pair): sketches of the band both are in."""
-    same = F.col("band_a") == F.col("band_b")
-    ka = F.when(same | (F.col("band_a") > F.col("band_b")), F.col("own_a")).otherwise(F.col("next_a"))
-    kb = F.when(same | (F.col("band_b") > F.col("band_a")), F.col("own_b")).otherwise(F.col("next_b"))
+def _allowed(ka: Column, kb: Column) -> Column:
+    """Whether sizes and a sketch of sides a and b allow similarity (never false for a
+    similar pair)."""
     differ = F.aggregate(F.zip_with(ka, kb, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-    n1, n2 = F.col("n_a"), F.col("n_b")
-    near = OF * F.least(n1, n2) >= NEED * F.greatest(n1, n2)
-    return F.when(near, (OF + NEED) * differ <= (OF - NEED) * (n1 + n2)).otherwise(False)
+    na, nb = F.col("n_a"), F.col("n_b")
+    near = OF * F.least(na, nb) >= NEED * F.greatest(na, nb)
+    return F.when(near, (OF + NEED) * differ <= (OF - NEED) * (na + nb)).otherwise(False)
+
+
+def _side(brief: DataFrame, s: str, *columns: str) -> DataFrame:
+    return brief.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
 
 
-def _side(brief: DataFrame, s: str) -> DataFrame:
-    return brief.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "band", "own", "next")])
+def possible(pairs: DataFrame, brief: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) that the sketches allow: first the small ones, then those
+    of the band both are in."""
+    columns = pairs.columns
+    pairs = pairs.join(_side(brief, "a", "n", "small"), "a").join(_side(brief, "b", "n", "small"), "b").where(
+        _allowed(F.col("small_a"), F.col("small_b"))).select(*columns)
+    full = ("n", "band", "own", "next")
+    pairs = pairs.join(_side(brief, "a", *full), "a").join(_side(brief, "b", *full), "b")
+    ka = F.when(F.col("band_a") >= F.col("band_b"), F.col("own_a")).otherwise(F.col("next_a"))
+    kb = F.when(F.col("band_b") >= F.col("band_a"), F.col("own_b")).otherwise(F.col("next_b"))
+    return pairs.where(_allowed(ka, kb)).select(*columns)
 
 
 def similar(pairs: DataFrame, df: DataFrame, brief: DataFrame, key: str, text: str) -> DataFrame:
@@ -324,14 +339,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def sets_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """(doc, n, id, band, own, next) of every row, and the sorted common shingles."""
+    """(doc, n, id, band, small, own, next) of every row, and the sorted common shingles."""
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key), F.col(text).cast("string"))
     survey = written(rows.mapInArrow(_survey, _SURVEY.format(key=kind)), "jaccard-survey")
     often = survey.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("count").alias("count")).where(
         F.col("count") >= HOT_COUNT).orderBy(F.desc("count"), "shingle").limit(HOT_TABLE).select("shingle")
     common = np.sort(np.array([r[0] for r in often.collect()], dtype=np.int64).view(_U))
-    return survey.where(F.col("n").isNotNull()).select("doc", "n", "id", "band", "own", "next"), common
+    return survey.where(F.col("n").isNotNull()).select("doc", "n", "id", "band", "small", "own", "next"), common
 
 
 def links(df: DataFrame, sets: DataFrame, common: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -349,31 +364,37 @@ def links(df: DataFrame, sets: DataFrame, common: np.ndarray, key: str = "doc_id
         F.col("pivot") != F.col("last")).select("sig", "pivot", "n")
     shared = written(shared.join(least, "sig"), "jaccard-groups")
     brief = sets.join(shared.select("id").distinct(), "id", "left_semi").groupBy("id").agg(
-        F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "band", "own", "next")])
+        F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "band", "small", "own", "next")])
     brief = written(brief.withColumn("doc", F.xxhash64("doc")), "jaccard-brief")
     # round one: each set with the least set of its signatures that shares most of them
     pairs = shared.where(F.col("pivot") != F.col("id")).groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(
         F.count(F.lit(1)).alias("times"))
-    close = pairs.join(_side(brief, "a"), "a").join(_side(brief, "b"), "b").where(_possible())
+    close = written(possible(pairs, brief), "jaccard-close")
     first = written(close.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"), "jaccard-first")
     one = similar(first, df, brief, key, text)
-    # round two: what the first left open
-    labelled = shared.join(components(one), "id", "left").select("sig", "id", "n", "pivot", F.coalesce("label", "id").alias("label"))
-    main = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("label", "id").alias("main"))
-    main = main.where(F.col("lo") != F.col("hi")).select("sig", "main")
+    # round two: what the first left open, first of the pairs with least sets
+    labels = components(one)
+    of = lambda s: labels.select(F.col("id").alias(s), F.col("label").alias(f"label_{s}"))
+    apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
+    left = close.select("a", "b").join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart)
+    # then of the others of a signature: those outside the least one's component with all
+    labelled = shared.where((F.col("n") > 2) & (F.col("id") != F.col("pivot"))).withColumnRenamed("n", "size").join(labels, "id", "left").join(
+        of("pivot"), "pivot", "left").select("sig", "id", "size", F.coalesce("label", "id").alias("label"),
+                                             F.coalesce("label_pivot", "pivot").alias("main"))
+    sorts = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("sig")
     pieces = F.greatest(F.ceil(F.col("size") / 1024), F.lit(1)).cast("long")
-    rest = written(labelled.withColumnRenamed("n", "size").join(main, "sig").join(brief.drop("doc"), "id").select(
-        "sig", "id", "label", (F.col("label") == F.col("main")).alias("main"), "n", "band", "own", "next",
+    rest = written(labelled.join(sorts, "sig").join(brief.select("id", "n", "small"), "id").select(
+        "sig", "id", "label", (F.col("label") == F.col("main")).alias("main"), "n", "small",
         F.pmod(F.xxhash64("id"), pieces).alias("piece"), F.sequence(F.lit(0).cast("long"), pieces - 1).alias("pieces")), "jaccard-open")
     side = lambda s, i, j: [i.alias(f"i_{s}"), j.alias(f"j_{s}"), F.col("sig").alias(f"sig_{s}"), F.col("id").alias(s), *[
-        F.col(c).alias(f"{c}_{s}") for c in ("label", "main", "n", "band", "own", "next")]]
+        F.col(c).alias(f"{c}_{s}") for c in ("label", "main", "n", "small")]]
     out = rest.where(~F.col("main")).select(*side("a", F.col("piece"), F.explode("pieces")))
     every = rest.select(*side("b", F.explode("pieces"), F.col("piece")))
     cross = (F.col("sig_a") == F.col("sig_b")) & (F.col("i_a") == F.col("i_b")) & (F.col("j_a") == F.col("j_b")) & (
-        F.col("label_a") != F.col("label_b")) & (F.col("main_b") | (F.col("a") < F.col("b"))) & _possible()
+        F.col("label_a") != F.col("label_b")) & (F.col("main_b") | (F.col("a") < F.col("b"))) & _allowed(F.col("small_a"), F.col("small_b"))
     more = out.join(every, cross).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(more.join(first, ["a", "b"], "left_anti"), "jaccard-second")
-    return one.unionByName(similar(more, df, brief, key, text))
+    more = possible(more, brief).unionByName(left.select("a", "b")).distinct().join(first, ["a", "b"], "left_anti")
+    return one.unionByName(similar(written(more, "jaccard-second"), df, brief, key, text))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
