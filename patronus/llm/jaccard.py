@@ -20,11 +20,12 @@ by very many sets are found in a first pass (per task the most common ones,
 summed, a bounded table) and come last in the order: only a text made mostly of
 common passages needs signatures of them, and these are dealt out by a salt.
 
-Links.  Round one pairs each set with the least sets of its signatures, keeps what
-sizes and sketches allow, and compares each set with the one of them that shares
-most signatures; what is similar forms components.  Signatures whose sets then
-all lie in one component are closed.  In the others every set outside the least
-one's component is paired with all sets of other components.  Sketches have 1 to 4
+Links.  Round one pairs each set with the least and the greatest set of each of its
+signatures, keeps what sizes and sketches allow, and compares exactly: first, for
+each set, the pair that shares most signatures, then the pairs whose ends that did
+not bring together.  What is similar forms components.  Signatures whose other
+sets then all lie in one component are closed.  In those left every set outside the
+least one's component is paired with all sets of other components.  Sketches have 1 to 4
 bits per element (bits that differ come from elements that differ) and bound a
 pair inside the join; only what passes is compared exactly, on the shingles of
 these sets alone.  Pairs inside a component are never formed.
@@ -50,8 +51,8 @@ from .shared import bitmap, in_bitmap, written
 SHINGLE = 5
 NEED, OF = 75, 100  # similar: OF * intersection >= NEED * union
 SMALL = 9  # log of the bits of the sketch that all sets have
-HOT_TABLE = 1 << 16  # most common shingles, at most (512 KB)
-HOT_COUNT = 64       # a common shingle is in so many sets at least
+HOT_TABLE = 1 << 17  # most common shingles, at most (1 MB)
+HOT_COUNT = 24       # a common shingle is in so many sets at least
 _U = np.uint64
 
 
@@ -360,27 +361,34 @@ def links(df: DataFrame, sets: DataFrame, common: np.ndarray, key: str = "doc_id
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = written(signed_sets.repartition(parts, "sig", "salt").sortWithinPartitions("sig", "salt", "id").mapInArrow(
         _shared_only, "sig long, id long"), "jaccard-shared")
-    least = shared.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where(
-        F.col("pivot") != F.col("last")).select("sig", "pivot", "n")
-    shared = written(shared.join(least, "sig"), "jaccard-groups")
+    ends = shared.groupBy("sig").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where(
+        F.col("least") != F.col("most"))
+    shared = written(shared.join(ends, "sig"), "jaccard-groups")
     brief = sets.join(shared.select("id").distinct(), "id", "left_semi").groupBy("id").agg(
         F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "band", "small", "own", "next")])
     brief = written(brief.withColumn("doc", F.xxhash64("doc")), "jaccard-brief")
-    # round one: each set with the least set of its signatures that shares most of them
-    pairs = shared.where(F.col("pivot") != F.col("id")).groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(
-        F.count(F.lit(1)).alias("times"))
+    # round one: each set with the least and the greatest set of its signatures, first the one that shares most
+    ordered = [F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")]
+    pairs = shared.select("id", F.explode(F.array("least", "most")).alias("pivot")).where(F.col("id") != F.col("pivot")).groupBy(
+        "id", "pivot").agg(F.count(F.lit(1)).alias("times")).select("id", "pivot", "times", *ordered)
     close = written(possible(pairs, brief), "jaccard-close")
-    first = written(close.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"), "jaccard-first")
-    one = similar(first, df, brief, key, text)
-    # round two: what the first left open, first of the pairs with least sets
-    labels = components(one)
-    of = lambda s: labels.select(F.col("id").alias(s), F.col("label").alias(f"label_{s}"))
-    apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
-    left = close.select("a", "b").join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart)
-    # then of the others of a signature: those outside the least one's component with all
-    labelled = shared.where((F.col("n") > 2) & (F.col("id") != F.col("pivot"))).withColumnRenamed("n", "size").join(labels, "id", "left").join(
-        of("pivot"), "pivot", "left").select("sig", "id", "size", F.coalesce("label", "id").alias("label"),
-                                             F.coalesce("label_pivot", "pivot").alias("main"))
+    best = close.groupBy("id").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("pivot")).select(*ordered).distinct()
+    best = written(best, "jaccard-best")
+    linked = similar(best, df, brief, key, text)
+
+    def side_labels(labels: DataFrame, column: str) -> DataFrame:
+        return labels.select(F.col("id").alias(column), F.col("label").alias(f"label_{column}"))
+
+    labels = components(linked)
+    left = close.select("a", "b").distinct().join(best, ["a", "b"], "left_anti").join(side_labels(labels, "a"), "a", "left").join(
+        side_labels(labels, "b"), "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+    left = written(left, "jaccard-left")
+    linked = linked.unionByName(similar(left, df, brief, key, text))
+    # round two: of what is open still, the sets outside the least one's component with all others
+    labels = components(linked)
+    labelled = shared.where((F.col("n") > 3) & (F.col("id") != F.col("least")) & (F.col("id") != F.col("most"))).withColumnRenamed(
+        "n", "size").join(labels, "id", "left").join(side_labels(labels, "least"), "least", "left").select(
+        "sig", "id", "size", F.coalesce("label", "id").alias("label"), F.coalesce("label_least", "least").alias("main"))
     sorts = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("sig")
     pieces = F.greatest(F.ceil(F.col("size") / 1024), F.lit(1)).cast("long")
     rest = written(labelled.join(sorts, "sig").join(brief.select("id", "n", "small"), "id").select(
@@ -393,8 +401,8 @@ def links(df: DataFrame, sets: DataFrame, common: np.ndarray, key: str = "doc_id
     cross = (F.col("sig_a") == F.col("sig_b")) & (F.col("i_a") == F.col("i_b")) & (F.col("j_a") == F.col("j_b")) & (
         F.col("label_a") != F.col("label_b")) & (F.col("main_b") | (F.col("a") < F.col("b"))) & _allowed(F.col("small_a"), F.col("small_b"))
     more = out.join(every, cross).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = possible(more, brief).unionByName(left.select("a", "b")).distinct().join(first, ["a", "b"], "left_anti")
-    return one.unionByName(similar(written(more, "jaccard-second"), df, brief, key, text))
+    more = written(possible(more, brief).join(best.unionByName(left), ["a", "b"], "left_anti"), "jaccard-second")
+    return linked.unionByName(similar(more, df, brief, key, text))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
