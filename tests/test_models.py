@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from patronus.operators import training as T
 from patronus.operators.knn import knn, knn_vote
+from patronus.operators.models import FITTERS, scorer_of
 from patronus.plans.training import training
 from patronus.sources.sinks import write_json_document
 
@@ -104,3 +105,19 @@ def test_knn_matches_brute_force(spark, slab_rows, exclude_self):
         order = sorted(range(n), key=lambda j: (dist[q, j], j))[:k]
         mine = got[got.qid == q].sort_values("rank").rid.tolist()
         assert mine == order, q
+
+
+@pytest.fixture(scope="module")
+def two_clouds(spark):
+    rng = np.random.default_rng(11)
+    y = rng.integers(0, 2, 240)
+    x = rng.normal(size=(240, 3)) + y[:, None]
+    return spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(240)],
+                                 "CustomerID long, label int, x array<double>").coalesce(1).cache()
+
+
+@pytest.mark.parametrize("name", list(FITTERS))
+def test_every_classifier_fits_and_scores(two_clouds, name):
+    got = scorer_of(FITTERS[name](two_clouds))(two_clouds).join(two_clouds, "CustomerID").toPandas()
+    assert len(got) == 240 and got.score.between(0, 1).all()
+    assert (got.prediction == got.label).mean() > 0.7
