@@ -307,3 +307,41 @@ def test_stages_take_odd_and_empty_tables(spark, odd, none, bench, name, tmp_pat
     assert name == "shard" or got.columns == odd.columns
     got.collect()
     assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_gains_are_those_of_the_likelihood():
+    """A word's gain is the difference of whole likelihoods, for every class."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    n = rng.integers(0, 4, (30, 30))
+    classes = rng.integers(0, brown.CLASSES, 30)
+    classes[:3], classes[-1] = classes[3], brown.LAST
+    k = np.eye(brown.LAST + 1)
+
+    def table(c):
+        return k[c].T @ n @ k[c]
+    got = brown.gains(table(classes), np.where(classes == brown.LAST, -1, classes), np.diag(n).astype(float), n @ k[classes], n.T @ k[classes])
+    for w in range(29):
+        want = []
+        for b in range(brown.CLASSES):
+            c = classes.copy()
+            c[w] = b
+            want.append(brown._likelihood(table(c)))
+        assert np.allclose(np.array(want) - want[0], got[w] - got[w][0])
+
+
+def test_words_beyond_the_most_frequent_get_classes_by_their_neighbours(spark):
+    """Two kinds of words that alternate part, although six words are in the table and
+    four have a class at the start; at the end no word would gain in another class."""
+    import numpy as np
+    rows = [(i, j, 3, i < 6, j < 6) for a, b in ((0, 1), (1, 0)) for i in range(a, 30, 2) for j in range(b, 30, 2)]
+    start = spark.createDataFrame([(w, w < 6, w % 2 if w < 4 else None) for w in range(30)], "word long, near boolean, c int")
+    classes, n = brown.exchange(spark.createDataFrame(rows, "i long, j long, n long, near_i boolean, near_j boolean"), start)
+    c = np.array([r["c"] for r in classes.orderBy("word").collect()])
+    assert len(c) == 30 and not set(c[::2]) & set(c[1::2])
+    k, m = np.eye(brown.LAST + 1)[c], np.zeros((30, 30))
+    for i, j, x, _, _ in rows:
+        m[i, j] = x
+    assert (n == k.T @ m @ k).all()
+    g = brown.gains(n, c, np.diag(m), m @ k, m.T @ k)
+    assert (g.max(1) <= g[np.arange(30), c] + 1e-6).all()
