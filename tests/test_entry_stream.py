@@ -6,6 +6,7 @@ import time
 
 import __spark_entry__ as E
 from patronus.operators import rfm
+from patronus.plans import catalog
 from patronus.sources.tables import tables
 from patronus.streaming.scoring import score_request_stream
 
@@ -18,7 +19,8 @@ def test_entry_runs(spark):
 
 
 def test_queries_have_oracles_or_are_models():
-    q, o = E.queries(), E.oracle_sql()
+    q, o = catalog.queries(), catalog.oracle_sql()
+    assert set(q) <= set(E.queries()) and set(o) <= set(E.oracle_sql())
     rows_only = set(q) - set(o)
     assert rows_only <= {"model_logreg", "model_tree", "model_forest", "model_newton_boost", "model_knn",
                          "model_gbt", "smote_balance", "model_metrics", "cv_metrics", "feature_importance",
