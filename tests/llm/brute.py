@@ -1,5 +1,6 @@
 """Plain restatements of the contracts, for comparison on small tables."""
 
+import hashlib
 import re
 from collections import Counter
 
@@ -83,3 +84,62 @@ def base_spans(t):
 
 def word_counts(texts):
     return Counter(w for t in texts for w in [*words(t), None])
+
+
+def alignments(docs, a_path, b_path):
+    """id -> (n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), all pairs written out."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+    ta = Tokenizer.from_file(a_path)
+    ta.encode_special_tokens = True
+    sp = sentencepiece.SentencePieceProcessor(model_file=b_path)
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
+    a_bytes = {i: bytes(byte[c] for c in t) for t, i in ta.get_vocab(with_added_tokens=False).items() if all(c in byte for c in t)}
+
+    def b_bytes(i):
+        p = sp.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("\u2581", " ").encode()
+    grouped = {}
+    for doc, text in docs:
+        text = text or ""
+        a, b = ta.encode(" " + text, add_special_tokens=False).ids, sp.encode(text)
+        full = (" " + text).encode()
+        if not text or b"".join(a_bytes[i] for i in a) != full or b"".join(map(b_bytes, b)) != full:
+            grouped[doc] = ([], [], [])
+            continue
+        ends = []
+        for ids, of in ((a, a_bytes.__getitem__), (b, b_bytes)):
+            at, e = 0, []
+            for i in ids:
+                at += len(of(i))
+                e.append(at)
+            ends.append(e)
+        groups, cuts = [], sorted(set(ends[0]) & set(ends[1]))
+        low = 0
+        for c in cuts:
+            groups.append(([i for i, e in zip(a, ends[0], strict=True) if low < e <= c] if len(a) < 4000 else None,
+                           [i for i, e in zip(b, ends[1], strict=True) if low < e <= c] if len(a) < 4000 else None))
+            low = c
+        if len(a) >= 4000:  # the same by one pass
+            groups, x, y = [], 0, 0
+            for c in cuts:
+                p, q = x, y
+                while x < len(a) and ends[0][x] <= c:
+                    x += 1
+                while y < len(b) and ends[1][y] <= c:
+                    y += 1
+                groups.append((a[p:x], b[q:y]))
+        grouped[doc] = (a, b, groups)
+    links = {doc: [(i, j) for xa, xb in g for i in xa for j in xb] for doc, (_, _, g) in grouped.items()}
+    count = Counter(x for pairs in links.values() for x in set(pairs))
+    best = {}
+    for (i, _), n in count.items():
+        best[i] = max(best.get(i, 0), n)
+    out = {}
+    for doc, (a, b, groups) in grouped.items():
+        text = ";".join(",".join(map(str, xa)) + "|" + ",".join(map(str, xb)) for xa, xb in groups)
+        out[doc] = (len(a), len(b), len(groups), len(links[doc]), sum(count[x] == best[x[0]] for x in links[doc]), sum(count[x] for x in links[doc]),
+                    hashlib.sha256(text.encode()).hexdigest() if text else "")
+    return out

@@ -33,7 +33,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_sql(spark, sf_small, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_small}/{t}.parquet')")
     got, want = rows(queries.QUERIES[name](spark, sf_small).toPandas()), rows(con.execute(queries.ORACLE[name]).df())
     key = lambda r: [str(x) for x in r]
@@ -43,7 +43,7 @@ def test_query_equals_sql(spark, sf_small, name):
 def test_all_are_registered():
     names = set(E.queries())
     assert {*queries.QUERIES, "pipeline"} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_op1_base_spans(spark, sf_small, docs):
@@ -99,6 +99,15 @@ def test_op4_counts(spark, sf_small, docs):
         assert tuple(got.loc[i][["n_bytes", "n_tokens", "over_limit"]]) == (len(t.encode()), n, n > 4096)
 
 
+def test_op12_equals_brute_force(spark, sf_small, docs):
+    import public_tokenizers
+    got = queries.op12_diagonal_token_alignment(spark, sf_small).toPandas().set_index("doc_id")
+    want = brute.alignments(list(zip(docs.doc_id, docs.text, strict=True)), public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.path("piece_bpe_32k.model"))
+    columns = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert {i: tuple(got.loc[i][columns]) for i in got.index} == want
+
+
 def test_op5_components(spark, sf_small, docs):
     got = queries.op5_partenum_jaccard_join(spark, sf_small).toPandas().set_index("doc_id")
     comp, size = brute.components(list(zip(docs.doc_id, docs.text, strict=True)))
@@ -150,7 +159,7 @@ def test_pipeline_stage_by_stage(spark, sf_small):
 
 
 def test_native_operators_run_no_python(spark, sf_small):
-    for name in ("op3_bounded_ring_shards", "op8_line_dedup", "op10_quality_rules"):
+    for name in ("op3_bounded_ring_shards", "op8_line_dedup", "op10_quality_rules", "op11_relational_chat_format"):
         plan = queries.QUERIES[name](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow")), name
 

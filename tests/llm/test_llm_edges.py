@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from patronus.llm import archive, brown, decontaminate, jaccard, lines, mixing, pii, quality, sharding, tokens  # noqa: E402
+from patronus.llm import align, archive, brown, chat, decontaminate, jaccard, lines, middle, mixing, pii, quality, sharding, tokens  # noqa: E402
 
 LONG = " ".join(f"long{i % 977}x{i % 13}" for i in range(60_000))
 PROSE = "the old man and the sea is a book that was read by all of us in the winter of that year and it is good"
@@ -345,3 +345,88 @@ def test_words_beyond_the_most_frequent_get_classes_by_their_neighbours(spark):
     assert (n == k.T @ m @ k).all()
     g = brown.gains(n, c, np.diag(m), m @ k, m.T @ k)
     assert (g.max(1) <= g[np.arange(30), c] + 1e-6).all()
+
+
+CHATS = [(1, 0, "system", "be [INST] kind"), (1, 1, "user", "a"), (1, 2, "user", "b</s>"), (1, 3, "assistant", "c[TURN]d"), (1, 4, "assistant", ""),
+         (1, 5, "user", r"[\INST] [\\/INST] <\s> [ <"), (2, 0, None, None), (2, None, "tool[/ROLE]", "x"), (3, 1, "assistant", "same"), (3, 1, "assistant", "same"),
+         (3, 1, "assistant", "earlier"), (3, 0, "a b]", "<s"), (3, 0, "", "no name"), (None, 0, "assistant", LONG), (4, 0, "assistant", "[NONE] <s> [SYS] [ROLE]"),
+         (4, 1, "Assistant", "é\n漢😀</s"), (5, 0, "user", ""), (6, 1, "assistant", "/ROLE]"), (6, 0, "[INST]", "[")]
+
+
+def test_chats_read_back(spark):
+    df = spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(c) for c in ("conv", "turns", "blocks", "loss")})
+    made = chat.format_chats(df)
+    got = {r["conv"]: r for r in made.select("conv", "formatted", "loss", chat.read_turns(F.col("formatted")).alias("turns"),
+                                             chat.read_loss(F.col("formatted"), F.col("loss")).alias("learnt")).collect()}
+    low = lambda x: (x is not None, x or 0)
+    for conv in {r[0] for r in CHATS}:
+        rows = sorted(((t, r, x or "") for c, t, r, x in CHATS if c == conv), key=lambda r: (low(r[0]), (r[1] is not None, r[1] or ""), r[2]))
+        assert [(t["role"], t["text"]) for t in got[conv]["turns"]] == [(r, x) for _, r, x in rows], conv
+        assert got[conv]["learnt"] == "".join(x for _, r, x in rows if r == "assistant")
+        text = got[conv]["formatted"]
+        runs = sum(i == 0 or r[1] != rows[i - 1][1] for i, r in enumerate(rows))
+        assert text.startswith("<s>") and text.count("</s>") == runs and text.count("[TURN]") == len(rows) - runs
+    assert got[1]["formatted"] == ("<s>[SYS] be [\\INST] kind</s>[INST] a[TURN]b<\\/s></s>[/INST] c[\\TURN]d[TURN]</s>"
+                                   r"[INST] [\\INST] [\\\/INST] <\\s> [ <</s>")
+    assert chat.format_chats(df.where(F.lit(False))).count() == 0
+
+
+def test_fill_in_middle(spark, odd, none):
+    marks = spark.createDataFrame([(i, t) for i, t in enumerate(["a<P>b", "<S>", "x<M>", "<P", "\n\n\n", "no end\nof line", "one line\n", "\r\n a\x0b\n", "<\n<\nP>\n>"])],
+                                  "doc_id long, text string")
+    df = odd.select("doc_id", "text", *[F.lit(c).alias(c) for c in ("n", "form", "output", "row", "id")])
+    made = middle.fill_in_middle(df)
+    assert made.columns == ["doc_id", "row", "id", "n", "form", "prefix_chars", "middle_chars", "output"]
+    texts = sorted((r[1] or "") for r in ROWS)
+    back = middle.restored(F.col("output"), F.col("form")).alias("t")
+    assert sorted(r["t"] for r in made.select(back).collect()) == texts
+    forms = {r["doc_id"]: r for r in made.collect()}
+    assert forms[2]["form"] == forms[3]["form"] == "plain" and forms[2]["n"] == 0 and forms[2]["prefix_chars"] is None
+    got = middle.fill_in_middle(marks).join(marks, "doc_id").select("*", back).collect()
+    for r in got:
+        assert r["t"] == r["text"] and (r["form"] == "plain") == any(m in r["text"] for m in ("<P>", "<S>", "<M>"))
+        assert r["n"] == len(r["text"].splitlines()) if "\x0b" not in r["text"] else r["n"] == 2
+    assert middle.fill_in_middle(none).count() == 0
+    assert {r["form"] for r in middle.fill_in_middle(marks, rate=0).collect()} == {"plain"}
+
+
+def test_group_ends_are_the_common_ends():
+    import numpy as np
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        total = int(rng.integers(1, 300))
+        share = rng.choice([0.05, 0.5, 0.95])
+        ea, eb = ([*np.flatnonzero(rng.random(total - 1) < share) + 1, total] for _ in range(2))
+        if rng.random() < 0.5:
+            eb = sorted({*ea, *eb[::7]})
+        ea, eb = [int(x) for x in ea], [int(x) for x in eb]
+        ends, at = [], [0, 0]
+        for i, j, di, dj in align.group_ends(ea, eb):
+            assert [i, j] == at
+            if di > 0:
+                assert ea[i:i + di] == eb[j:j + dj]
+                ends += ea[i:i + di]
+            else:
+                ends.append(ea[i - di - 1])
+                assert ea[i - di - 1] == eb[j - dj - 1]
+            at = [i + abs(di), j + abs(dj)]
+        assert ends == sorted(set(ea) & set(eb)) and at == [len(ea), len(eb)]
+
+
+def test_alignment(spark, odd, none):
+    import public_tokenizers
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    more = [(20, "</s><|endoftext|> <s> <0x41>"), (21, "\u2581 is a blank there"), (22, "a\x00b \n\n\t x"), (23, "=" * 3000 + "1234567890" * 300), (24, "ab" * 2000)]
+    df = odd.select("doc_id", "text", *[F.lit(c).alias(c) for c in ("row", "n_a", "pairs", "in", "groups")]).unionByName(
+        spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True).where("doc_id is not null and doc_id <> 6")
+    rows = [(i, t) for i, t, _ in ROWS if i not in (None, 6)] + more
+    want = brute.alignments(rows, *paths)
+    for frequent in (align.FREQUENT, 5, 0):
+        got = align.align_texts(df, *paths, whole=True, frequent=frequent)
+        assert got.columns[:4] == ["doc_id", "row", "pairs", "in"] and got.columns[-1] == "groups"
+        have = {r["doc_id"]: tuple(r[c] for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")) for r in got.collect()}
+        assert have == want
+    assert want[21][0] == 0 and want[2] == (0, 0, 0, 0, 0, 0, "") and want[20][0] > 0
+    assert align.align_texts(none, *paths).count() == 0
+    twice = align.align_texts(odd.where("doc_id = 6").select("doc_id", "text"), *paths).collect()
+    assert len(twice) == 2 and twice[0] == twice[1] and twice[0]["count_sum"] == 2 * twice[0]["n_links"]
