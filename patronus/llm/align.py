@@ -25,9 +25,12 @@ but ``keep`` are not read, and of these one named like a new column gives way.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+import unicodedata
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +56,29 @@ def byte_level() -> dict[str, int]:
     return out
 
 
+def settled() -> re.Pattern:
+    """Texts of characters whose class (letter, number, white space, other) has been the
+    same in all Unicode versions since 3.2, so that all libraries cut them alike."""
+    def kind(db, c: str) -> str:
+        k = db.category(c)
+        return "?" if k in ("Cn", "Cc", "Cf") else k[0] if k[0] in "LNZ" else "other"
+    spans, lo = [], None
+    for cp in range(0x20, 0x10000):
+        good = cp < 0x7F or (k := kind(unicodedata, chr(cp))) != "?" and k == kind(unicodedata.ucd_3_2_0, chr(cp))
+        if good and lo is None:
+            lo = cp
+        if not good and lo is not None:
+            spans.append((lo, cp - 1))
+            lo = None
+    return re.compile("[\n\t\r" + "".join(f"{re.escape(chr(x))}-{re.escape(chr(y))}" for x, y in spans) + "]*")
+
+
 class ByteLevel:
-    """Tokens of a ``tokenizers`` file with a byte-level vocabulary."""
+    """Tokens of a ``tokenizers`` file with a byte-level vocabulary.
+
+    Where the file's n-th merge makes its n-th new entry, merging by entry number gives
+    the same tokens; ``tiktoken`` does that several times faster and takes the texts whose
+    characters are ``settled``.  All other texts go to ``tokenizers``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,9 +90,25 @@ class ByteLevel:
         self.bytes = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.lib.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        self.fast, self.plain = self._fast(path), settled()
+
+    def _fast(self, path: str):
+        import public_tokenizers
+        import tiktoken
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        pre, model = file["pre_tokenizer"], file["model"]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        regular = (pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and file["normalizer"] is None
+                   and not model["ignore_merges"] and all(model["vocab"][x + y] == 256 + n for n, (x, y) in enumerate(merges)))
+        ranks = {self.bytes[i]: i for i in model["vocab"].values() if i < 256 + len(merges)}
+        return tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if regular else None
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        fast = [self.fast is not None and self.plain.fullmatch(t) is not None for t in texts]
+        slow = iter(self.lib.encode_batch_fast([" " + t for t, f in zip(texts, fast, strict=True) if not f], add_special_tokens=False))
+        return [self.fast.encode_to_numpy(" " + t, disallowed_special=()).astype(np.int64) if f else np.array(next(slow).ids, np.int64)
+                for t, f in zip(texts, fast, strict=True)]
 
 
 class Pieces:
@@ -82,83 +122,95 @@ class Pieces:
             piece = self.lib.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.lib.is_byte(i) else piece.replace("▁", " ").encode())
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.lib.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x, np.int64) for x in self.lib.encode(texts, num_threads=1)]
 
 
-def group_ends(ea: list[int], eb: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """The groups of two lists of rising token ends with the same last end, as runs
-    (i, j, di, dj): ``di`` = ``dj`` > 0 groups of one token each from i and j on, or,
-    negative, one group of -di and -dj tokens."""
-    i = j = 0
-    n = len(ea)
+@lru_cache(maxsize=2)
+def _sides(a_path: str, b_path: str) -> tuple:
+    """Loaded once per worker: the tokenizers, their entries' sizes and shown ids."""
+    sides = ByteLevel(a_path), Pieces(b_path)
+    return (sides, [np.array([len(x) for x in s.bytes]) for s in sides],
+            [np.array([str(i) for i in range(len(s.bytes))], dtype=object) for s in sides])
+
+
+def group_ends(ea: np.ndarray, eb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the groups of two arrays of rising token ends with the same last end close,
+    as numbers of tokens of both."""
+    n, m, i, j, inner = len(ea), len(eb), 0, 0, []
+    ea, eb = ea.tolist(), eb.tolist()
     while i < n:
-        start, width = i, 1
-        while width and i < n:
-            x = ea[i:i + width]
-            if x == eb[j:j + width]:
-                i, j = i + len(x), j + len(x)
-                width *= 2
-            else:  # some end in the slice differs: halve down to it
-                while width := width >> 1:
-                    x = ea[i:i + width]
-                    if x == eb[j:j + width]:
-                        i, j = i + len(x), j + len(x)
-        if i > start:
-            yield start, j - (i - start), i - start, i - start
-        if i < n:
-            p, q = i, j
-            while (d := ea[p] - eb[q]):
-                if d < 0:
-                    p += 1
-                else:
-                    q += 1
-            yield i, j, i - p - 1, j - q - 1
-            i, j = p + 1, q + 1
-
-
-def _linked(irregular: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, times) of all links inside irregular groups, equal pairs not yet merged:
-    a group's links are its different A ids times its different B ids."""
-    keys, times = [], []
-    for xa, xb in irregular:
-        if len(xa) * len(xb) <= 64:
-            keys.append([a << 32 | b for a in xa for b in xb])
-            times.append([1] * len(keys[-1]))
-        else:
-            ua, ca = np.unique(xa, return_counts=True)
-            ub, cb = np.unique(xb, return_counts=True)
-            keys.append((ua[:, None].astype(np.int64) << 32 | ub).ravel())
-            times.append(np.outer(ca, cb).ravel())
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(keys).astype(np.int64), np.concatenate(times).astype(np.int64)
-
-
-def align(a: list[int], b: list[int], ea: list[int], eb: list[int], names: tuple[list[str], list[str]]
-          ) -> tuple[int, str, np.ndarray, np.ndarray]:
-    """(groups, their text, different linked pairs, times) of one text's tokens."""
-    na, nb = names
-    parts, irregular, groups = [], [], 0
-    va, vb = np.asarray(a, np.int64), np.asarray(b, np.int64)
-    pairs = []
-    for i, j, di, dj in group_ends(ea, eb):
-        if di > 0:
-            groups += di
-            parts.extend(map("|".join, zip(map(na.__getitem__, a[i:i + di]), map(nb.__getitem__, b[j:j + dj]), strict=True)))
-            pairs.append(va[i:i + di] << 32 | vb[j:j + dj])
-        else:
-            groups += 1
-            xa, xb = a[i:i - di], b[j:j - dj]
-            parts.append(",".join(map(na.__getitem__, xa)) + "|" + ",".join(map(nb.__getitem__, xb)))
-            irregular.append((xa, xb))
-    keys, times = _linked(irregular)
-    keys = np.concatenate([*pairs, keys])
-    times = np.concatenate([np.ones(len(keys) - len(times), np.int64), times])
-    order = np.argsort(keys, kind="stable")
-    keys, times = keys[order], times[order]
+        width = 8
+        while (x := ea[i:i + width]) and x == eb[j:j + width]:  # at the shift j - i: doubled while all ends agree
+            i += width
+            j += width
+            width <<= 1
+        if i >= n:
+            break
+        while width := width >> 1:  # and halved down to the first that differs
+            if (x := ea[i:i + width]) == eb[j:j + width] and x:
+                i += width
+                j += width
+        if i >= n:
+            break
+        p, q, x, y = i, j, ea[i], eb[j]
+        while x != y:  # an irregular group: the side that is behind goes on
+            if x < y:
+                p += 1
+                x = ea[p]
+            else:
+                q += 1
+                y = eb[q]
+        inner += i, p, j, q
+        i, j = p + 1, q + 1
+    inner = np.array(inner, np.int64).reshape(-1, 4).T
+
+    def closing(size: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """All tokens but those of irregular groups before their last ones."""
+        step = np.zeros(size + 1, np.int64)
+        step[first] += 1
+        step[last] -= 1
+        return np.flatnonzero(step[:-1].cumsum() == 0) + 1
+    return closing(n, inner[0], inner[1]), closing(m, inner[2], inner[3])
+
+
+def _links(a: np.ndarray, b: np.ndarray, gi: np.ndarray, gj: np.ndarray, large: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(different linked pairs, rising, and how often each is linked).  A large group's
+    links are its different A ids times its different B ids, not all occurrences."""
+    si, sj = np.concatenate([[0], gi[:-1]]), np.concatenate([[0], gj[:-1]])
+    di, dj = gi - si, gj - sj
+    n = di * dj
+    one, some = n == 1, np.flatnonzero((n > 1) & (n <= large))
+    size = n[some]
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    wide = np.repeat(dj[some], size)
+    at_a, at_b = np.repeat(si[some], size) + within // wide, np.repeat(sj[some], size) + within % wide
+    keys = np.concatenate([a[si[one]] << 32 | b[sj[one]], a[at_a] << 32 | b[at_b]])
+    times = None
+    for g in np.flatnonzero(n > large):
+        ua, ca = np.unique(a[si[g]:gi[g]], return_counts=True)
+        ub, cb = np.unique(b[sj[g]:gj[g]], return_counts=True)
+        times = np.concatenate([np.ones(len(keys), np.int64) if times is None else times, np.outer(ca, cb).ravel()])
+        keys = np.concatenate([keys, (ua[:, None] << 32 | ub).ravel()])
+    if times is None:
+        keys.sort()
+    else:
+        order = np.argsort(keys)
+        keys, times = keys[order], times[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return groups, ";".join(parts), keys[first], np.add.reduceat(times, first)
+    return keys[first], np.diff(np.append(first, len(keys))) if times is None else np.add.reduceat(times, first)
+
+
+def _shown(a: np.ndarray, b: np.ndarray, gi: np.ndarray, gj: np.ndarray) -> str:
+    """``a1,a2|b1;a3|b2,b3``: the groups' ids, already as texts."""
+    out = np.empty(2 * (len(a) + len(b)), dtype=object)
+    out[1::2] = ","
+    ga, gb = np.repeat(gj - np.diff(gj, prepend=0), np.diff(gi, prepend=0)), np.repeat(gi, np.diff(gj, prepend=0))
+    out[2 * (np.arange(len(a)) + ga)] = a
+    out[2 * (np.arange(len(b)) + gb)] = b
+    out[2 * (gi - 1 + gj - np.diff(gj, prepend=0)) + 1] = "|"
+    out[2 * (gj - 1 + gi) + 1] = ";"
+    return "".join(out[:-1].tolist())
 
 
 def _aligner(a_path: str, b_path: str, whole: bool, at_once: int = 64, at_most: int = 1 << 20):
@@ -175,24 +227,21 @@ def _aligner(a_path: str, b_path: str, whole: bool, at_once: int = 64, at_most:
             yield lo, held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = (ByteLevel(a_path), Pieces(b_path))
-        names = tuple([str(i) for i in range(len(s.bytes))] for s in sides)
-        sizes = [np.array([len(x) for x in s.bytes]).tolist() for s in sides]
-        serial = TaskContext.get().partitionId() << 40
+        (sides, sizes, names), serial = _sides(a_path, b_path), TaskContext.get().partitionId() << 40
+        none = (0, 0, 0, 0, "", "", np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+        def row(text: str, a: np.ndarray, b: np.ndarray) -> tuple:
+            full = b" " + text.encode()
+            if not text or any(b"".join(map(s.bytes.__getitem__, x.tolist())) != full for s, x in zip(sides, (a, b), strict=True)):
+                return none
+            gi, gj = group_ends(*(z[x].cumsum() for z, x in zip(sizes, (a, b), strict=True)))
+            keys, times = _links(a, b, gi, gj)
+            groups = _shown(names[0][a], names[1][b], gi, gj)
+            return (len(a), len(b), len(gi), int(times.sum()), hashlib.sha256(groups.encode()).hexdigest(), groups if whole else "", keys, times)
         for batch in batches:
             for lo, texts in slices(batch.column(1)):
-                rows = []
-                for text, a, b in zip(texts, *(s.encode(texts) for s in sides), strict=True):
-                    full = b" " + text.encode()
-                    if not text or any(b"".join(map(s.bytes.__getitem__, ids)) != full for s, ids in zip(sides, (a, b), strict=True)):
-                        rows.append((0, 0, 0, 0, "", "", np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                        continue
-                    ends = [list(accumulate(map(z.__getitem__, ids))) for z, ids in zip(sizes, (a, b), strict=True)]
-                    n, groups, keys, times = align(a, b, *ends, names)
-                    rows.append((len(a), len(b), n, int(times.sum()), hashlib.sha256(groups.encode()).hexdigest(),
-                                 groups if whole else "", keys, times))
-                numbers, (sha, groups), (keys, times) = zip(*[r[:4] for r in rows], strict=True), zip(*[r[4:6] for r in rows], strict=True), zip(
-                    *[r[6:] for r in rows], strict=True)
+                rows = list(map(row, texts, *(s.encode(texts) for s in sides)))
+                numbers, (sha, groups), (keys, times) = (zip(*[r[x] for r in rows], strict=True) for x in (slice(0, 4), slice(4, 6), slice(6, 8)))
                 at = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32())
                 columns = [pa.array(serial + np.arange(len(rows))), batch.column(0).slice(lo, len(rows)),
                            *[pa.array(x, pa.int64()) for x in numbers], pa.array(sha, pa.string()),

@@ -2,6 +2,7 @@
 columns with clashing names, for every operator and stage."""
 
 import sys
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -400,23 +401,39 @@ def test_group_ends_are_the_common_ends():
         if rng.random() < 0.5:
             eb = sorted({*ea, *eb[::7]})
         ea, eb = [int(x) for x in ea], [int(x) for x in eb]
-        ends, at = [], [0, 0]
-        for i, j, di, dj in align.group_ends(ea, eb):
-            assert [i, j] == at
-            if di > 0:
-                assert ea[i:i + di] == eb[j:j + dj]
-                ends += ea[i:i + di]
-            else:
-                ends.append(ea[i - di - 1])
-                assert ea[i - di - 1] == eb[j - dj - 1]
-            at = [i + abs(di), j + abs(dj)]
-        assert ends == sorted(set(ea) & set(eb)) and at == [len(ea), len(eb)]
+        gi, gj = (g.tolist() for g in align.group_ends(np.array(ea), np.array(eb)))
+        assert [ea[i - 1] for i in gi] == [eb[j - 1] for j in gj] == sorted(set(ea) & set(eb)) and (gi[-1], gj[-1]) == (len(ea), len(eb))
+        a, b = rng.integers(0, 9, len(ea)), rng.integers(0, 9, len(eb))
+        groups = [(a[i:p], b[j:q]) for i, p, j, q in zip([0, *gi], gi, [0, *gj], gj)]
+        names = np.array([str(i) for i in range(9)], dtype=object)
+        want = Counter(int(x) << 32 | int(y) for xs, ys in groups for x in xs for y in ys)
+        for large in (4096, 3, 1):
+            keys, times = align._links(a, b, np.array(gi), np.array(gj), large)
+            assert dict(zip(keys.tolist(), times.tolist(), strict=True)) == want and (np.diff(keys) > 0).all()
+        assert align._shown(names[a], names[b], np.array(gi), np.array(gj)) == ";".join(
+            ",".join(map(str, xs)) + "|" + ",".join(map(str, ys)) for xs, ys in groups)
+
+
+def test_byte_level_tokens_are_those_of_the_library():
+    import public_tokenizers
+    import random
+    side = align.ByteLevel(public_tokenizers.path("byte_bpe_50k.json"))
+    assert side.fast is not None
+    random.seed(2)
+    texts = [t for _, t, _ in ROWS if t] + ["it's I'LL don't", "a \n b\t c\n \nd  e \u00a0 f\u3000g  ", "<|endoftext|>", "x\x1cy\x85z\u180e w", "Ａ①ﬁ ½²x", "\u0870 \U00010400"]
+    texts += ["".join(chr(random.choice([random.randrange(32, 127), random.randrange(0xa0, 0x2000), random.randrange(0x3000, 0xd800), 32, 10]))
+                      for _ in range(300)) for _ in range(200)]
+    texts += ["".join(random.choice("aeinorst hl") for _ in range(400)) for _ in range(200)]
+    assert 200 <= sum(side.plain.fullmatch(t) is not None for t in texts) < len(texts)
+    for t, ids in zip(texts, side.encode(texts), strict=True):
+        assert ids.tolist() == side.lib.encode(" " + t, add_special_tokens=False).ids, t
 
 
 def test_alignment(spark, odd, none):
     import public_tokenizers
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    more = [(20, "</s><|endoftext|> <s> <0x41>"), (21, "\u2581 is a blank there"), (22, "a\x00b \n\n\t x"), (23, "=" * 3000 + "1234567890" * 300), (24, "ab" * 2000)]
+    more = [(20, "</s><|endoftext|> <s> <0x41>"), (21, "\u2581 is a blank there"), (22, "a\x00b \n\n\t x"), (23, "=" * 3000 + "1234567890" * 300), (24, "ab" * 2000),
+            (25, "a \n b\t c\n \nd  e \u00a0 f\u00a0g \u3000h it's I'll  "), (26, " lead and trail "), (27, "\n \n x \x1c y\x85 z"), (28, " ")]
     df = odd.select("doc_id", "text", *[F.lit(c).alias(c) for c in ("row", "n_a", "pairs", "in", "groups")]).unionByName(
         spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True).where("doc_id is not null and doc_id <> 6")
     rows = [(i, t) for i, t, _ in ROWS if i not in (None, 6)] + more
