@@ -1,35 +1,35 @@
-"""The six churn classifiers (M9a–f) as MLlib estimators or Spark jobs.
+"""The six churn classifiers (M9a–f) as Spark jobs and MLlib estimators.
 
-Each entry fits on a prepared frame (CustomerID, label, x array<double>)
-and returns a scorer: frame → (CustomerID, prediction int, score double).
+Every classifier is fitted on the frames of all plans (CustomerID, label, x
+array<double>) and gives a scorer per plan: frame → (CustomerID, prediction int,
+score double).  Those of ``TOGETHER`` fit all plans in the same jobs; the others run
+plan by plan, side by side.
 
-* Logistic Regression: L2, C = 0.8, class-balanced weights; MLlib averages
-  the loss over the weight sum, so regParam = 1 / (C · Σw).
+* Logistic Regression: L2, C = 0.8, class-balanced weights, second-order steps
+  (``operators.logistic``).
 * Decision Tree: depth 5, min 15 rows per leaf.
 * Random Forest: 160 trees, depth 8, min 10 rows per leaf, sqrt features.
-* XGBoost: in the 6-model CV run, MLlib gradient-boosted trees with the
-  reference's rounds, depth, step and row / column subsampling
-  (``fit_xgb_like``, an approximation).  ``fit_newton`` is the regularised
-  Newton booster (``operators.boosting``: min child weight 3, L1 0.5,
-  L2 1.5, gamma 0.1 as well); it runs 3 small jobs per round, so on small
-  data it is much slower than MLlib's and is offered as its own query.
+* XGBoost: 140 rounds, depth 3, step 0.05, row and column subsampling 0.8, min child
+  weight 3, L1 0.5, L2 1.5, gamma 0.1 (``operators.boosting``, 256 bins).
 * KNN: k = 25, inverse-distance vote, exact blocked search (``knn``).
-* Gradient Boosting: 120 rounds, depth 2, min 15 rows per leaf, step 0.04,
-  row subsampling 0.85.
+* Gradient Boosting: 120 rounds, depth 2, min 15 rows per leaf, step 0.04, row
+  subsampling 0.85, leaves re-estimated by a Newton step (``operators.boosting``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronus import config as C
+from patronus.operators.boosting import Booster, fit_boosters
 from patronus.operators.knn import RefSlabs, knn, knn_vote
+from patronus.operators.logistic import fit_logreg_plans
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -46,22 +46,6 @@ def _mllib_scorer(model, key: str = "CustomerID") -> Scorer:
     return score
 
 
-def _balanced(df: DataFrame) -> DataFrame:
-    """sklearn 'balanced' weights n / (2 · n_class) from a 2-row count frame."""
-    cnt = df.groupBy("label").agg(F.count(F.lit(1)).alias("nc"))
-    tot = cnt.agg(F.sum("nc").alias("n"), F.count(F.lit(1)).alias("k"))
-    w = cnt.crossJoin(tot).select("label", (F.col("n") / (F.col("k") * F.col("nc"))).alias("w"))
-    return df.join(F.broadcast(w), "label")   # ≤ 2 rows
-
-
-def fit_logreg(df: DataFrame, seed: int = C.SEED):
-    d = _vec(_balanced(df))
-    wsum = d.agg(F.sum("w")).first()[0]
-    lr = LogisticRegression(maxIter=1200, regParam=1.0 / (0.8 * wsum), elasticNetParam=0.0,
-                            standardization=False, weightCol="w", labelCol="label", tol=1e-4)
-    return lr.fit(d)
-
-
 def fit_tree(df: DataFrame, seed: int = C.SEED):
     return DecisionTreeClassifier(maxDepth=5, minInstancesPerNode=15, maxBins=256, seed=seed,
                                               labelCol="label").fit(_vec(df))
@@ -73,25 +57,6 @@ def fit_forest(df: DataFrame, seed: int = C.SEED):
                                               labelCol="label").fit(_vec(df))
 
 
-def fit_xgb_like(df: DataFrame, seed: int = C.SEED):
-    return GBTClassifier(maxIter=140, maxDepth=3, stepSize=0.05, subsamplingRate=0.8,
-                                     featureSubsetStrategy="0.8", minInstancesPerNode=1, maxBins=256, seed=seed,
-                                     labelCol="label").fit(_vec(df))
-
-
-def fit_newton(df: DataFrame, seed: int = C.SEED):
-    """M9d: regularised Newton boosting (``operators.boosting``) with the
-    reference's XGBoost settings."""
-    from patronus.operators.boosting import fit_newton_boost
-    return fit_newton_boost(df, rounds=140, depth=3, eta=0.05, subsample=0.8, colsample=0.8,
-                            min_child_weight=3.0, alpha=0.5, lam=1.5, gamma=0.1, seed=seed)
-
-
-def fit_gbt(df: DataFrame, seed: int = C.SEED):
-    return GBTClassifier(maxIter=120, maxDepth=2, minInstancesPerNode=15, stepSize=0.04,
-                                     subsamplingRate=0.85, maxBins=256, seed=seed, labelCol="label").fit(_vec(df))
-
-
 class KnnModel:
     """Lazy k-NN 'model': the (checkpointed) fit rows themselves."""
 
@@ -114,17 +79,24 @@ def fit_knn(df: DataFrame, seed: int = C.SEED):
     return KnnModel(df)
 
 
-# MLlib boosting stands in for the regularised booster here, and its rows say so.
-APPROXIMATE = "XGBoost (approximate)"
+#: The settings of the two boosters.
+XGBOOST = Booster("newton", rounds=140, depth=3, eta=0.05, subsample=0.8, colsample=0.8, min_child_weight=3.0, alpha=0.5, lam=1.5, gamma=0.1)
+GRADIENT_BOOSTING = Booster("friedman", rounds=120, depth=2, eta=0.04, subsample=0.85, colsample=1.0, min_leaf=15)
 
-FITTERS = {
-    "Logistic Regression": fit_logreg,
-    "Decision Tree": fit_tree,
-    "Random Forest": fit_forest,
-    APPROXIMATE: fit_xgb_like,
-    "KNN": fit_knn,
-    "Gradient Boosting": fit_gbt,
+TOGETHER = {
+    "Logistic Regression": fit_logreg_plans,
+    "XGBoost": lambda fits: fit_boosters(fits, XGBOOST),
+    "Gradient Boosting": lambda fits: fit_boosters(fits, GRADIENT_BOOSTING),
 }
+ONE_BY_ONE = {"Decision Tree": fit_tree, "Random Forest": fit_forest, "KNN": fit_knn}
+
+
+def fit_plans(name: str, fits: list[DataFrame], workers: int = 6) -> list:
+    """The model of every plan."""
+    if name in TOGETHER:
+        return TOGETHER[name](fits)
+    with ThreadPoolExecutor(max_workers=workers) as ex:
+        return list(ex.map(ONE_BY_ONE[name], fits))
 
 
 def scorer_of(model) -> Scorer:

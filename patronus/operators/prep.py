@@ -120,7 +120,7 @@ def training_frame(profiles: DataFrame, intercept: float = C.LABEL_INTERCEPT) ->
     return stratified_split(x)
 
 
-# --- M2, M3, M4, M5 ---------------------------------------------------------------------------
+# --- M2, M3, M4 (M5: features) ---------------------------------------------------------------------------
 
 def medians(fit_rows: DataFrame, cols: list[str]) -> DataFrame:
     """1-row frame of exact medians (distributed exact quantiles)."""
@@ -162,49 +162,6 @@ def impute_mode(df: DataFrame, mode: DataFrame, col: str) -> DataFrame:
               .withColumn(col, F.coalesce(F.col(col), F.col("_mode"))).drop("_mode"))
 
 
-def onehot_fit(fit_rows: DataFrame, col: str, min_frequency: float = C.ONEHOT_MIN_FREQUENCY) -> DataFrame:
-    """Categories with their role: a category is rare when its count is
-    below min_frequency · n; kept ones are sorted, the first kept one is
-    dropped; the rare bucket (if any rare category exists) is the last column.
-    Returns (category, count, kept, dropped, column, col_idx) — one row per
-    category seen at fit (small)."""
-    cnt = fit_rows.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy()
-    n = F.sum("count").over(w)
-    x = cnt.withColumn("kept", F.col("count") >= F.lit(min_frequency) * n)
-    x = x.withColumn("_kr", F.when(F.col("kept"), F.row_number().over(
-        Window.partitionBy("kept").orderBy(col))))
-    x = x.withColumn("dropped", F.coalesce(F.col("_kr") == 1, F.lit(False)))
-    n_kept_cols = F.sum(F.when(F.col("kept") & ~F.col("dropped"), 1).otherwise(0)).over(w)
-    x = x.withColumn("column", F.when(F.col("dropped"), F.lit(None))
-                     .when(F.col("kept"), F.concat(F.lit(f"{col}_"), F.col(col)))
-                     .otherwise(F.lit(C.RARE_BUCKET)))
-    x = x.withColumn("col_idx", F.when(F.col("dropped"), F.lit(None))
-                     .when(F.col("kept"), F.col("_kr") - 2)
-                     .otherwise(n_kept_cols))
-    return x.select(F.col(col).alias("category"), "count", "kept", "dropped", "column", "col_idx")
-
-
-def onehot_columns(fit: DataFrame) -> list[str]:
-    """Output column names in order (small driver list from the fit table)."""
-    rows = fit.where(F.col("column").isNotNull()).select("column", "col_idx").distinct().collect()
-    return [r["column"] for r in sorted(rows, key=lambda r: r["col_idx"])]
-
-
-def onehot_transform(df: DataFrame, fit: DataFrame, col: str) -> DataFrame:
-    """Add ``onehot_column``: the name of the active output column, or null
-    (dropped first category; unknown value with no rare bucket).  Unknown
-    values go to the rare bucket when it exists.  The fit table is one row
-    per category seen at fit: small, broadcast."""
-    has_rare = fit.agg(F.max(F.when(~F.col("kept"), 1).otherwise(0)).alias("_has_rare"))
-    x = (df.join(F.broadcast(fit.select(F.col("category").alias(col), "column", "kept")), col, "left")
-           .crossJoin(F.broadcast(has_rare)))
-    active = (F.when(F.col("kept").isNull(),
-                     F.when(F.col("_has_rare") == 1, F.lit(C.RARE_BUCKET)))
-               .otherwise(F.col("column")))
-    return x.withColumn("onehot_column", active).drop("column", "kept", "_has_rare")
-
-
 def feature_names(onehot_cols: list[str]) -> list[str]:
     """M6: numeric features then the one-hot columns."""
     return list(C.NUMERIC_FEATURES) + list(onehot_cols)

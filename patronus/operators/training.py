@@ -1,16 +1,16 @@
 """The training run (M7–M10, M17, M20–M23, A8, A9): per-fold preparation,
 SMOTE on fit rows, six classifiers, predictions, metrics and artefacts.
 
-Plans: five CV plans (fit = train rows outside fold f; evaluate the fold
-as 'cv_test' and the fit rows as 'cv_train') and the final plan (fit = all
-train rows; evaluate 'test' and 'train').  Preprocessing and SMOTE do not
-depend on the classifier, so each plan is prepared once and shared by all
-six models.  Prepared frames and predictions are checkpointed into the
-shared checkpoint folder, which cuts lineage and survives executor loss.
-
-Plans run concurrently from a small thread pool (Spark schedules the jobs
-of all threads on the same executors); ``train_time`` is the wall time of
-one model's 6 fits plus scoring — the span the reference times.
+Plans: the final plan (fit = all train rows; evaluate 'test' and 'train') and five CV
+plans (fit = train rows outside fold f; evaluate the fold as 'cv_test' and the fit rows
+as 'cv_train').  All plans' preparation comes from one set of per-fold statistics
+(``features``) and is a projection of the one written frame; only the over-sampled fit
+rows are written again.  Boosting and logistic regression fit all plans in the same
+jobs, the others plan by plan from a small thread pool.
+
+``train_time`` is the span the reference times for one model: preparation and SMOTE of
+the six plans (done once for all models, and counted in each one's time), the six fits
+and the scoring.
 """
 
 from __future__ import annotations
@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 
 from patronus import config as C
 from patronus.operators import metrics as M
-from patronus.operators.features import Prepared, fit_prep
-from patronus.operators.boosting import NewtonBoostModel, Tree
-from patronus.operators.models import FITTERS, KnnModel, importances, scorer_of
+from patronus.operators.boosting import BoostedTrees, Tree
+from patronus.operators.features import FINAL, Prepared, fit_preps
+from patronus.operators.logistic import LogisticModel
+from patronus.operators.models import KnnModel, fit_plans, importances, scorer_of
 from patronus.operators.smote import needs_smote, smote
 
 @dataclass
@@ -38,6 +39,7 @@ class Plan:
     fit: DataFrame                       # prepared (+ SMOTE) fit rows
     evals: list[tuple[str, DataFrame]]   # (split name, prepared rows)
     prep: Prepared | None = None
+    seconds: float = 0.0                 # preparation and SMOTE of all plans
 
 
 @dataclass
@@ -51,33 +53,32 @@ class TrainResult:
     smote_applied: bool = False
 
 
-def _prepare(fit_rows: DataFrame, evals: list[tuple[str, DataFrame]], use_smote: bool, name: str, fold: int,
-             min_frequency: float) -> Plan:
-    prep = fit_prep(fit_rows, min_frequency)
-    fx = prep.transform(fit_rows).checkpoint(eager=True)
-    ev = [(s, fx if df is None else prep.transform(df).checkpoint(eager=True)) for s, df in evals]
-    fit = smote(fx, vec="x", label="label").checkpoint(eager=True) if use_smote else fx
-    return Plan(name, fold, fit, ev, prep)
-
-
 def build_plans(frame: DataFrame, folds: int = C.CV_FOLDS, workers: int = 6,
                 min_frequency: float = C.ONEHOT_MIN_FREQUENCY, cv: bool = True) -> tuple[list[Plan], bool]:
-    """frame: training_frame output (CustomerID, features, ChurnBinary, split, fold)."""
-    frame = frame.checkpoint(eager=True)
+    """frame: training_frame output (CustomerID, features, ChurnBinary, split, fold),
+    already written.  The final plan comes first."""
+    t0 = time.time()
     tr = frame.where(F.col("split") == "train")
     te = frame.where(F.col("split") == "test")
+    preps = fit_preps(tr, folds if cv else 0, min_frequency)
     use_smote = needs_smote(tr, "ChurnBinary")
-    jobs = [(tr, [("test", te), ("train", None)], "final", -1)]
-    if cv:
-        jobs += [(tr.where(F.col("fold") != f), [("cv_test", tr.where(F.col("fold") == f)), ("cv_train", None)],
-                  f"cv{f}", f) for f in range(folds)]
+
+    def plan(f: int) -> Plan:
+        prep, fit = preps[f], tr if f == FINAL else tr.where(F.col("fold") != f)
+        fx = prep.transform(fit)
+        if f == FINAL:
+            name, evals = "final", [("test", prep.transform(te)), ("train", fx)]
+        else:
+            name, evals = f"cv{f}", [("cv_test", prep.transform(tr.where(F.col("fold") == f))), ("cv_train", fx)]
+        return Plan(name, f, smote(fx, vec="x", label="label").checkpoint(eager=True) if use_smote else fx, evals, prep)
     with ThreadPoolExecutor(max_workers=workers) as ex:
-        plans = list(ex.map(lambda j: _prepare(j[0], j[1], use_smote, j[2], j[3], min_frequency), jobs))
+        plans = list(ex.map(plan, preps))
+    for p in plans:
+        p.seconds = time.time() - t0
     return plans, use_smote
 
 
-def _run_plan(model_name: str, plan: Plan):
-    model = FITTERS[model_name](plan.fit)
+def _predictions(model_name: str, model, plan: Plan) -> DataFrame:
     sc = scorer_of(model)
     outs = []
     for split, ev in plan.evals:
@@ -85,30 +86,24 @@ def _run_plan(model_name: str, plan: Plan):
         outs.append(p.select(F.lit(model_name).alias("model"), F.lit(split).alias("split"),
                              F.lit(plan.fold).cast("int").alias("fold"),
                              "CustomerID", "label", "prediction", "score"))
-    pred = outs[0]
-    for o in outs[1:]:
-        pred = pred.unionByName(o)
-    return model, pred.checkpoint(eager=True)
+    return outs[0].unionByName(outs[1]).checkpoint(eager=True)
 
 
 def train_models(plans: list[Plan], models: list[str] | None = None, workers: int = 6) -> TrainResult:
-    models = models or list(FITTERS)
+    models = models or list(C.MODEL_NAMES)
     spark = plans[0].fit.sparkSession
     times, fitted, preds = {}, {}, []
     for m in models:
         t0 = time.time()
+        found = fit_plans(m, [p.fit for p in plans], workers)
         with ThreadPoolExecutor(max_workers=workers) as ex:
-            res = list(ex.map(lambda p: (p, _run_plan(m, p)), plans))
-        times[m] = round(time.time() - t0, 3)
-        for p, (model, pr) in res:
-            preds.append(pr)
-            if p.name == "final":
-                fitted[m] = (model, p)
+            preds += ex.map(lambda x: _predictions(m, x[0], x[1]), zip(found, plans, strict=True))
+        times[m] = round(plans[0].seconds + time.time() - t0, 3)
+        fitted[m] = (found[0], plans[0])
     allp = preds[0]
     for p in preds[1:]:
         allp = allp.unionByName(p)
-    allp = allp.checkpoint(eager=True)
-    order = F.create_map(*[x for i, n in enumerate(FITTERS) for x in (F.lit(n), F.lit(i))])
+    order = F.create_map(*[x for i, n in enumerate(C.MODEL_NAMES) for x in (F.lit(n), F.lit(i))])
     tt = spark.createDataFrame([(k, float(v)) for k, v in times.items()], "model string, train_time double")
     met = (M.model_metrics(allp, C.OVERFIT_GAP_PP).join(F.broadcast(tt), "model", "left")
            .withColumn("order", order[F.col("model")]))
@@ -140,25 +135,22 @@ def save_artifacts(result: TrainResult, root: str) -> str:
         .parquet(os.path.join(root, "roc_points"))
     best = best_model_name(result.metrics)
     model, plan = result.models[best]
-    save_model(model, plan.prep, os.path.join(root, "best_model"), best)
+    save_model(result.metrics.sparkSession, model, plan.prep, os.path.join(root, "best_model"), best)
     return best
 
 
-def save_model(model, prep: Prepared, path: str, name: str) -> None:
-    spark = prep.medians.sparkSession
-    kind = type(model).__name__
-    extra = {}
+def save_model(spark: SparkSession, model, prep: Prepared, path: str, name: str) -> None:
+    kind, extra = type(model).__name__, {}
     if isinstance(model, KnnModel):
         model.fit_rows.write.mode("overwrite").parquet(os.path.join(path, "knn_rows"))
-    elif isinstance(model, NewtonBoostModel):
+    elif isinstance(model, BoostedTrees):
         extra = {"edges": model.edges, "base_margin": model.base_margin, "depth": model.depth,
                  "trees": [[t.feature, t.threshold, t.leaf] for t in model.trees]}
+    elif isinstance(model, LogisticModel):
+        extra = {"coefficients": model.coefficients, "intercept": model.intercept}
     else:
         model.write().overwrite().save(os.path.join(path, "classifier"))
-    for nm, df in (("medians", prep.medians), ("scaler", prep.scaler), ("mode", prep.mode),
-                   ("onehot", prep.onehot)):
-        df.write.mode("overwrite").parquet(os.path.join(path, nm))
-    meta = {"name": name, "kind": kind, "onehot_cols": prep.onehot_cols, **extra}
+    meta = {"name": name, "kind": kind, "prepared": prep.as_dict(), **extra}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
         .write.mode("overwrite").text(os.path.join(path, "meta"))
 
@@ -167,13 +159,12 @@ def load_model(spark: SparkSession, path: str):
     """Return (name, scorer, Prepared) for a saved best model."""
     from pyspark.ml import classification as mlc
     meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
-    prep = Prepared(*(spark.read.parquet(os.path.join(path, n)) for n in ("medians", "scaler", "mode", "onehot")),
-                    meta["onehot_cols"])
     if meta["kind"] == "KnnModel":
         model = KnnModel(spark.read.parquet(os.path.join(path, "knn_rows")))
-    elif meta["kind"] == "NewtonBoostModel":
-        model = NewtonBoostModel(meta["edges"], meta["base_margin"], meta["depth"],
-                                 [Tree(*t) for t in meta["trees"]])
+    elif meta["kind"] == "BoostedTrees":
+        model = BoostedTrees(meta["edges"], meta["base_margin"], meta["depth"], [Tree(*t) for t in meta["trees"]])
+    elif meta["kind"] == "LogisticModel":
+        model = LogisticModel(meta["coefficients"], meta["intercept"])
     else:
         model = getattr(mlc, meta["kind"]).load(os.path.join(path, "classifier"))
-    return meta["name"], scorer_of(model), prep
+    return meta["name"], scorer_of(model), Prepared(**meta["prepared"])

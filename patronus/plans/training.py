@@ -10,6 +10,7 @@ from patronus.functions.numeric import rnd
 from patronus.operators import clusters as K
 from patronus.operators import prep as P
 from patronus.operators import rfm
+from patronus.operators.features import FINAL, fit_preps
 from patronus.plans.clusters import KM
 from patronus.plans.registry import oracle, query
 from patronus.plans.sqlbits import R, with_base
@@ -219,10 +220,8 @@ GROUP BY Country ORDER BY count(*) DESC, Country LIMIT 1""", _SPLIT_SQL))
 @query("onehot_country")
 def q_onehot(spark, sf):
     x = split_only_features(spark, sf)
-    fit_rows = x.where(F.col("split") == "train")
-    x = P.impute_mode(x, P.mode_of(fit_rows, "Country"), "Country")
-    fit = P.onehot_fit(x.where(F.col("split") == "train"), "Country", ONEHOT_MIN_FREQ)
-    return P.onehot_transform(x, fit, "Country").select("CustomerID", "Country", "onehot_column")
+    prep = fit_preps(x.where(F.col("split") == "train"), 0, ONEHOT_MIN_FREQ, numeric=[])[FINAL]
+    return x.select("CustomerID", F.coalesce("Country", F.lit(prep.mode)).alias("Country"), prep.onehot_column().alias("onehot_column"))
 
 
 oracle("onehot_country", with_base(f"""

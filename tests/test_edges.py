@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from patronus.operators import dashboards as D
 from patronus.operators import metrics as M
 from patronus.operators import prep as P
+from patronus.operators.features import FINAL, fit_preps
 from patronus.operators import revenue as V
 from patronus.operators.smote import SmoteError, smote
 from patronus.sources import files as S
@@ -94,15 +95,13 @@ def test_leakage_guard():
 
 def test_onehot_rare_unknown_and_drop_first(spark):
     fit_rows = spark.createDataFrame([("A",)] * 5 + [("B",)] * 5 + [("C",)] * 1, "Country string")
-    fit = P.onehot_fit(fit_rows, "Country", 0.2)
-    assert P.onehot_columns(fit) == ["Country_B", "Country_infrequent_sklearn"]
     df = spark.createDataFrame([("A",), ("B",), ("C",), ("Z",)], "Country string")
-    got = {r.Country: r.onehot_column for r in P.onehot_transform(df, fit, "Country").collect()}
-    assert got == {"A": None, "B": "Country_B", "C": "Country_infrequent_sklearn",
-                   "Z": "Country_infrequent_sklearn"}
-    fit2 = P.onehot_fit(fit_rows, "Country", 0.01)
-    got2 = {r.Country: r.onehot_column for r in P.onehot_transform(df, fit2, "Country").collect()}
-    assert got2["Z"] is None and got2["C"] == "Country_C"
+    for share, names, want in ((0.2, ["Country_B", "Country_infrequent_sklearn"], {"C": "Country_infrequent_sklearn", "Z": "Country_infrequent_sklearn"}),
+                               (0.01, ["Country_B", "Country_C"], {"C": "Country_C", "Z": None})):
+        prep = fit_preps(fit_rows, 0, share, numeric=[])[FINAL]
+        assert prep.onehot_cols == names
+        got = {r.Country: r.c for r in df.select("Country", prep.onehot_column().alias("c")).collect()}
+        assert got == {"A": None, "B": "Country_B"} | want
 
 
 def test_mode_tie_smallest(spark):

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from patronus.operators import training as T
 from patronus.operators.knn import knn, knn_vote
-from patronus.operators.models import FITTERS, scorer_of
+from patronus.operators.boosting import Booster, fit_boosters
+from patronus.operators.logistic import fit_logreg_plans
+from patronus.operators.models import fit_plans, scorer_of
+from patronus import config as C
 from patronus.plans.training import training
 from patronus.sources.sinks import write_json_document
 
@@ -21,7 +24,7 @@ def test_save_load_scores_identically(spark, sf_small):
     res = T.train_models(plans, ["Decision Tree"])
     model, plan = res.models["Decision Tree"]
     path = os.path.join(tempfile.mkdtemp(prefix="patronus-model-"), "best")
-    T.save_model(model, plan.prep, path, "Decision Tree")
+    T.save_model(spark, model, plan.prep, path, "Decision Tree")
     name, scorer, prep = T.load_model(spark, path)
     assert name == "Decision Tree" and prep.onehot_cols == plan.prep.onehot_cols
     test = dict(plan.evals)["test"]
@@ -52,11 +55,10 @@ def test_json_document_sink(spark):
 
 
 def test_newton_boost_learns_and_round_trips(spark, sf_small):
-    from patronus.operators.boosting import fit_newton_boost
     from patronus.operators import metrics as M
     plans, _ = T.build_plans(training(spark, sf_small), cv=False)
     plan = plans[0]
-    m = fit_newton_boost(plan.fit, rounds=5)
+    m = fit_boosters([plan.fit], Booster(rounds=5))[0]
     assert len(m.trees) == 5 and abs(sum(m.featureImportances.toArray()) - 1) < 1e-9
     fx = plan.fit
     p = m.scorer()(fx).join(fx.select("CustomerID", "label"), "CustomerID") \
@@ -64,7 +66,7 @@ def test_newton_boost_learns_and_round_trips(spark, sf_small):
                 "CustomerID", "label", "prediction", "score")
     assert M.roc_auc(p).first().auc > 0.6
     path = os.path.join(tempfile.mkdtemp(prefix="patronus-nb-"), "best")
-    T.save_model(m, plan.prep, path, "XGBoost (Newton)")
+    T.save_model(spark, m, plan.prep, path, "XGBoost")
     _, scorer, _ = T.load_model(spark, path)
     a = {r.CustomerID: r.score for r in m.scorer()(fx).collect()}
     b = {r.CustomerID: r.score for r in scorer(fx).collect()}
@@ -116,8 +118,135 @@ def two_clouds(spark):
                                  "CustomerID long, label int, x array<double>").coalesce(1).cache()
 
 
-@pytest.mark.parametrize("name", list(FITTERS))
+@pytest.mark.parametrize("name", C.MODEL_NAMES)
 def test_every_classifier_fits_and_scores(two_clouds, name):
-    got = scorer_of(FITTERS[name](two_clouds))(two_clouds).join(two_clouds, "CustomerID").toPandas()
+    model, half = fit_plans(name, [two_clouds, two_clouds.where("CustomerID % 2 = 0")])
+    assert scorer_of(half)(two_clouds).count() == 240
+    got = scorer_of(model)(two_clouds).join(two_clouds, "CustomerID").toPandas()
     assert len(got) == 240 and got.score.between(0, 1).all()
     assert (got.prediction == got.label).mean() > 0.7
+
+
+def brute_logistic(x, y, c=0.8):
+    """Newton steps in plain numpy, from another start."""
+    n, z = len(y), np.column_stack([x, np.ones(len(y))])
+    s = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
+    ridge, w = np.append(np.ones(x.shape[1]), 0.0), np.full(z.shape[1], 0.1)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ w))
+        w = w - np.linalg.solve(c * z.T @ (z * (s * p * (1 - p))[:, None]) + np.diag(ridge), c * z.T @ (s * (p - y)) + ridge * w)
+    return w
+
+
+def test_logistic_plans_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    fits, want = [], []
+    for n, d in ((300, 4), (120, 2), (40, 3)):
+        x = rng.normal(size=(n, d))
+        y = (x[:, 0] * 3 + rng.normal(size=n) > 1).astype(int)
+        fits.append(spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(n)], "CustomerID long, label int, x array<double>"))
+        want.append(brute_logistic(x, y))
+    for m, w in zip(fit_logreg_plans(fits), want, strict=True):
+        assert np.allclose([*m.coefficients, m.intercept], w, atol=1e-6)
+
+
+def brute_boosting(x, y, how):
+    """The same trees by plain loops over sorted values (no row or column draws)."""
+    base = np.log(y.mean() / (1 - y.mean()))
+    margin = np.full(len(y), base)
+    for _ in range(how.rounds):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+
+        def grow(rows, depth):
+            best = None
+            for j in range(x.shape[1]):
+                for cut in np.unique(x[rows, j])[1:]:
+                    left, right = rows[x[rows, j] < cut], rows[x[rows, j] >= cut]
+                    if min(len(left), len(right)) < how.min_leaf:
+                        continue
+                    if how.kind == "friedman":
+                        gain = len(left) * len(right) / len(rows) * (g[left].mean() - g[right].mean()) ** 2
+                    else:
+                        if min(h[left].sum(), h[right].sum()) < how.min_child_weight:
+                            continue
+                        rate = lambda r: max(abs(g[r].sum()) - how.alpha, 0) ** 2 / (h[r].sum() + how.lam)
+                        gain = rate(left) + rate(right) - rate(rows)
+                    if gain > (how.gamma if how.kind == "newton" else 1e-12) and (best is None or gain > best[0] + 1e-9):
+                        best = (gain, left, right)
+            if depth and best:
+                grow(best[1], depth - 1)
+                grow(best[2], depth - 1)
+            elif how.kind == "friedman":
+                margin[rows] += how.eta * -g[rows].sum() / h[rows].sum()
+            else:
+                margin[rows] += how.eta * -np.sign(g[rows].sum()) * max(abs(g[rows].sum()) - how.alpha, 0) / (h[rows].sum() + how.lam)
+        grow(np.arange(len(y)), how.depth)
+    return 1 / (1 + np.exp(-margin))
+
+
+@pytest.mark.parametrize("how", [Booster(rounds=25, depth=3, eta=0.3, subsample=1, colsample=1),
+                                 Booster("friedman", rounds=25, depth=2, eta=0.3, subsample=1, colsample=1, min_leaf=15)])
+def test_boosters_equal_brute_force(spark, how):
+    """Two plans of 200 and 150 rows, all values cut points; the 21st round starts from written margins."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 3))
+    x[:, 2] = rng.integers(0, 3, 200)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=200) > 0.5).astype(float)
+    rows = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(200)], "CustomerID long, label int, x array<double>")
+    models = fit_boosters([rows, rows.where("CustomerID < 150")], how)
+    for m, n in zip(models, (200, 150), strict=True):
+        got = m.scorer()(rows).orderBy("CustomerID").toPandas().score.to_numpy()
+        assert np.allclose(got[:n], brute_boosting(x[:n], y[:n], how), atol=1e-9)
+
+
+def test_a_tree_by_hand(spark):
+    """Four rows, margin 0: g = ±1/2, h = 1/4.  The cut at 2 gives 2 · (1 − 0.1)² / (0.5 + 1) − 0 = 1.08
+    and leaves ∓0.9 / 1.5 = ∓0.6."""
+    rows = spark.createDataFrame([(1, 0, [1.0]), (2, 0, [1.5]), (3, 1, [2.0]), (4, 1, [9.0])], "CustomerID long, label int, x array<double>")
+    how = Booster(rounds=1, depth=1, eta=1.0, subsample=1, colsample=1, min_child_weight=0.1, alpha=0.1, lam=1.0, gamma=1.0)
+    m = fit_boosters([rows], how)[0]
+    (t,) = m.trees
+    assert m.base_margin == 0 and m.edges[0][t.threshold[0]] == 2.0 and np.allclose(t.leaf, [-0.6, 0.6])
+    assert fit_boosters([rows], Booster(**{**how.__dict__, "gamma": 1.09}))[0].trees[0].feature == [-1]
+
+
+def test_preparation_of_all_plans_from_fold_counts(spark):
+    """Equal to each plan's own fit, with missing values, ties, a rare bucket, and buckets of few values."""
+    import pandas as pd
+    from patronus.operators.features import FINAL, fit_preps
+    rng = np.random.default_rng(12)
+    n = 500
+    pdf = pd.DataFrame({"CustomerID": range(n), "ChurnBinary": rng.integers(0, 2, n), "fold": rng.integers(0, 5, n),
+                        "Country": rng.choice(["A", "B", "C", "D", "E", None], n, p=[0.3, 0.3, 0.2, 0.11, 0.04, 0.05])})
+    for j, c in enumerate(C.NUMERIC_FEATURES):
+        pdf[c] = np.where(rng.random(n) < 0.1, np.nan, np.round(rng.normal(1e6 * j, 3, n), j % 3))
+    pdf["Cluster"] = 2.0
+    rows = [tuple(None if pd.isna(v) else v for v in r) for r in pdf.astype(object).itertuples(index=False)]
+    df = spark.createDataFrame(rows, "CustomerID long, ChurnBinary int, fold int, Country string, " + ", ".join(f"{c} double" for c in C.NUMERIC_FEATURES))
+    for per_bucket in (2_000_000, 40):
+        preps = fit_preps(df, 5, 0.1, per_bucket=per_bucket)
+        assert list(preps) == [FINAL, *range(5)]
+        for p, prep in preps.items():
+            fit = pdf[pdf.fold != p]
+            for c in C.NUMERIC_FEATURES:
+                v = fit[c].fillna(fit[c].median())
+                assert prep.medians[c] == fit[c].median()
+                assert np.isclose(prep.means[c], v.mean(), rtol=1e-12) and np.isclose(prep.deviations[c], v.std(ddof=0), rtol=1e-9, atol=1e-12)
+            count = fit.Country.value_counts()
+            mode = min(count.index, key=lambda s: (-count[s], s))
+            count = fit.Country.fillna(mode).value_counts()
+            kept = sorted(s for s in count.index if count[s] >= 0.1 * len(fit))
+            assert (prep.mode, prep.kept, prep.has_rare) == (mode, kept, len(kept) < len(count))
+    x = preps[0].transform(df).toPandas()
+    assert len(x) == n and {len(v) for v in x.x} == {7 + len(preps[0].onehot_cols)}
+
+
+def test_many_categories_are_counted_not_collected(spark):
+    """10⁵ categories: only what is kept reaches the driver, and the fit has no window over them."""
+    from patronus.operators.features import FINAL, fit_preps
+    df = spark.range(120_000).select(F.when(F.col("id") < 20_000, "big").otherwise(F.concat(F.lit("c"), F.col("id").cast("string"))).alias("Country"))
+    prep = fit_preps(df, 0, 0.01, numeric=[])[FINAL]
+    assert (prep.mode, prep.kept, prep.has_rare, prep.onehot_cols) == ("big", ["big"], True, [C.RARE_BUCKET])
+    got = df.select(prep.onehot_column().alias("c")).groupBy("c").count().collect()
+    assert sorted((r["c"], r["count"]) for r in got if r["c"]) == [(C.RARE_BUCKET, 100_000)]
