@@ -24,11 +24,12 @@ Links.  Round one pairs each set with the least and the greatest set of each of
 signatures, keeps what sizes and sketches allow, and compares exactly: first, for
 each set, the pair that shares most signatures, then the pairs whose ends that did
 not bring together.  What is similar forms components.  Signatures whose other
-sets then all lie in one component are closed.  In those left every set outside the
-least one's component is paired with all sets of other components.  Sketches have 1 to 4
-bits per element (bits that differ come from elements that differ) and bound a
-pair inside the join; only what passes is compared exactly, on the shingles of
-these sets alone.  Pairs inside a component are never formed.
+sets then all lie in one component are closed.  The sets of those left meet by the
+component of their signature's least set: every set outside of that component with all
+others, once for all signatures they share, in chunks of numpy arrays.  Sketches (8 to
+16 bits per element; bits that differ come from elements that differ) bound a pair
+there, and only what passes becomes a row and is compared exactly, on the shingles
+of these sets alone.  Pairs inside a component are never formed.
 
 Defined results: with fewer words than a shingle, the whole sequence is one
 element; null or empty texts have no set and link with nothing; null ids link
@@ -46,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import BETWEEN_SPACES, blocks, grams, mix, signed
-from .shared import bitmap, in_bitmap, written
+from .shared import bitmap, in_bitmap, release, written
 
 SHINGLE = 5
 NEED, OF = 75, 100  # similar: OF * intersection >= NEED * union
@@ -242,29 +243,102 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = ((sig[-1], ident[-1], hot[-1]), known)
 
 
-def _nodes(wanted_ids, wanted_docs):
+def _nodes(wanted_ids, wanted_docs, bits: int, make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, docs, seen = wanted_ids.value, wanted_docs.value, _Seen()
         for batch in batches:
             rows, size = [], 0
-            near = in_bitmap(docs, batch.column(0).to_numpy(zero_copy_only=False))
-            keep = np.flatnonzero(near)
-            texts = batch.column(1).take(pa.array(keep))
+            near = in_bitmap(docs, batch.column(0).to_numpy(zero_copy_only=False), bits)
+            texts = batch.column(1).take(pa.array(np.flatnonzero(near)))
             for _, s in shingle_sets(texts):
-                if len(s) and in_bitmap(ids, np.array([i := set_id(s)]))[0] and seen.new(i):
-                    rows.append((i, signed(s)))
+                if len(s) and in_bitmap(ids, np.array([i := set_id(s)]), bits)[0] and seen.new(i):
+                    rows.append((i, s))
                     size += len(s)
                 if size > 1 << 18:
-                    yield _node_batch(rows)
+                    yield make(rows)
                     rows, size = [], 0
             if rows:
-                yield _node_batch(rows)
+                yield make(rows)
     return run
 
 
 def _node_batch(rows) -> pa.RecordBatch:
-    i, sh = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(sh, pa.list_(pa.int64()))], names=["id", "shingles"])
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([signed(s) for _, s in rows], pa.list_(pa.int64()))],
+                                      names=["id", "shingles"])
+
+
+def wide_sketch(s: np.ndarray) -> np.ndarray:
+    """Occupied places of a hash table of 8 to 16 places per element, by the low bits, so
+    that the table of half the size is the two halves together."""
+    log = max(6, (8 * len(s) - 1).bit_length())
+    bits = np.zeros(1 << log, dtype=np.uint8)
+    bits[(mix(s) & _U((1 << log) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(_U)
+
+
+def _sketch_batch(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        pa.array([i for i, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()),
+        pa.array([wide_sketch(s).tobytes() for _, s in rows], pa.binary())], names=["id", "n", "bits"])
+
+
+def _halved(words: np.ndarray, to: int) -> np.ndarray:
+    while words.shape[1] > to:
+        half = words.shape[1] // 2
+        words = words[:, :half] | words[:, half:]
+    return words
+
+
+def _close_pairs(outer, every):
+    """(a, b) of different labels whose sizes and sketches allow similarity: a of ``outer``,
+    b of ``every``; two outer sets are one pair.  Sets meet in runs of like sizes."""
+    oi, ol, on, ob = (outer.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label", "n", "bits"))
+    ei, el, en, eb = (every.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label", "n", "bits"))
+    main = every.column("main").to_numpy(zero_copy_only=False)
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    order = np.argsort(en, kind="stable")
+    ei, el, en, main = ei[order], el[order], en[order], main[order]
+    lengths = np.array([len(x) for x in eb[order]]) // 8 if len(ei) else np.zeros(0, int)
+    tables = {w: np.frombuffer(b"".join(eb[order][lengths == w]), _U).reshape(-1, w) for w in np.unique(lengths)}
+    place = np.zeros(len(ei), np.int64)
+    for w in tables:
+        place[lengths == w] = np.arange((lengths == w).sum())
+    for i, label, n, b in zip(oi, ol, on, ob, strict=True):
+        lo, hi = np.searchsorted(en, -(-n * NEED // OF)), np.searchsorted(en, n * OF // NEED, "right")
+        if lo == hi:
+            continue
+        mine = np.frombuffer(b, _U).reshape(1, -1)
+        for w, table in tables.items():
+            rows = np.flatnonzero(lengths[lo:hi] == w) + lo
+            rows = rows[(el[rows] != label) & (main[rows] | (ei[rows] > i))]
+            for at in range(0, len(rows), 4096):
+                some = rows[at:at + 4096]
+                to = min(w, mine.shape[1])
+                differ = np.bitwise_count(_halved(table[place[some]], to) ^ _halved(mine, to)).sum(1, dtype=np.int64)
+                some = some[(OF + NEED) * differ <= (OF - NEED) * (en[some] + n)]
+                out_a.append(np.full(len(some), i))
+                out_b.append(ei[some])
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def across(rest: DataFrame, sketches: DataFrame, chunk: int = 4096) -> DataFrame:
+    """Pairs (a, b) of sets that an open signature holds in different components, as far as
+    sizes and sketches allow.  rest: (main, id, label), the sets of all open signatures
+    whose least one's component is ``main``; sets outside of it meet all others, once,
+    whatever the number of signatures they share.  Large groups are dealt out in chunks."""
+    counts = rest.groupBy("main").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label") != F.col("main")).alias("outer"))
+    size = lambda c: F.greatest(F.ceil(F.col(c) / chunk), F.lit(1)).cast("int")
+    counts = counts.select(F.col("main").alias("key"), size("outer").alias("I"), size("rows").alias("J"))
+    rows = rest.join(sketches, "id").join(counts, F.col("main") == F.col("key")).select(
+        "key", "id", "label", (F.col("label") == F.col("main")).alias("main"), "n", "bits", "I", "J")
+    of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = rows.where(~F.col("main")).select("key", of("I").alias("i"), all_of("J").alias("j"), "id", "label", "n", "bits")
+    every = rows.select(F.col("key").alias("key2"), all_of("I").alias("i2"), of("J").alias("j2"), *[
+        F.col(c).alias(c) for c in ("id", "label", "main", "n", "bits")])
+    met = outer.groupBy("key", "i", "j").cogroup(every.groupBy("key2", "i2", "j2")).applyInArrow(_close_pairs, "a long, b long")
+    return met.distinct()
 
 
 def _allowed(ka: Column, kb: Column) -> Column:
@@ -295,18 +369,27 @@ def possible(pairs: DataFrame, brief: DataFrame) -> DataFrame:
 
 def similar(pairs: DataFrame, df: DataFrame, brief: DataFrame, key: str, text: str) -> DataFrame:
     """The pairs (a, b) whose sets are similar, compared exactly.  Only the sets that
-    occur are read from the texts again: two bitmaps of fixed size pick them (and a
-    few others by chance, which no pair joins).  The set of b goes to a's."""
-    spark = df.sparkSession
+    occur are read from the texts again.  The set of b goes to a's."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = written(wanted.join(brief.select("id", "doc"), "id"), "jaccard-wanted")
-    bits = [spark.sparkContext.broadcast(bitmap(wanted, c)) for c in ("id", "doc")]
-    texts = df.select(F.xxhash64(F.col(key)), F.col(text).cast("string"))
-    nodes = written(texts.mapInArrow(_nodes(*bits), "id long, shingles array<long>"), "jaccard-nodes")
+    nodes = written(sets_again(wanted, df, brief, key, text, _node_batch, "id long, shingles array<long>"), "jaccard-nodes")
     node = lambda s: nodes.select(F.col("id").alias(s), F.col("shingles").alias(f"s{s}"))
     both = pairs.join(node("b"), "b").join(node("a"), "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    return written(both.where(OF * common >= NEED * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct(), "jaccard-links")
+    out = written(both.where(OF * common >= NEED * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct(), "jaccard-links")
+    release(nodes)
+    return out
+
+
+def sets_again(wanted: DataFrame, df: DataFrame, brief: DataFrame, key: str, text: str, make, schema: str) -> DataFrame:
+    """``make`` of the sets ``wanted`` (id), read from the texts again.  Two bitmaps pick
+    them, and a few others by chance; those that join nothing do no harm.  They have 16
+    bits a set, at most 2^28 (32 MB): beyond 10^8 sets more pass by chance."""
+    spark = df.sparkSession
+    wanted = written(wanted.join(brief.select("id", "doc"), "id"), "jaccard-wanted")
+    bits = 1 << min(max((16 * wanted.count()).bit_length(), 16), 28)
+    maps = [spark.sparkContext.broadcast(bitmap(wanted, c, bits)) for c in ("id", "doc")]
+    texts = df.select(F.xxhash64(F.col(key)), F.col(text).cast("string"))
+    return texts.mapInArrow(_nodes(*maps, bits, make), schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -363,13 +446,13 @@ def links(df: DataFrame, sets: DataFrame, common: np.ndarray, key: str = "doc_id
         _shared_only, "sig long, id long"), "jaccard-shared")
     ends = shared.groupBy("sig").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where(
         F.col("least") != F.col("most"))
-    shared = written(shared.join(ends, "sig"), "jaccard-groups")
-    brief = sets.join(shared.select("id").distinct(), "id", "left_semi").groupBy("id").agg(
+    groups = written(shared.join(ends, "sig"), "jaccard-groups")
+    brief = sets.join(groups.select("id").distinct(), "id", "left_semi").groupBy("id").agg(
         F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("n", "band", "small", "own", "next")])
     brief = written(brief.withColumn("doc", F.xxhash64("doc")), "jaccard-brief")
     # round one: each set with the least and the greatest set of its signatures, first the one that shares most
     ordered = [F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")]
-    pairs = shared.select("id", F.explode(F.array("least", "most")).alias("pivot")).where(F.col("id") != F.col("pivot")).groupBy(
+    pairs = groups.select("id", F.explode(F.array("least", "most")).alias("pivot")).where(F.col("id") != F.col("pivot")).groupBy(
         "id", "pivot").agg(F.count(F.lit(1)).alias("times")).select("id", "pivot", "times", *ordered)
     close = written(possible(pairs, brief), "jaccard-close")
     best = close.groupBy("id").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("pivot")).select(*ordered).distinct()
@@ -384,24 +467,17 @@ def links(df: DataFrame, sets: DataFrame, common: np.ndarray, key: str = "doc_id
         side_labels(labels, "b"), "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
     left = written(left, "jaccard-left")
     linked = linked.unionByName(similar(left, df, brief, key, text))
+    release(shared, close)
     # round two: of what is open still, the sets outside the least one's component with all others
     labels = components(linked)
-    labelled = shared.where((F.col("n") > 3) & (F.col("id") != F.col("least")) & (F.col("id") != F.col("most"))).withColumnRenamed(
-        "n", "size").join(labels, "id", "left").join(side_labels(labels, "least"), "least", "left").select(
-        "sig", "id", "size", F.coalesce("label", "id").alias("label"), F.coalesce("label_least", "least").alias("main"))
+    labelled = groups.where((F.col("n") > 3) & (F.col("id") != F.col("least")) & (F.col("id") != F.col("most"))).join(
+        labels, "id", "left").join(side_labels(labels, "least"), "least", "left").select(
+        "sig", "id", F.coalesce("label", "id").alias("label"), F.coalesce("label_least", "least").alias("main"))
     sorts = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("sig")
-    pieces = F.greatest(F.ceil(F.col("size") / 1024), F.lit(1)).cast("long")
-    rest = written(labelled.join(sorts, "sig").join(brief.select("id", "n", "small"), "id").select(
-        "sig", "id", "label", (F.col("label") == F.col("main")).alias("main"), "n", "small",
-        F.pmod(F.xxhash64("id"), pieces).alias("piece"), F.sequence(F.lit(0).cast("long"), pieces - 1).alias("pieces")), "jaccard-open")
-    side = lambda s, i, j: [i.alias(f"i_{s}"), j.alias(f"j_{s}"), F.col("sig").alias(f"sig_{s}"), F.col("id").alias(s), *[
-        F.col(c).alias(f"{c}_{s}") for c in ("label", "main", "n", "small")]]
-    out = rest.where(~F.col("main")).select(*side("a", F.col("piece"), F.explode("pieces")))
-    every = rest.select(*side("b", F.explode("pieces"), F.col("piece")))
-    cross = (F.col("sig_a") == F.col("sig_b")) & (F.col("i_a") == F.col("i_b")) & (F.col("j_a") == F.col("j_b")) & (
-        F.col("label_a") != F.col("label_b")) & (F.col("main_b") | (F.col("a") < F.col("b"))) & _allowed(F.col("small_a"), F.col("small_b"))
-    more = out.join(every, cross).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(possible(more, brief).join(best.unionByName(left), ["a", "b"], "left_anti"), "jaccard-second")
+    rest = written(labelled.join(sorts, "sig").select("main", "id", "label").distinct(), "jaccard-open")
+    sketches = written(sets_again(rest.select("id").distinct(), df, brief, key, text, _sketch_batch, "id long, n long, bits binary"), "jaccard-sketches")
+    more = written(across(rest, sketches).join(best.unionByName(left), ["a", "b"], "left_anti"), "jaccard-second")
+    release(groups, sketches)
     return linked.unionByName(similar(more, df, brief, key, text))
 
 
