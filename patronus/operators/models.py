@@ -32,6 +32,7 @@ from patronus.operators.knn import RefSlabs, knn, knn_vote
 from patronus.operators.logistic import fit_logreg_plans
 
 Scorer = Callable[[DataFrame], DataFrame]
+KNN_K = 25
 
 
 def _vec(df: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def fit_forest(df: DataFrame, seed: int = C.SEED):
 class KnnModel:
     """Lazy k-NN 'model': the (checkpointed) fit rows themselves."""
 
-    def __init__(self, fit_rows: DataFrame, k: int = 25):
+    def __init__(self, fit_rows: DataFrame, k: int = KNN_K):
         self.fit_rows = fit_rows
         self.k = k
         self.featureImportances = None

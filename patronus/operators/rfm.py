@@ -135,6 +135,15 @@ def clv_of(r: Column, f: Column, m: Column) -> Column:
     return F.greatest(F.lit(0.0), m * (1 + f / F.col("fmax")) * (1 - r / F.col("rmax")))
 
 
+def recency_risk(t: Tables) -> DataFrame:
+    """B8 alone: CustomerID, Recency, ChurnRisk.  Of the line items only their order
+    keys are read, to leave out orders without any."""
+    orders = _orders_keyed(t).join(t.read("lineitem", "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+    last = orders.groupBy(F.col("o_custkey").alias("CustomerID")).agg(F.max("od").alias("last_od"))
+    days = (F.datediff("snap_date", "last_od") + 1).cast("int").alias("Recency")
+    return last.crossJoin(F.broadcast(snapshot(t))).select("CustomerID", days).withColumn("ChurnRisk", churn_risk_of(F.col("Recency")))
+
+
 def score(base: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """B5–B10 on every customer; stats is the broadcast 1-row frame."""
     # the 1-row statistics are materialised once, so every later read of the

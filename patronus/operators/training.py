@@ -25,12 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronus import config as C
+from patronus.functions.numeric import rnd
 from patronus.operators import metrics as M
 from patronus.operators.boosting import BoostedTrees, Tree
+from patronus.operators.compare import explanation_document
 from patronus.operators.features import FINAL, Prepared, fit_preps
 from patronus.operators.logistic import LogisticModel
 from patronus.operators.models import KnnModel, fit_plans, importances, scorer_of
 from patronus.operators.smote import needs_smote, smote
+from patronus.sources.sinks import write_json_document, write_list_document
 
 @dataclass
 class Plan:
@@ -124,9 +127,38 @@ def best_model_name(metrics: DataFrame) -> str:
 
 # --- A8 / A9: artefacts ---------------------------------------------------------------------
 
-def save_artifacts(result: TrainResult, root: str) -> str:
-    """Write the long artefact tables and the best model (classifier +
-    fitted preprocessing) under ``root``; returns the best model's name."""
+def split_record(frame: DataFrame, smote_applied: bool, best_model: str, folds: int = C.CV_FOLDS) -> DataFrame:
+    """One row on the split that was trained on and the model chosen."""
+    y, tr, te = F.col("ChurnBinary"), F.col("split") == "train", F.col("split") == "test"
+    names = lambda xs: F.array(*[F.lit(x) for x in xs])
+    return frame.agg(
+        F.count(F.lit(1)).alias("total_samples"), F.count_if(tr).alias("train_samples"), F.count_if(te).alias("test_samples"),
+        rnd(F.avg(F.when(tr, y)) * 100, 1).alias("churn_rate_train"), rnd(F.avg(F.when(te, y)) * 100, 1).alias("churn_rate_test")).select(
+        "*", names(C.ALL_FEATURES).alias("features_used"), names(C.LEAKY_REPORTED).alias("leaky_features_removed"),
+        F.lit(smote_applied).alias("smote_applied"), F.lit(folds).alias("cv_folds"), F.lit(best_model).alias("best_model"))
+
+
+def evaluation(preds: DataFrame) -> DataFrame:
+    """Per (model, split, fold) the confusion matrix, accuracy, precision, recall, F1
+    (percent), ROC-AUC and average precision (fractions)."""
+    keys = ["model", "split", "fold"]
+    counts = M.confusion_matrix(preds).select(*keys, "tn", "fp", "fn", "tp")
+    out = counts.join(M.classification_metrics(preds), keys)
+    return out.join(M.roc_auc(preds).select(*keys, "auc"), keys, "left").join(M.average_precision(preds), keys, "left")
+
+
+def reloaded_predictions(spark: SparkSession, root: str, frame: DataFrame) -> DataFrame:
+    """The test rows of ``frame`` scored by the model saved under ``root``."""
+    name, scorer, prep = load_model(spark, os.path.join(root, "best_model"))
+    x = prep.transform(frame.where(F.col("split") == "test"))
+    return scorer(x).join(x.select("CustomerID", "label"), "CustomerID").select(
+        F.lit(name).alias("model"), F.lit("test").alias("split"), F.lit(-1).alias("fold"), "CustomerID", "label", "prediction", "score")
+
+
+def save_artifacts(result: TrainResult, root: str, frame: DataFrame | None = None) -> str:
+    """Write the long artefact tables, the documents (explanation, feature list and, given
+    the training frame, the split's record) and the best model (classifier + fitted
+    preprocessing) under ``root``; returns the best model's name."""
     result.metrics.write.mode("overwrite").parquet(os.path.join(root, "model_metrics"))
     result.importances.write.mode("overwrite").parquet(os.path.join(root, "feature_importance"))
     cm = M.confusion_matrix(result.predictions.where(F.col("split") == "test"))
@@ -134,8 +166,13 @@ def save_artifacts(result: TrainResult, root: str) -> str:
     M.roc_points(result.predictions.where(F.col("split") == "test")).write.mode("overwrite") \
         .parquet(os.path.join(root, "roc_points"))
     best = best_model_name(result.metrics)
+    spark = result.metrics.sparkSession
+    write_json_document(explanation_document(result.metrics), os.path.join(root, "explanation"))
+    write_list_document(C.ALL_FEATURES, spark, os.path.join(root, "features"))
+    if frame is not None:
+        write_json_document(split_record(frame, result.smote_applied, best, max(1, len(result.plans) - 1)), os.path.join(root, "split_info"))
     model, plan = result.models[best]
-    save_model(result.metrics.sparkSession, model, plan.prep, os.path.join(root, "best_model"), best)
+    save_model(spark, model, plan.prep, os.path.join(root, "best_model"), best)
     return best
 
 

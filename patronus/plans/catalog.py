@@ -8,6 +8,7 @@ from patronus.plans import dashboards  # noqa: F401
 from patronus.plans import revenue  # noqa: F401
 from patronus.plans import clusters  # noqa: F401
 from patronus.plans import training  # noqa: F401
+from patronus.plans import neighbours  # noqa: F401
 from patronus.plans import evaluation  # noqa: F401
 from patronus.plans import models  # noqa: F401
 from patronus.plans.registry import ORACLE, QUERIES

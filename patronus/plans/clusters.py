@@ -7,17 +7,22 @@ it is an independent statement of the converged result.
 
 from __future__ import annotations
 
+import uuid
+
 from patronus import config as C
 from patronus.operators import clusters as K
 from patronus.operators import dashboards as D
-from patronus.operators import rfm
 from patronus.plans.registry import oracle, query
 from patronus.plans.sqlbits import MEAN, R, with_base
+from patronus.session import scratch_path
+from patronus.sources.customer_table import stored_profiles
+from patronus.sources.files import RFM_SCHEMA, read_rfm_csv
+from patronus.sources.sinks import write_csv
 from patronus.sources.tables import tables
 
 
 def clustered_profiles(spark, sf):
-    return K.with_clusters(rfm.customer_profiles(tables(spark, sf)))
+    return K.with_clusters(stored_profiles(tables(spark, sf)))
 
 
 def _p(x: float) -> str:
@@ -120,3 +125,13 @@ UNION ALL
 SELECT 'churn', ChurnRisk, count(*) FROM crfm WHERE ChurnRisk IS NOT NULL GROUP BY ChurnRisk
 UNION ALL
 SELECT 'cluster', ClusterLabel, count(*) FROM crfm WHERE ClusterLabel IS NOT NULL GROUP BY ClusterLabel""", KM))
+
+
+# A1: the whole 19-column customer table, written as CSV and scanned with its declared schema
+@query("scan_rfm_full_csv")
+def q_scan_rfm_full(spark, sf):
+    path = scratch_path(spark, f"rfm-{uuid.uuid4().hex}")
+    return read_rfm_csv(spark, write_csv(clustered_profiles(spark, sf).select(*RFM_SCHEMA.names), path))
+
+
+oracle("scan_rfm_full_csv", with_base(f"SELECT {', '.join(RFM_SCHEMA.names)} FROM crfm", KM))

@@ -63,7 +63,7 @@ oracle("recommendations", with_base("SELECT CustomerID, Segment, Recommendation
 
 @query("churn_risk_rule")
 def q_churn_risk(spark, sf):
-    return rfm.customer_profiles(tables(spark, sf)).select("CustomerID", "Recency", "ChurnRisk")
+    return rfm.recency_risk(tables(spark, sf))
 
 
 oracle("churn_risk_rule", with_base("SELECT CustomerID, Recency, ChurnRisk FROM rfm"))

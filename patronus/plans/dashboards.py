@@ -7,11 +7,12 @@ from patronus.operators import rfm
 from patronus.plans.registry import oracle, query
 from patronus.functions.text import sql_fill
 from patronus.plans.sqlbits import MEAN, R, with_base
+from patronus.sources.customer_table import stored_profiles
 from patronus.sources.tables import tables
 
 
 def _rfm(spark, sf):
-    return rfm.customer_profiles(tables(spark, sf))
+    return stored_profiles(tables(spark, sf))
 
 
 def _r2(cols, types_double):

@@ -11,6 +11,8 @@ fold for 'cv_test' / 'cv_train' rows and -1 for 'test' / 'train' rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +20,15 @@ from patronus import config as C
 from patronus.operators import compare as CMP
 from patronus.operators import metrics as M
 from patronus.operators import prep as P
-from patronus.operators import rfm
+from patronus.operators.training import evaluation
 from patronus.plans.registry import oracle, query
 from patronus.functions.text import sql_fill
 from patronus.plans.sqlbits import R, with_base
 from patronus.plans.training import TRAIN_INTERCEPT, labeled_sql, split_sql
+from patronus.session import scratch_path
+from patronus.sources.customer_table import stored_profiles
+from patronus.sources.files import read_explanation_json
+from patronus.sources.sinks import write_json_document
 from patronus.sources.tables import tables
 
 
@@ -54,7 +60,7 @@ def expand_splits(df: DataFrame, folds: int = C.CV_FOLDS) -> DataFrame:
 
 
 def rule_predictions(spark, sf) -> DataFrame:
-    prof = rfm.customer_profiles(tables(spark, sf))
+    prof = stored_profiles(tables(spark, sf))
     lab = P.stratified_split(P.churn_label(prof, intercept=TRAIN_INTERCEPT))
     models = F.array(*[F.struct(F.lit(n).alias("model"), s.cast("double").alias("score"),
                                 p.cast("int").alias("prediction"))
@@ -284,3 +290,28 @@ def q_explanation(spark, sf):
 
 
 oracle("model_explanation", _q(_EXPL_SQL))
+
+
+# The nested document written by Spark and read back with its declared schema
+@query("explanation_document")
+def q_explanation_document(spark, sf):
+    path = scratch_path(spark, f"explanation-{uuid.uuid4().hex}")
+    write_json_document(CMP.explanation_document(rule_metrics(spark, sf)), path)
+    return CMP.flat_explanation(read_explanation_json(spark, path))
+
+
+oracle("explanation_document", _q(_EXPL_SQL))
+
+
+# M22 on the two rule predictors
+@query("evaluation_summary")
+def q_evaluation_summary(spark, sf):
+    return evaluation(rule_predictions(spark, sf))
+
+
+oracle("evaluation_summary", _q(f"""
+SELECT model, split, fold, tn, fp, fn, tp, {R('acc * 100', 2)} AS accuracy, {R('prec * 100', 2)} AS precision,
+       {R('rec * 100', 2)} AS recall, {R('f1 * 100', 2)} AS f1, {R('auc', 6)} AS auc, average_precision
+FROM rt LEFT JOIN auc USING (model, split, fold) LEFT JOIN (
+  SELECT model, split, fold, {R('CAST(sum(CAST(CAST(pos * (P - cpos + pos) AS DOUBLE) / CAST(P * ((P - cpos + pos) + (N - cneg + neg)) AS DOUBLE) AS DECIMAL(38,18))) AS DOUBLE)', 6)}
+         AS average_precision FROM sp GROUP BY model, split, fold) USING (model, split, fold)"""))

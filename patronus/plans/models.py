@@ -17,6 +17,8 @@ from patronus.operators.smote import smote
 from patronus.plans.registry import query
 from patronus.plans.training import training
 from patronus.session import scratch_path
+from patronus.sources.customer_table import content_key
+from patronus.sources.tables import tables
 
 _MODEL_QUERIES = {
     "model_logreg": "Logistic Regression",
@@ -29,15 +31,23 @@ _MODEL_QUERIES = {
 
 
 _FINAL: dict = {}
+_RUNS: dict = {}
+
+
+def _kept(memo, spark, sf, make):
+    """The one result a session keeps for the queries that share it: that of the last
+    folder asked for, made anew when the folder's tables have changed."""
+    key = (spark.sparkContext.applicationId, sf, content_key(tables(spark, sf)))
+    if key not in memo:
+        memo.clear()
+        memo[key] = make()
+    return memo[key]
 
 
 def _final_plan(spark, sf):
     """The prepared final plan (train → test) for a data directory, shared
     by the single-model queries of one session (checkpointed files)."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _FINAL:
-        _FINAL[key], _ = T.build_plans(training(spark, sf), cv=False)
-    return _FINAL[key]
+    return _kept(_FINAL, spark, sf, lambda: T.build_plans(training(spark, sf), cv=False)[0])
 
 
 def _single(name):
@@ -60,20 +70,16 @@ def q_smote(spark, sf):
     return out.select("CustomerID", "label", (F.col("CustomerID") < 0).alias("synthetic"), "x")
 
 
-_RUNS: dict = {}
-
-
 def full_run(spark, sf):
     """The training run for a data directory, shared by the queries that
     read its outputs (metrics, CV metrics, importances, explanation, saved
     model) within one session; its frames are checkpointed files."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _RUNS:
+    def run():
         plans, use_smote = T.build_plans(training(spark, sf))
         res = T.train_models(plans)
         res.smote_applied = use_smote
-        _RUNS[key] = res
-    return _RUNS[key]
+        return res
+    return _kept(_RUNS, spark, sf, run)
 
 
 @query("model_metrics")
@@ -97,20 +103,37 @@ def q_model_comparison(spark, sf):
     return CMP.explanation(full_run(spark, sf).metrics)
 
 
+def _saved_run(spark, sf):
+    """The training run's artefacts, written to the shared folder: (folder, training frame)."""
+    frame = training(spark, sf)
+    root = scratch_path(spark, f"artifacts-{uuid.uuid4().hex}")
+    T.save_artifacts(full_run(spark, sf), root, frame)
+    return root, frame
+
+
 @query("evaluate_saved_model")
 def q_evaluate_saved(spark, sf):
-    """Train, save the best model, load it back and re-evaluate it on
+    """The best model of the run, saved, loaded back and re-evaluated on
     the same keyed test split (the split is a pure function of the data)."""
-    res = full_run(spark, sf)
-    root = scratch_path(spark, f"artifacts-{uuid.uuid4().hex}")
-    T.save_artifacts(res, root)
-    name, scorer, prep = T.load_model(spark, f"{root}/best_model")
-    te = training(spark, sf).where(F.col("split") == "test")
-    x = prep.transform(te)
-    p = scorer(x).join(x.select("CustomerID", "label"), "CustomerID") \
-        .select(F.lit(name).alias("model"), F.lit("test").alias("split"), F.lit(-1).alias("fold"),
-                "CustomerID", "label", "prediction", "score")
-    return M.classification_report(p)
+    root, frame = _saved_run(spark, sf)
+    return M.classification_report(T.reloaded_predictions(spark, root, frame))
+
+
+@query("evaluate_saved_model_summary")
+def q_evaluate_saved_summary(spark, sf):
+    """Confusion matrix, rates, ROC-AUC and average precision of the reloaded model."""
+    root, frame = _saved_run(spark, sf)
+    return T.evaluation(T.reloaded_predictions(spark, root, frame))
+
+
+@query("saved_split_info")
+def q_saved_split_info(spark, sf):
+    """The record of the split with the best model, read back from its document."""
+    from patronus.sources.files import read_split_info_json
+    root, _ = _saved_run(spark, sf)
+    return read_split_info_json(spark, f"{root}/split_info").select(
+        *[c for c in ("total_samples", "train_samples", "test_samples", "churn_rate_train", "churn_rate_test", "smote_applied", "cv_folds", "best_model")],
+        F.array_join("features_used", ",").alias("features_used"), F.array_join("leaky_features_removed", ",").alias("leaky_features_removed"))
 
 
 @query("score_customers_model")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from patronus.operators import revenue as V
 from patronus.plans.registry import oracle, query
 from patronus.plans.sqlbits import R
+from patronus.session import scratch_path
+from patronus.sources.files import read_countries_csv, read_monthly_csv, read_products_csv
+from patronus.sources.sinks import write_csv
 from patronus.sources.tables import tables
 
 HORIZON = 6
@@ -146,3 +151,37 @@ SELECT {R('th', 2)} AS total_historical, {R('th / nh', 2)} AS avg_monthly, {R('t
        {R('(tf / nf - th / nh) / (th / nh) * 100', 1)} AS growth_pct
 FROM (SELECT CAST(sum(CAST(Revenue AS DECIMAL(38,6))) AS DOUBLE) AS th, count(*) AS nh FROM monthly)
 CROSS JOIN (SELECT CAST(sum(CAST(Revenue AS DECIMAL(38,6))) AS DOUBLE) AS tf, count(*) AS nf FROM fc)"""))
+
+
+# A2, A3, A4: the revenue tables written as CSV and scanned with their declared schemas
+def _scanned(spark, df, read):
+    return read(spark, write_csv(df, scratch_path(spark, f"csv-{uuid.uuid4().hex}")))
+
+
+@query("scan_monthly_csv")
+def q_scan_monthly(spark, sf):
+    return _scanned(spark, V.monthly_revenue(tables(spark, sf)), read_monthly_csv)
+
+
+oracle("scan_monthly_csv", _with(MONTHLY_CTE, "SELECT Month, Revenue FROM monthly"))
+
+
+@query("scan_products_csv")
+def q_scan_products(spark, sf):
+    return _scanned(spark, V.product_revenue(tables(spark, sf)), read_products_csv)
+
+
+oracle("scan_products_csv", _with(PRODUCT_CTE, "SELECT Product, Revenue FROM prod"))
+
+
+@query("scan_countries_csv")
+def q_scan_countries(spark, sf):
+    return _scanned(spark, V.country_revenue(tables(spark, sf)), read_countries_csv)
+
+
+oracle("scan_countries_csv", """
+SELECT n_name AS Country,
+       CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS Revenue
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+     JOIN customer ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey
+GROUP BY n_name""")

@@ -14,6 +14,7 @@ from patronus.operators.features import FINAL, fit_preps
 from patronus.plans.clusters import KM
 from patronus.plans.registry import oracle, query
 from patronus.plans.sqlbits import R, with_base
+from patronus.sources.customer_table import stored_profiles
 from patronus.sources.tables import tables
 
 TRAIN_INTERCEPT = 0.0  # see README: the reference intercept leaves too few positives here
@@ -61,11 +62,11 @@ spl AS (SELECT rk.* EXCLUDE (rnk), CASE WHEN rnk <= n_test THEN 'test' ELSE 'tra
 # ---- Spark builders ----------------------------------------------------------------
 
 def labeled_profiles(spark, sf, intercept):
-    return P.churn_label(rfm.customer_profiles(tables(spark, sf)), intercept=intercept)
+    return P.churn_label(stored_profiles(tables(spark, sf)), intercept=intercept)
 
 
 def training(spark, sf, intercept=TRAIN_INTERCEPT):
-    prof = K.with_clusters(rfm.customer_profiles(tables(spark, sf)))
+    prof = K.with_clusters(stored_profiles(tables(spark, sf)))
     return P.training_frame(prof, intercept=intercept)
 
 

@@ -47,6 +47,20 @@ RESULT_STRUCT = T.StructType([T.StructField(f, D) for f in METRIC_FIELDS]
 RESULTS_SCHEMA = T.MapType(S, RESULT_STRUCT)
 
 
+SPLIT_INFO_SCHEMA = T.StructType([
+    T.StructField("total_samples", L), T.StructField("train_samples", L), T.StructField("test_samples", L),
+    T.StructField("churn_rate_train", D), T.StructField("churn_rate_test", D),
+    T.StructField("features_used", T.ArrayType(S)), T.StructField("leaky_features_removed", T.ArrayType(S)),
+    T.StructField("smote_applied", T.BooleanType()), T.StructField("cv_folds", I), T.StructField("best_model", S)])
+EXPLANATION_SCHEMA = T.StructType([
+    T.StructField("best_model", S), T.StructField("best_model_f1", D), T.StructField("best_model_auc", D),
+    T.StructField("highest_auc_model", S), T.StructField("highest_auc", D),
+    T.StructField("overfit_models", T.ArrayType(S)), T.StructField("clean_models", T.ArrayType(S)),
+    T.StructField("accuracy_range", T.StructType([T.StructField("min", D), T.StructField("max", D)])),
+    T.StructField("explanation", T.StructType([T.StructField(t, S) for t in (
+        "why_best_performed", "overfitting_analysis", "business_interpretation", "accuracy_range_note")]))])
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Header CSV with RFC-4180 quoting (a quoted field may hold commas or
     doubled quotes)."""
@@ -92,6 +106,22 @@ def stats_counts_long(stats: DataFrame) -> DataFrame:
     return out
 
 
+def read_explanation_json(spark: SparkSession, path: str) -> DataFrame:
+    """The one-row explanation document."""
+    return read_json_or_default(spark, path, EXPLANATION_SCHEMA)
+
+
+def read_split_info_json(spark: SparkSession, path: str) -> DataFrame:
+    """The one-row record of the split (no row where the file is missing)."""
+    return read_json_or_default(spark, path, SPLIT_INFO_SCHEMA)
+
+
+def read_feature_list(spark: SparkSession, path: str) -> DataFrame:
+    """(order, feature) of the feature list document."""
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", T.ArrayType(S)).alias("f"))
+    return doc.select(F.posexplode("f").alias("order", "feature"))
+
+
 def read_forecast_json(spark: SparkSession, path: str) -> DataFrame:
     """(kind, idx, Month, Revenue) from the forecast document."""
     doc = spark.read.schema(FORECAST_SCHEMA).option("multiLine", True).json(path)

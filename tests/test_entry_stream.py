@@ -24,7 +24,8 @@ def test_queries_have_oracles_or_are_models():
     rows_only = set(q) - set(o)
     assert rows_only <= {"model_logreg", "model_tree", "model_forest", "model_newton_boost", "model_knn",
                          "model_gbt", "smote_balance", "model_metrics", "cv_metrics", "feature_importance",
-                         "model_comparison", "evaluate_saved_model", "score_customers_model"}
+                         "model_comparison", "evaluate_saved_model", "evaluate_saved_model_summary",
+                         "saved_split_info", "score_customers_model"}
 
 
 def test_stream_rule_scoring_matches_batch(spark, sf_small):

@@ -99,6 +99,30 @@ def test_explanation_matches_published(spark):
     assert (e["best_model_f1"], e["best_model_auc"], e["highest_auc"]) == (62.07, 79.15, 81.76)
 
 
+def test_explanation_document_matches_published(spark):
+    """Written by Spark and read as JSON: the nested document as published, key for key."""
+    import glob
+    import json
+    import tempfile
+    from patronus.sources.files import read_explanation_json
+    from patronus.sources.sinks import write_json_document
+    path = tempfile.mkdtemp(prefix="patronus-doc-") + "/explanation"
+    write_json_document(CMP.explanation_document(_results_df(spark)), path)
+    (part,) = glob.glob(f"{path}/part-*")
+    doc = json.load(open(part, encoding="utf-8"))
+    assert doc == {
+        "best_model": "Random Forest", "best_model_f1": 62.07, "best_model_auc": 79.15,
+        "highest_auc_model": "Logistic Regression", "highest_auc": 81.76, "overfit_models": [],
+        "clean_models": ["Logistic Regression", "Decision Tree", "Random Forest", "XGBoost", "KNN", "Gradient Boosting"],
+        "accuracy_range": {"min": 76.84, "max": 82.26},
+        "explanation": {k: EXPECTED[k] for k in ("why_best_performed", "overfitting_analysis", "business_interpretation", "accuracy_range_note")}}
+    assert list(doc) == ["best_model", "best_model_f1", "best_model_auc", "highest_auc_model", "highest_auc", "overfit_models", "clean_models",
+                         "accuracy_range", "explanation"]
+    back = CMP.flat_explanation(read_explanation_json(spark, path)).first().asDict()
+    assert back == CMP.explanation(_results_df(spark)).first().asDict()
+    assert read_explanation_json(spark, path + "-none").count() == 0
+
+
 def test_leaderboard_order(spark):
     lb = [r.model for r in CMP.leaderboard(_results_df(spark)).orderBy("rank").collect()]
     assert lb == ["Random Forest", "Logistic Regression", "XGBoost", "Gradient Boosting",

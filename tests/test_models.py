@@ -75,13 +75,27 @@ def test_newton_boost_learns_and_round_trips(spark, sf_small):
 
 def test_artifacts_and_importance_choice(spark, sf_small):
     from patronus.operators import compare as CMP
-    plans, _ = T.build_plans(training(spark, sf_small), cv=False)
+    from patronus.sources import files
+    frame = training(spark, sf_small)
+    plans, _ = T.build_plans(frame, cv=False)
     res = T.train_models(plans, ["Decision Tree", "Random Forest"])
     root = tempfile.mkdtemp(prefix="patronus-art-")
-    best = T.save_artifacts(res, root)
+    best = T.save_artifacts(res, root, frame)
     assert best in ("Decision Tree", "Random Forest")
     for t in ("model_metrics", "feature_importance", "confusion_matrix", "roc_points"):
         assert spark.read.parquet(os.path.join(root, t)).count() > 0
+    info = files.read_split_info_json(spark, os.path.join(root, "split_info")).first()
+    assert (info.best_model, info.features_used, info.leaky_features_removed) == (best, C.ALL_FEATURES, C.LEAKY_REPORTED)
+    assert info.total_samples == info.train_samples + info.test_samples == frame.count()
+    assert [r.feature for r in files.read_feature_list(spark, os.path.join(root, "features")).orderBy("order").collect()] == C.ALL_FEATURES
+    doc = files.read_explanation_json(spark, os.path.join(root, "explanation")).first()
+    assert doc.best_model == best and set(doc.overfit_models) | set(doc.clean_models) == {"Decision Tree", "Random Forest"}
+    # the reloaded model's evaluation is that of the run
+    again = T.evaluation(T.reloaded_predictions(spark, root, frame)).first()
+    ran = res.metrics.where(F.col("model") == best).first()
+    assert (again.accuracy, again.precision, again.recall, again.f1) == (ran.accuracy, ran.precision, ran.recall, ran.f1)
+    assert round(again.auc * 100, 2) == pytest.approx(ran.auc, abs=0.011) and 0 < again.average_precision <= 1
+    assert again.tn + again.fp + again.fn + again.tp == info.test_samples
     fi = CMP.feature_importance(res.importances).collect()
     assert {r.model for r in fi} == {"Random Forest"}          # first in the importance order
     assert [r.rank for r in fi] == list(range(1, len(fi) + 1))

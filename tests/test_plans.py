@@ -72,3 +72,34 @@ def test_statistics_row_is_broadcast(spark, sf_small):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "BroadcastNestedLoopJoin" in p
     assert "CartesianProduct" not in p
+
+
+def test_point_lookup_is_pushed_into_the_stored_table(spark, t):
+    from patronus.sources.customer_table import stored_profiles
+    stored = stored_profiles(t)
+    p = _plan(D.customer_detail(stored, 7))
+    assert "PushedFilters: [IsNotNull(CustomerID), EqualTo(CustomerID,7)]" in p and "Exchange" not in p
+    assert stored_profiles(t).inputFiles() == stored.inputFiles()      # written once
+    assert stored.exceptAll(rfm.customer_profiles(t)).count() == 0 and stored.count() == rfm.customer_profiles(t).count()
+
+
+def test_churn_risk_reads_order_keys_only(t):
+    p = _plan(rfm.recency_risk(t))
+    assert "ReadSchema: struct<l_orderkey:bigint>" in p
+    assert "l_extendedprice" not in p and "l_partkey" not in p
+
+
+def test_stored_table_follows_its_sources(spark, sf_small, tmp_path):
+    """New source files give a new table; a source may be a folder of files."""
+    import shutil
+    from patronus.sources.customer_table import SOURCES, content_key, stored_profiles
+    for n in SOURCES:
+        shutil.copyfile(f"{sf_small}/{n}.parquet", tmp_path / f"{n}.parquet")
+    t = tables(spark, str(tmp_path))
+    key, first = content_key(t), stored_profiles(t).count()
+    few = spark.read.parquet(f"{sf_small}/orders.parquet").where("o_custkey % 2 = 0")
+    (tmp_path / "orders.parquet").unlink()
+    few.write.parquet(str(tmp_path / "orders.parquet"))
+    assert content_key(t) != key
+    half = stored_profiles(t)
+    assert 0 < half.count() < first and half.where("CustomerID % 2 = 1").count() == 0
