@@ -10,7 +10,9 @@
 The first page (least id) of a payload of ``least`` bytes or more is a response,
 later ones are revisits that refer to it; smaller payloads are responses always.
 ``read`` goes through both tables, hashes the stored bytes again and joins them
-by digest; ``records`` puts the original records together byte by byte.
+by digest; ``records`` puts the original records together byte by byte, and
+``rebuilt`` parses those bytes: a record's block must have the length and the digest
+that its header names, a revisit takes them from the rebuilt record it refers to.
 
 Skew: first pages come from a map-side combined minimum; the joins of headers
 with first pages or payloads are between two shuffled tables, so a digest with a
@@ -31,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .shared import written
 
 LEAST = 100
 END = "\r\n"
@@ -106,3 +109,31 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     both = spark.read.parquet(f"{path}/records").join(stored, F.col("digest") == F.col("d2"), "left")
     block = F.when(_field("WARC-Type", "([a-z]+)") == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))
     return both.select("page_id", F.concat(F.concat("header", F.lit(END)).cast("binary"), block, F.lit(END * 2).cast("binary")).alias("record"))
+
+
+def rebuilt(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of all records, read
+    from the rebuilt bytes alone.  A block of another length or digest than its header
+    says, or a reference to no such response, ends the job."""
+    made = records(spark, path)
+    head = F.concat(F.substring_index(F.col("record").cast("string"), END * 2, 1), F.lit(END))
+    made = made.withColumn("header", head).withColumn("start", F.octet_length("header") + len(END))
+    size = F.octet_length("record") - F.col("start") - 2 * len(END)
+    block = made.select("page_id", "header", F.substring("record", F.col("start") + 1, size).alias("block"))
+    facts = block.select(
+        "page_id", _field("WARC-Type", "([a-z]+)").alias("record_type"), _field("WARC-Refers-To", "<urn:page:([^>]*)>").alias("refers_to"),
+        _field("WARC-Payload-Digest", "sha256:([0-9a-f]{64})").alias("named"),
+        F.regexp_extract("header", r"\r\nContent-Length: ([0-9]+)\r\n", 1).cast("long").alias("length"),
+        F.octet_length("block").cast("long").alias("payload_bytes"), F.sha2("block", 256).alias("payload_digest"))
+    sound = (F.col("length") == F.col("payload_bytes")) & ((F.col("record_type") == "revisit") | (F.col("named") == F.col("payload_digest")))
+    wrong = lambda what: F.raise_error(F.concat(F.lit(what), F.coalesce(F.col("named"), F.lit("")))).cast("string")
+    facts = written(facts.withColumn("payload_digest", F.when(sound, F.col("payload_digest")).otherwise(
+        wrong("rebuilt block differs from its header, payload "))), "warc-facts")
+    first = facts.where("record_type = 'response'").groupBy(
+        F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("page"), F.col("named").alias("digest")).agg(
+        F.min("payload_bytes").alias("bytes2"), F.min("payload_digest").alias("digest2"))
+    again = facts.where("record_type = 'revisit'").join(
+        first, (F.col("refers_to") == F.col("page")) & (F.col("named") == F.col("digest")), "left")
+    again = again.select("page_id", F.col("bytes2").alias("payload_bytes"), F.coalesce("digest2", wrong(
+        "a revisit refers to no response with payload ")).alias("payload_digest"), "record_type", "refers_to")
+    return facts.where("record_type = 'response'").select(again.columns).unionByName(again)

@@ -495,10 +495,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def one_per_group(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component stays, that with the least id (of rows equal in
-    id, one); rows without words stay.  The columns are those that came in."""
-    near = near_duplicates(df, key, text)
-    rows = df.select(F.struct(*df.columns).alias("row"), F.col(key).alias("k"))
+    """One row of each component stays: that with the least id (a null id is later than
+    any other; of rows equal in id that with the least text hash, of rows equal in both
+    one).  Every row is judged by its own text; rows without words stay, all of them.
+    The columns are those that came in."""
+    mark = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.xxhash64(F.col(text).cast("string")).alias("h"))
+    near = near_duplicates(df.select(mark.alias("mark"), F.col(text).alias("text")), "mark", "text").where(F.col("n") > 0)
     drop = near.where(F.col("component") != F.col("doc")).select("doc").distinct()
-    left = rows.join(drop, F.col("k").eqNullSafe(F.col("doc")), "left_anti")
-    return left.select("row.*")
+    twice = near.where(F.col("component") == F.col("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1).select("doc")
+    verdicts = drop.withColumn("once", F.lit(False)).unionByName(twice.withColumn("once", F.lit(True)))
+    rows = df.select(F.struct(*df.columns).alias("row"), mark.alias("mark"))
+    judged = rows.join(verdicts, F.col("mark") == F.col("doc"), "left")
+    one = judged.where("once").groupBy("mark").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return judged.where(F.col("once").isNull()).select("row.*").unionByName(one.select("row.*"))

@@ -15,7 +15,8 @@ source, then a window inside each cell), so a source with a third of all rows is
 many tasks.  The merge order is cut without sorting everything in one place:
 words per slice of virtual time find the slice in which the budget ends, and
 only that slice is ordered row by row, again and again narrowed by slices while
-it is large.  The driver sees scalars only.
+it is large.  The driver sees scalars only.  ``repeated`` range-sorts what is taken
+by its finish times.
 
 Defined results: a null or empty text has size 0, is never taken and moves no
 queue; a null source is a source of its own, last in order; a source without
@@ -127,36 +128,42 @@ def _before_cut(finish: Column, nth: Column, queue: Column, cut) -> Column:
 
 def cut_point(items: DataFrame, budget: float, slices: int = 4096, at_once: int = 100_000):
     """(finish, nth, queue) of the first item, in that order, with which the words
-    exceed the budget; None when all fit.  Virtual time is squeezed into (0, 1)
-    and cut into ``slices`` equal ranges; the range with the cut is cut again
-    until it holds at most ``at_once`` items or a single virtual time, which are
-    then ordered."""
-    lo, hi, used = 0.0, 1.0, 0
-    u = F.col("finish") / (F.col("finish") + 1)
-    inside = items.withColumn("u", u)
-    while True:
-        width = (hi - lo) / slices
-        number = F.least(F.floor((F.col("u") - F.lit(lo)) / F.lit(width)), F.lit(slices - 1)).cast("int")
+    exceed the budget; None when all fit.  Virtual time is squeezed into (0, 1) and cut
+    into ``slices`` equal ranges; the range with the cut is cut again until it holds at
+    most ``at_once`` items, which are then ordered.  Items of one time are narrowed by
+    their source's number and then by their place in its queue, which no two share."""
+    used, columns = 0, ["u", "finish", "nth", "queue"]
+    inside = items.withColumn("u", F.col("finish") / (F.col("finish") + 1))
+    ends = {"u": (0.0, 1.0)}
+    while open_ := [c for c in columns if ends.get(c, (0, 1))[0] < ends.get(c, (0, 1))[1]]:
+        column, (lo, hi) = F.col(open_[0]), ends[open_[0]]
+        width = float(hi - lo) / slices or 5e-324
+        number = F.least(F.floor((column - F.lit(lo)).cast("double") / F.lit(width)), F.lit(slices - 1)).cast("int")
         per = inside.groupBy(number.alias("slice")).agg(
-            F.sum("words").alias("words"), F.count(F.lit(1)).alias("n"), F.min("u").alias("u0"), F.max("u").alias("u1")).orderBy("slice")
+            F.sum("words").alias("words"), F.count(F.lit(1)).alias("n"),
+            *[f(c).alias(f"{name}_{c}") for c in columns for name, f in (("lo", F.min), ("hi", F.max))]).orderBy("slice")
         for r in per.collect():  # at most ``slices`` rows
             if used + r["words"] > budget:
                 break
             used += r["words"]
         else:
             return None
-        inside = inside.where((F.col("u") >= r["u0"]) & (F.col("u") <= r["u1"]))
-        if r["n"] <= at_once or r["u0"] == r["u1"]:
+        ends = {c: (r[f"lo_{c}"], r[f"hi_{c}"]) for c in columns}
+        inside = inside.where(column.between(*[F.lit(x) for x in ends[open_[0]]]))
+        if r["n"] <= at_once:
             break
-        lo, hi = r["u0"], r["u1"] + (r["u1"] - r["u0"]) * 1e-9
     running = F.sum("words").over(Window.orderBy("finish", "nth", "queue").rowsBetween(Window.unboundedPreceding, 0))
     first = inside.withColumn("running", running).where(F.col("running") + used > budget).orderBy("finish", "nth", "queue").first()
     return first["finish"], first["nth"], first["queue"]
 
 
 def repeated(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """The mix itself: each row as often as it is taken, with the columns that came in."""
+    """The mix itself as one stream: each row as often as it is taken, with the columns
+    that came in, range-sorted by the virtual finish time of each copy (ties by source,
+    null last, then by key and its hash, so that one time is many ranges)."""
     packed = df.select(F.struct(*df.columns).alias("row"), F.col(key).alias("key"), F.col(source).alias("source"),
                        F.col(text).alias("text"))
     mixed = mix(packed, "key", "source", "text", **options).where(F.col("copies") > 0)
-    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    again = mixed.select("row", "key", "source", "finish", "source_size", "target", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    time = F.col("finish") + F.col("copy") * F.col("source_size") / F.col("target")
+    return again.orderBy(time, F.col("source").asc_nulls_last(), F.xxhash64("key"), "key").select("row.*")

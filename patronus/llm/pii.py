@@ -22,6 +22,7 @@ candidate at all nothing is added.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,10 +166,17 @@ def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple]]:
         return [], []
     base, failed = base_spans(text) if _ANY.search(text) else ([], [])
     found = [(*s, True, True, True) for s in base] + [(*s, False, True, False) for s in failed]
-    taken = sorted((s, e) for _, s, e, *_ in found)
+    starts, ends = [], []  # of the stretches that spans take, in order
+    for s, e in sorted((s, e) for _, s, e, *_ in found):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
 
     def free(s: int, e: int) -> bool:
-        return all(e <= a or s >= b for a, b in taken)
+        last = bisect_left(starts, e) - 1
+        return last < 0 or ends[last] <= s
     loose = []
     if base or failed or _ANY.search(text):
         for m in _KEY.finditer(text):
@@ -208,7 +216,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, kind)], names=["row", "spans"])
 
 
-def reliabilities(votes_: np.ndarray, counts: np.ndarray, rounds: int = 200):
+def reliabilities(votes_: np.ndarray, counts: np.ndarray, rounds: int = 100_000):
     """Expectation-maximisation for two classes over vote patterns (rows: 1, 0 or -1
     per labeler).  Returns each pattern's probability, the prior, and
     P(yes | class) per labeler.  Prior counts lean to labelers that are right more
@@ -227,6 +235,8 @@ def reliabilities(votes_: np.ndarray, counts: np.ndarray, rounds: int = 200):
             q = new
             break
         q = new
+    else:
+        raise RuntimeError(f"reliabilities still move after {rounds} rounds")
     return q, prior, rate
 
 
@@ -249,14 +259,16 @@ def train(patterns) -> tuple[np.ndarray, dict]:
         known[KINDS[k]] = {"prior": prior, "yes_if_not": dict(zip(LABELERS, rate[0], strict=True)),
                            "yes_if_so": dict(zip(LABELERS, rate[1], strict=True))}
     w = np.zeros(x.shape[1])
-    for _ in range(100):  # Newton steps of a logistic regression with a small ridge
+    for _ in range(10_000):  # Newton steps of a logistic regression with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (n * (q - p)) - 0.5 * w
         hess = (x * (n * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w += step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-9:
+        if np.abs(step).max() < 1e-9 * max(1.0, np.abs(w).max()):
             break
+    else:
+        raise RuntimeError("the span classifier did not converge")
     return w, known
 
 

@@ -49,8 +49,8 @@ def op6_brown_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = archive.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return archive.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type",
-                                            F.col("refers_to").cast("long").alias("refers_to"))
+    return archive.rebuilt(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type",
+                                               F.col("refers_to").cast("long").alias("refers_to"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,9 +70,10 @@ def assign(df: DataFrame, key: str = "doc_id", shards: int = 16, virtual_nodes:
            cells: int = 64, cell_rows: int = 50_000) -> DataFrame:
     """``df`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard).
 
-    Rows are shuffled once, by (arc, cell, split); the tables of arcs, cells and
-    rank ranges have at most shards x virtual_nodes x cells rows and are
-    broadcast within that bound.
+    Rows are shuffled once, by (arc, cell, split).  The tables of heavy cells and of
+    rank ranges have at most shards x virtual_nodes x cells rows and are broadcast
+    within that bound; the counts before each split grow with the rows and are joined
+    by the key that the rows are already dealt by.
     """
     spark: SparkSession = df.sparkSession
     nodes = ring(shards, virtual_nodes)
@@ -92,7 +93,7 @@ def assign(df: DataFrame, key: str = "doc_id", shards: int = 16, virtual_nodes:
     dealt = fill(nodes, per_arc, bounds_for(sum(per_arc.values()), shards, slack))
     ranges = spark.createDataFrame(dealt, "arc int, lo long, hi long, shard int, slot0 long")
     nth = F.row_number().over(Window.partitionBy("arc", "cell", "part").orderBy("ord", "place", "id")) - 1
-    ranked = rows.withColumn("nth", nth).join(F.broadcast(before), ["arc", "cell", "part"])
+    ranked = rows.withColumn("nth", nth).join(before, ["arc", "cell", "part"])
     ranked = ranked.withColumn("rank", F.col("nth") + F.col("before"))
     found = ranked.join(F.broadcast(ranges.withColumnRenamed("arc", "arc2")), (F.col("arc") == F.col("arc2")) & (
         F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))

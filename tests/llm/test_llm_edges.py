@@ -110,6 +110,46 @@ def test_mixing(odd, none):
     assert again.count() == sum(r["copies"] for r in got.collect())
 
 
+def test_many_documents_of_one_finish_time(spark):
+    """The cut is the first row beyond the budget, however few rows may be ordered at once."""
+    import random
+    random.seed(3)
+    items = [(random.choice([1.0, 1.0, 1.0, 2.5, 1.0 + 1e-15]), random.choice([0, 1, 7, 8]), q, random.randint(1, 9)) for q in range(300)]
+    df = spark.createDataFrame(items, "finish double, nth long, queue long, words long").cache()
+    items.sort()
+    for budget in (0.0, 3.0, 500.0, 1000.0, float(sum(x[3] for x in items)) - 1, 1e9):
+        used, want = 0, None
+        for f, n, q, w in items:
+            used += w
+            if used > budget:
+                want = (f, n, q)
+                break
+        for at_once, slices in ((1, 4), (20, 16), (1000, 64)):
+            assert mixing.cut_point(df, budget, slices, at_once) == want
+
+
+def test_the_mix_is_one_stream_by_finish_time(spark):
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit(None).cast("string")), (
+        F.col("id") % 3 + 1).cast("int")).alias("source"), F.repeat(F.lit("word "), (1 + F.col("id") % 7).cast("int")).alias("text"))
+    plan = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    stream = [r["doc_id"] for r in mixing.repeated(df).collect()]
+    seen, times = {}, []
+    for i in stream:
+        e, r = seen.get(i, 0), plan[i]
+        times.append(r["finish"] + e * r["source_size"] / r["target"])
+        seen[i] = e + 1
+    assert times == sorted(times) and seen == {i: r["copies"] for i, r in plan.items() if r["copies"]}
+
+
+def test_growing_by_a_shard_moves_few_rows(spark):
+    """Without slack, as the query has it: one more shard takes rows, few move between the old ones."""
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"))
+    grown = sharding.assign(df, shards=17).withColumnRenamed("shard", "s17").drop("slot")
+    both = sharding.assign(df, shards=16).join(grown, "doc_id")
+    same, old = both.where("shard = s17").count(), both.where("shard <> s17 and s17 < 16").count()
+    assert same > 20_000 * 0.85 and old < 20_000 * 0.08
+
+
 def test_lines(odd, none):
     maps = lines.keep_bitmaps(odd)
     got = lines.apply_bitmaps(odd, maps)
@@ -152,6 +192,20 @@ def test_jaccard(odd, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def test_one_per_group_judges_every_row(spark):
+    """Repeated rows, null ids, and a row of its own that shares its id with a copy."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, a), (1, b), (2, a), (None, a), (None, a), (None, c), (None, c), (3, c.upper()), (4, ""), (4, ""), (5, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.lit("own"))
+    got = jaccard.one_per_group(df)
+    assert got.columns == df.columns
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r[0], r[1]) for r in got.collect()), key=order) == sorted(
+        [(1, a), (1, b), (3, c.upper()), (4, ""), (4, ""), (5, None), (None, None)], key=order)
+    nulls = jaccard.one_per_group(df.where("doc_id is null and text is not null"))
+    assert sorted(r["text"] for r in nulls.collect()) == [a, c]
+
+
 def test_jaccard_chains_copies_and_shared_passages(spark):
     """Chains of near copies, hundreds of copies, short texts, a passage that all
     hold: the components are those of all pairs."""
@@ -252,7 +306,8 @@ def test_pii(odd, none):
 
 
 def test_pii_linear_scans():
-    for t in ["9" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "+1" + " (" * 100_000, "a@b." * 50_000, "-@" * 50_000]:
+    for t in ["9" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "+1" + " (" * 100_000, "a@b." * 50_000, "-@" * 50_000,
+              "10.0.0.1 key12345abcdefgh9876 a@b.cd (555) 123-4567 " * 4_000]:
         pii.candidates(t)
 
 
@@ -297,7 +352,29 @@ def test_archive_round_trip(spark):
         block = block[:-4]
         assert int(head.split(b"Content-Length: ")[1]) == len(block)
         assert b"revisit" in head and not block or (r["page_id"], block) in bodies
-    assert archive.read(spark, archive.write(df.where(F.lit(False)))).count() == 0
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    known = lambda x: sorted(map(str, x.select(columns).collect()))
+    assert known(archive.rebuilt(spark, path)) == known(got)
+    nothing = archive.write(df.where(F.lit(False)))
+    assert archive.read(spark, nothing).count() == 0 and archive.rebuilt(spark, nothing).count() == 0
+
+
+@pytest.mark.parametrize("what", ["digest", "length", "missing"])
+def test_rebuilding_finds_damage(spark, what):
+    """Another block under the digest, another length in the header, or no block at all end the job."""
+    big = "<p>" + "x" * 300
+    path = archive.write(spark.createDataFrame([(1, "u", big), (2, "v", big), (3, "w", "z")], "page_id long, url string, html string"))
+    if what == "length":
+        bad = spark.read.parquet(f"{path}/records").withColumn("header", F.regexp_replace("header", "Content-Length: 303", "Content-Length: 302"))
+        bad.write.parquet(f"{path}-bad/records")
+        spark.read.parquet(f"{path}/payloads").write.parquet(f"{path}-bad/payloads")
+    else:
+        kept = spark.read.parquet(f"{path}/payloads")
+        kept = kept.withColumn("payload", F.reverse(F.col("payload").cast("string")).cast("binary")) if what == "digest" else kept.where(F.lit(False))
+        kept.write.parquet(f"{path}-bad/payloads")
+        spark.read.parquet(f"{path}/records").write.parquet(f"{path}-bad/records")
+    with pytest.raises(Exception, match="differs from its header|refers to no response"):
+        archive.rebuilt(spark, f"{path}-bad").collect()
 
 
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
