@@ -501,10 +501,12 @@ def one_per_group(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     The columns are those that came in."""
     mark = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.xxhash64(F.col(text).cast("string")).alias("h"))
     near = near_duplicates(df.select(mark.alias("mark"), F.col(text).alias("text")), "mark", "text").where(F.col("n") > 0)
-    drop = near.where(F.col("component") != F.col("doc")).select("doc").distinct()
-    twice = near.where(F.col("component") == F.col("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1).select("doc")
-    verdicts = drop.withColumn("once", F.lit(False)).unionByName(twice.withColumn("once", F.lit(True)))
-    rows = df.select(F.struct(*df.columns).alias("row"), mark.alias("mark"))
-    judged = rows.join(verdicts, F.col("mark") == F.col("doc"), "left")
-    one = judged.where("once").groupBy("mark").agg(F.min_by("row", F.to_json("row")).alias("row"))
-    return judged.where(F.col("once").isNull()).select("row.*").unionByName(one.select("row.*"))
+    verdicts = near.groupBy("doc").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("component"))
+    once = F.col("component") == F.col("doc")
+    verdicts = written(verdicts.where(~once | (F.col("rows") > 1)).select(F.col("doc").alias("judged"), once.alias("once")), "jaccard-verdicts")
+    row = F.struct(*df.columns).alias("row")
+    kept = df.select(row, mark.alias("mark")).join(verdicts, F.col("mark") == F.col("judged"), "left_anti").select("row")
+    twice = df.select(row, mark.alias("mark")).join(verdicts.where("once"), F.col("mark") == F.col("judged"), "left_semi")
+    # few rows; written, so that the two sides of the union share no plan
+    one = written(twice.groupBy("mark").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"), "jaccard-once")
+    return kept.unionByName(one).select("row.*")
