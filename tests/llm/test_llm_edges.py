@@ -128,19 +128,6 @@ def test_many_documents_of_one_finish_time(spark):
             assert mixing.cut_point(df, budget, slices, at_once) == want
 
 
-def test_the_mix_is_one_stream_by_finish_time(spark):
-    df = spark.range(300).select(F.col("id").alias("doc_id"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit(None).cast("string")), (
-        F.col("id") % 3 + 1).cast("int")).alias("source"), F.repeat(F.lit("word "), (1 + F.col("id") % 7).cast("int")).alias("text"))
-    plan = {r["doc_id"]: r for r in mixing.mix(df).collect()}
-    stream = [r["doc_id"] for r in mixing.repeated(df).collect()]
-    seen, times = {}, []
-    for i in stream:
-        e, r = seen.get(i, 0), plan[i]
-        times.append(r["finish"] + e * r["source_size"] / r["target"])
-        seen[i] = e + 1
-    assert times == sorted(times) and seen == {i: r["copies"] for i, r in plan.items() if r["copies"]}
-
-
 def test_growing_by_a_shard_moves_few_rows(spark):
     """Without slack, as the query has it: one more shard takes rows, few move between the old ones."""
     df = spark.range(20_000).select(F.col("id").alias("doc_id"))
