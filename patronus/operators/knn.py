@@ -1,18 +1,19 @@
-"""Exact k-nearest-neighbour search (Euclidean) with slab pruning.
+"""Exact k-nearest-neighbour search (Euclidean) over median cells.
 
-Reference rows are cut into slabs along one coordinate (approximate
-quantile boundaries, ``Bucketizer``).  Because |Δ coordinate| ≤ distance,
-a point farther than r along the coordinate cannot be within r:
+Reference rows are cut into cells: a binary tree splits, level by level, on the
+coordinate of the widest spread at its median.  The cuts are fitted on a bounded keyed
+sample (``SAMPLE_PER_CELL`` rows a cell wanted, at most ``2 ** MAX_DEPTH`` cells); every
+row is put into its cell and the cells' bounding boxes are those of all rows, so the
+sample decides speed only.  No row of a cell is nearer than its box:
 
-1. round 1 searches each query's own slab and the two next to it, which
+1. round 1 searches the ``FIRST`` cells whose boxes are nearest to the query, which
    gives an upper bound r_k on its k-th distance (∞ if < k candidates);
-2. round 2 adds exactly the other slabs that intersect
-   [c − r_k, c + r_k] — so the result is exact, and in well-spread data
-   most queries never leave round 1.
+2. round 2 adds exactly the other cells whose boxes are within r_k, so the result is
+   exact.
 
-Inside a slab, query and reference rows are cut into hash chunks of at most
-``slab_rows`` rows (per-slab counts, a table of ≤ slabs rows), so a hot slab
-(many equal coordinates) is split over many tasks; each (slab, query chunk,
+Inside a cell, query and reference rows are cut into hash chunks of at most
+``slab_rows`` rows (per-cell counts, a table of ≤ cells rows), so a hot cell
+(many equal points) is split over many tasks; each (cell, query chunk,
 reference chunk) group meets in one ``cogroup`` task where numpy keeps only
 the k best per query row.  A final ``row_number`` per query merges the
 candidates.  Ties in distance are broken by the reference id.
@@ -21,14 +22,17 @@ candidates.  Ties in distance are broken by the reference id.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_SLABS = 4096
+MAX_DEPTH = 12
+SAMPLE_PER_CELL = 16
+FIRST = 2
 
 
 def _local_topk(k: int, exclude_self: bool, chunk: int = 1024):
@@ -72,11 +76,11 @@ def _local_topk(k: int, exclude_self: bool, chunk: int = 1024):
 
 
 def _chunked_topk(qs: DataFrame, rs: DataFrame, k: int, exclude_self: bool, slab_rows: int) -> DataFrame:
-    """qs: (qid, qx, s) — a query row once per slab it must search;
+    """qs: (qid, qx, s) — a query row once per cell it must search;
     rs: (rid, rx, rlabel, s).  Returns candidate (qid, rid, dist, rlabel)."""
     qn = qs.groupBy("s").agg(F.count(F.lit(1)).alias("nq"))
     rn = rs.groupBy("s").agg(F.count(F.lit(1)).alias("nr"))
-    # ≤ number of slabs rows
+    # ≤ number of cells rows
     ch = (qn.join(rn, "s")
             .select("s", F.greatest(F.lit(1), F.ceil(F.col("nq") / slab_rows)).cast("int").alias("qc_n"),
                     F.greatest(F.lit(1), F.ceil(F.col("nr") / slab_rows)).cast("int").alias("rc_n")))
@@ -98,66 +102,126 @@ def _best(cands: DataFrame, k: int) -> DataFrame:
     return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-class RefSlabs:
-    """Reference rows with their slab, plus the slab boundaries; reusable
+def split_tree(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(coordinate, cut) of the inner nodes of a binary tree, the children of node i
+    being 2i + 1 and 2i + 2; rows above the cut go right."""
+    coord, cut = np.zeros((1 << depth) - 1, np.int64), np.full((1 << depth) - 1, np.inf)
+    rows = {0: np.arange(len(x))}
+    for node in range(len(cut)):
+        at = rows.pop(node)
+        if len(at):
+            coord[node] = np.ptp(x[at], axis=0).argmax()
+            cut[node] = np.quantile(x[at, coord[node]], 0.5, method="lower")
+        above = x[at, coord[node]] > cut[node]
+        rows[2 * node + 1], rows[2 * node + 2] = at[~above], at[above]
+    return coord, cut
+
+
+def leaves(x: np.ndarray, coord: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The cell of every row."""
+    node = np.zeros(len(x), np.int64)
+    for _ in range(int(len(cut) + 1).bit_length() - 1):
+        node = 2 * node + 1 + (x[np.arange(len(x)), coord[node]] > cut[node])
+    return node - len(cut)
+
+
+class RefCells:
+    """Reference rows with their cell, and the cells' boxes; reusable
     for several query frames against the same reference."""
 
-    def __init__(self, ref: DataFrame, rid: str, vec: str = "x", rlabel: str = "label",
-                 slab_rows: int = 16384, coord: int = 0):
+    def __init__(self, ref: DataFrame, rid: str, vec: str = "x", rlabel: str = "label", slab_rows: int = 4096):
         r = ref.select(F.col(rid).cast("long").alias("rid"), F.col(vec).alias("rx"),
                        F.col(rlabel).cast("int").alias("rlabel"))
-        nr = r.count()
-        nslab = max(1, min(MAX_SLABS, math.ceil(nr / slab_rows)))
-        bounds: list[float] = []
-        if nslab > 1:
-            fr = [i / nslab for i in range(1, nslab)]
-            # ≤ MAX_SLABS − 1 boundaries: bounded by the parameter
-            b = r.agg(F.percentile_approx(F.col("rx")[coord], fr, 10000)).first()[0] or []
-            bounds = sorted(set(float(v) for v in b))
-        self.bounds, self.coord, self.slab_rows = bounds, coord, slab_rows
-        self.splits = [-math.inf] + bounds + [math.inf]
-        self.last = len(self.splits) - 2
-        self.rs = self.slab_of(r.withColumn("_c", F.col("rx")[coord]), "_c", "s").drop("_c")
-
-    def slab_of(self, df: DataFrame, col: str, out: str) -> DataFrame:
-        if not self.bounds:
-            return df.withColumn(out, F.lit(0))
-        bz = Bucketizer(splits=self.splits, inputCol=col, outputCol=out, handleInvalid="keep")
-        return bz.transform(df).withColumn(out, F.least(F.col(out).cast("int"), F.lit(self.last)))
+        n = r.count()
+        self.slab_rows = slab_rows
+        self.depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, n) / slab_rows))))
+        if not self.depth:
+            self.rs = r.withColumn("s", F.lit(0))
+            return
+        part = F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) < min(1.0, (SAMPLE_PER_CELL << self.depth) / n) * (1 << 30)
+        sample = [v["rx"] for v in r.where(part).select("rx").collect()] or [r.first()["rx"]]
+        tree = split_tree(np.array(sample, dtype=np.float64), self.depth)
+        self.rs = r.withColumn("s", _cell(tree)("rx"))
+        sides = [f(F.col("rx")[i]) for f in (F.min, F.max) for i in range(len(sample[0]))]
+        boxes = self.rs.groupBy("s").agg(F.array(*sides).alias("box")).orderBy("s").collect()   # ≤ 2 ** MAX_DEPTH rows
+        self.cells = np.array([b["s"] for b in boxes], dtype=np.int32)
+        self.low, self.high = np.split(np.array([b["box"] for b in boxes], dtype=np.float64), 2, axis=1)
+
+    def visits(self, q: DataFrame, rest: bool) -> DataFrame:
+        """(qid, qx, s): the cells to search for q (qid, qx, rk): the ``FIRST`` nearest
+        ones, or with ``rest`` all others within rk."""
+        return q.mapInArrow(_visits(self.cells, self.low, self.high, rest), "qid long, qx array<double>, s int")
+
+
+def _cell(tree):
+    @F.pandas_udf("int")
+    def cell(x: pd.Series) -> pd.Series:
+        return pd.Series(leaves(np.vstack(x.to_numpy()), *tree).astype(np.int32) if len(x) else np.zeros(0, np.int32))
+    return cell
+
+
+def _visits(cells: np.ndarray, low: np.ndarray, high: np.ndarray, rest: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x = batch.column("qx").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            within = batch.column("rk").to_numpy(zero_copy_only=False) * (1 + 1e-9) + 1e-12
+            for lo in range(0, n, 256):
+                a = x[lo:lo + 256]
+                away = np.zeros((len(a), len(cells)))
+                for i in range(x.shape[1]):
+                    c = a[:, i, None]
+                    away += np.square(np.maximum(np.maximum(low[:, i] - c, c - high[:, i]), 0.0))
+                near = np.argsort(away, axis=1, kind="stable")[:, :FIRST]
+                wanted = np.sqrt(away) <= within[lo:lo + 256, None] if rest else np.zeros(away.shape, bool)
+                np.put_along_axis(wanted, near, not rest, axis=1)
+                rows, at = np.nonzero(wanted)
+                for p in range(0, len(rows), 8192):
+                    take = pa.array(rows[p:p + 8192] + lo)
+                    yield pa.RecordBatch.from_arrays([batch.column("qid").take(take), batch.column("qx").take(take),
+                                                      pa.array(cells[at[p:p + 8192]])], names=["qid", "qx", "s"])
+    return run
+
+
+def _bounded(q: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """(qid, qx, rk): the distance within which further neighbours must lie."""
+    rk = found.groupBy("qid").agg(F.max("dist").alias("rk"), F.count(F.lit(1)).alias("got"))
+    return q.join(rk, "qid", "left").select(
+        "qid", "qx", F.when(F.col("got") >= k, F.col("rk")).otherwise(F.lit(math.inf)).alias("rk"))
 
 
 def knn(query: DataFrame, ref: DataFrame | None, k: int, qid: str, rid: str, vec: str = "x",
-        rlabel: str = "label", slab_rows: int = 16384, exclude_self: bool = False,
-        coord: int = 0, prepared: RefSlabs | None = None) -> DataFrame:
+        rlabel: str = "label", slab_rows: int = 4096, exclude_self: bool = False,
+        prepared: RefCells | None = None) -> DataFrame:
     """(qid, rid, dist, rlabel, rank) — the k nearest ref rows per query row.
 
     ``vec`` is an array<double> column present in both frames; ``prepared``
-    reuses the reference slabs of an earlier call."""
-    prep = prepared or RefSlabs(ref, rid, vec, rlabel, slab_rows, coord)
-    rs, last, slab_of, slab_rows, coord = prep.rs, prep.last, prep.slab_of, prep.slab_rows, prep.coord
+    reuses the reference cells of an earlier call."""
+    prep = prepared or RefCells(ref, rid, vec, rlabel, slab_rows)
+    q = query.select(F.col(qid).cast("long").alias("qid"), F.col(vec).alias("qx"))
+
+    def search(qs: DataFrame) -> DataFrame:
+        return _chunked_topk(qs, prep.rs, k, exclude_self, prep.slab_rows)
+    if not prep.depth:
+        return _best(search(q.withColumn("s", F.lit(0))), k).checkpoint(eager=True)
+    first = _best(search(prep.visits(q.withColumn("rk", F.lit(math.inf)), rest=False)), k).checkpoint(eager=True)
+    more = search(prep.visits(_bounded(q, first, k), rest=True))
+    return _best(first.drop("rank").unionByName(more), k)
+
+
+def searched_share(query: DataFrame, prep: RefCells, k: int, qid: str, vec: str = "x") -> float:
+    """The share of all (query, reference) pairs whose distance the search computes."""
+    sizes = prep.rs.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    total = query.count() * prep.rs.count()
+    if not prep.depth or not total:
+        return 1.0
     q = query.select(F.col(qid).cast("long").alias("qid"), F.col(vec).alias("qx"))
-    qc = slab_of(q.withColumn("_c", F.col("qx")[coord]), "_c", "home")
-
-    # round 1: own slab and its neighbours
-    near = F.filter(F.array(F.col("home") - 1, F.col("home"), F.col("home") + 1),
-                    lambda s: (s >= 0) & (s <= last))
-    q1 = qc.select("qid", "qx", F.explode(near).alias("s"))
-    c1 = _best(_chunked_topk(q1, rs, k, exclude_self, slab_rows), k).checkpoint(eager=True)
-    if last == 0:
-        return c1
-
-    # round 2: every further slab that intersects [c − r_k, c + r_k]
-    rk = c1.groupBy("qid").agg(F.max("dist").alias("rk"), F.count(F.lit(1)).alias("got"))
-    q2 = (qc.join(rk, "qid", "left")
-            .withColumn("rad", F.when(F.col("got") >= k, F.col("rk")).otherwise(F.lit(math.inf)))
-            .withColumn("_lo", F.col("qx")[coord] - F.col("rad"))
-            .withColumn("_hi", F.col("qx")[coord] + F.col("rad")))
-    q2 = slab_of(slab_of(q2, "_lo", "lo_s"), "_hi", "hi_s")
-    far = F.filter(F.sequence(F.col("lo_s"), F.col("hi_s")),
-                   lambda s: (s < F.col("home") - 1) | (s > F.col("home") + 1))
-    q2 = q2.select("qid", "qx", F.explode(far).alias("s"))
-    c2 = _chunked_topk(q2, rs, k, exclude_self, slab_rows)
-    return _best(c1.drop("rank").unionByName(c2), k)
+    near = prep.visits(q.withColumn("rk", F.lit(math.inf)), rest=False)
+    first = _best(_chunked_topk(near, prep.rs, k, False, prep.slab_rows), k).checkpoint(eager=True)
+    seen = near.select("s").unionByName(prep.visits(_bounded(q, first, k), rest=True).select("s"))
+    return seen.join(F.broadcast(sizes), "s").agg(F.sum("n")).first()[0] / total
 
 
 def knn_vote(neighbours: DataFrame) -> DataFrame:

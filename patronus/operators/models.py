@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from patronus import config as C
 from patronus.operators.boosting import Booster, fit_boosters
-from patronus.operators.knn import RefSlabs, knn, knn_vote
+from patronus.operators.knn import RefCells, knn, knn_vote
 from patronus.operators.logistic import fit_logreg_plans
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -65,13 +65,13 @@ class KnnModel:
         self.fit_rows = fit_rows
         self.k = k
         self.featureImportances = None
-        self._slabs = None
+        self._cells = None
 
     def scorer(self, key: str = "CustomerID") -> Scorer:
         def score(df: DataFrame) -> DataFrame:
-            if self._slabs is None:              # the reference side is prepared once per model
-                self._slabs = RefSlabs(self.fit_rows, key, "x", "label")
-            nn = knn(df, None, self.k, key, key, vec="x", rlabel="label", prepared=self._slabs)
+            if self._cells is None:              # the reference side is prepared once per model
+                self._cells = RefCells(self.fit_rows, key, "x", "label")
+            nn = knn(df, None, self.k, key, key, vec="x", rlabel="label", prepared=self._cells)
             return knn_vote(nn).select(F.col("qid").alias(key), "prediction", "score")
         return score
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patronus.operators import training as T
-from patronus.operators.knn import knn, knn_vote
+from patronus.operators.knn import RefCells, knn, knn_vote, leaves, searched_share, split_tree
 from patronus.operators.boosting import Booster, fit_boosters
 from patronus.operators.logistic import fit_logreg_plans
 from patronus.operators.models import fit_plans, scorer_of
@@ -102,6 +102,31 @@ def test_artifacts_and_importance_choice(spark, sf_small):
     assert abs(sum(r.importance for r in fi) - 1) < 1e-9
 
 
+def test_knn_searches_a_falling_share(spark):
+    """Cells of a fixed size: more rows, more cells, a smaller share of all pairs searched."""
+    rng, shares = np.random.default_rng(3), []
+    q = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(60)], "id long, x array<double>")
+    at = np.array([r.x for r in q.orderBy("id").collect()])
+    for n in (1_000, 4_000, 16_000):
+        x = rng.normal(size=(n, 4))
+        ref = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(x.tolist())], "id long, x array<double>, label int").coalesce(4)
+        cells = RefCells(ref, "id", slab_rows=64)
+        shares.append(searched_share(q, cells, 5, "id"))
+        got = knn(q, None, 5, "id", "id", prepared=cells).orderBy("qid", "rank").collect()
+        want = np.argsort(((at[:, None] - x[None]) ** 2).sum(-1), axis=1, kind="stable")[:, :5]
+        assert [r.rid for r in got] == want.ravel().tolist()
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.15, shares
+
+
+def test_split_tree_halves_every_cell():
+    x = np.random.default_rng(5).normal(size=(4096, 3)) * [1, 5, 2]
+    coord, cut = split_tree(x, 5)
+    assert coord[0] == 1 and (np.bincount(leaves(x, coord, cut), minlength=32) == 128).all()
+    same = np.ones((50, 2))                       # equal rows can't be split: one leaf has them all
+    assert len(set(leaves(same, *split_tree(same, 3)))) == 1
+    assert set(leaves(x[:3], *split_tree(x[:0], 2))) == {0}
+
+
 @pytest.mark.parametrize("slab_rows,exclude_self", [(10**6, False), (37, False), (11, True)])
 def test_knn_matches_brute_force(spark, slab_rows, exclude_self):
     rng = np.random.default_rng(7)
