@@ -68,10 +68,13 @@ class Prepared:
         return F.when(c == self.kept[0], F.lit(None).cast("string")).when(known, F.concat(F.lit(f"{col}_"), c)).otherwise(rare)
 
     def transform(self, df: DataFrame, key: str = "CustomerID", label: str = "ChurnBinary") -> DataFrame:
-        active = df.withColumn("_active", self.onehot_column())
+        return self.with_x(df).select(F.col(key), F.col(label).cast("int").alias("label"), "x")
+
+    def with_x(self, df: DataFrame) -> DataFrame:
+        """``df`` with the feature vector added; no label or key is needed."""
         x = F.array(*[self.scaled(c) for c in C.NUMERIC_FEATURES],
                     *[F.when(F.col("_active") == n, F.lit(1.0)).otherwise(F.lit(0.0)) for n in self.onehot_cols])
-        return active.select(F.col(key), F.col(label).cast("int").alias("label"), x.alias("x"))
+        return df.withColumn("_active", self.onehot_column()).withColumn("x", x).drop("_active")
 
     def as_dict(self) -> dict:
         return asdict(self)

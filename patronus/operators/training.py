@@ -15,23 +15,22 @@ and the scoring.
 
 from __future__ import annotations
 
-import json
 import os
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronus import config as C
 from patronus.functions.numeric import rnd
 from patronus.operators import metrics as M
-from patronus.operators.boosting import BoostedTrees, Tree
 from patronus.operators.compare import explanation_document
 from patronus.operators.features import FINAL, Prepared, fit_preps
-from patronus.operators.logistic import LogisticModel
 from patronus.operators.models import KnnModel, fit_plans, importances, scorer_of
+from patronus.operators.pipeline import pipeline_model, scorer
 from patronus.operators.smote import needs_smote, smote
 from patronus.sources.sinks import write_json_document, write_list_document
 
@@ -177,31 +176,18 @@ def save_artifacts(result: TrainResult, root: str, frame: DataFrame | None = Non
 
 
 def save_model(spark: SparkSession, model, prep: Prepared, path: str, name: str) -> None:
-    kind, extra = type(model).__name__, {}
+    rows = os.path.join(path, "rows")
     if isinstance(model, KnnModel):
-        model.fit_rows.write.mode("overwrite").parquet(os.path.join(path, "knn_rows"))
-    elif isinstance(model, BoostedTrees):
-        extra = {"edges": model.edges, "base_margin": model.base_margin, "depth": model.depth,
-                 "trees": [[t.feature, t.threshold, t.leaf] for t in model.trees]}
-    elif isinstance(model, LogisticModel):
-        extra = {"coefficients": model.coefficients, "intercept": model.intercept}
-    else:
-        model.write().overwrite().save(os.path.join(path, "classifier"))
-    meta = {"name": name, "kind": kind, "prepared": prep.as_dict(), **extra}
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
-        .write.mode("overwrite").text(os.path.join(path, "meta"))
+        model.fit_rows.write.mode("overwrite").parquet(rows)
+    pipeline_model(model, prep, name, rows).write().overwrite().save(os.path.join(path, "pipeline"))
+
+
+def load_pipeline(path: str) -> PipelineModel:
+    """The saved best model: raw feature columns → x, score, prediction; tables and streams."""
+    return PipelineModel.load(os.path.join(path, "pipeline"))
 
 
 def load_model(spark: SparkSession, path: str):
-    """Return (name, scorer, Prepared) for a saved best model."""
-    from pyspark.ml import classification as mlc
-    meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
-    if meta["kind"] == "KnnModel":
-        model = KnnModel(spark.read.parquet(os.path.join(path, "knn_rows")))
-    elif meta["kind"] == "BoostedTrees":
-        model = BoostedTrees(meta["edges"], meta["base_margin"], meta["depth"], [Tree(*t) for t in meta["trees"]])
-    elif meta["kind"] == "LogisticModel":
-        model = LogisticModel(meta["coefficients"], meta["intercept"])
-    else:
-        model = getattr(mlc, meta["kind"]).load(os.path.join(path, "classifier"))
-    return meta["name"], scorer_of(model), Prepared(**meta["prepared"])
+    """Return (name, scorer of prepared rows, Prepared) for a saved best model."""
+    pipeline = load_pipeline(path)
+    return pipeline.stages[0].model_name, scorer(pipeline), pipeline.stages[0].prepared

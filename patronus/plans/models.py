@@ -7,8 +7,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from patronus import config as C
-from patronus.functions.numeric import rnd
 from patronus.operators import compare as CMP
 from patronus.operators import metrics as M
 from patronus.operators import training as T
@@ -17,6 +15,7 @@ from patronus.operators.smote import smote
 from patronus.plans.registry import query
 from patronus.plans.training import training
 from patronus.session import scratch_path
+from patronus.streaming.scoring import score_with_model
 from patronus.sources.customer_table import content_key
 from patronus.sources.tables import tables
 
@@ -138,15 +137,7 @@ def q_saved_split_info(spark, sf):
 
 @query("score_customers_model")
 def q_score_model(spark, sf):
-    """Score every customer with the best model of the training run
-    (by F1, as the saved model): P(churn) and the probability risk band."""
-    from patronus.operators.models import scorer_of
-    res = full_run(spark, sf)
-    best = T.best_model_name(res.metrics)
-    model, plan = res.models[best]
-    x = plan.prep.transform(training(spark, sf))
-    s = scorer_of(model)(x)
-    return s.select("CustomerID", rnd(F.col("score"), 6).alias("churn_probability"),
-                    F.when(F.col("score") > C.PROB_HIGH, "High").when(F.col("score") > C.PROB_MEDIUM, "Medium")
-                     .otherwise("Low").alias("churn_risk"),
-                    F.lit(best).alias("model_used"))
+    """Score every customer with the best model of the training run (by F1), saved and
+    loaded as a pipeline: P(churn) and the probability risk band."""
+    root, frame = _saved_run(spark, sf)
+    return score_with_model(frame, T.load_pipeline(f"{root}/best_model"))
