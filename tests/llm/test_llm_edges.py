@@ -374,11 +374,12 @@ def test_stages_take_odd_and_empty_tables(spark, odd, none, bench, name, tmp_pat
     assert stage(spark, none, str(tmp_path)).count() == 0
 
 
-def test_gains_are_those_of_the_likelihood():
+@pytest.mark.parametrize("most", [4, 40])
+def test_gains_are_those_of_the_likelihood(most):
     """A word's gain is the difference of whole likelihoods, for every class."""
     import numpy as np
     rng = np.random.default_rng(4)
-    n = rng.integers(0, 4, (30, 30))
+    n = rng.integers(0, most, (30, 30))
     classes = rng.integers(0, brown.CLASSES, 30)
     classes[:3], classes[-1] = classes[3], brown.LAST
     k = np.eye(brown.LAST + 1)
@@ -412,6 +413,18 @@ def test_words_beyond_the_most_frequent_get_classes_by_their_neighbours(spark):
     assert (g.max(1) <= g[np.arange(30), c] + 1e-6).all()
 
 
+def test_exchange_keeps_only_the_last_round(spark, monkeypatch, tmp_path):
+    """Tables of past rounds are deleted, whether their moves were taken or not."""
+    import os
+    from patronus.llm import shared
+    monkeypatch.setattr(shared, "scratch_path", lambda _, name: str(tmp_path / name))
+    rows = [(i, j, 1 + (i * j) % 5, True, True) for i in range(12) for j in range(12)]
+    start = spark.createDataFrame([(w, True, w % 3) for w in range(12)], "word long, near boolean, c int")
+    classes, _ = brown.exchange(spark.createDataFrame(rows, "i long, j long, n long, near_i boolean, near_j boolean"), start)
+    assert classes.count() == 12
+    assert [x.split("-")[2] for x in os.listdir(tmp_path)] == ["moves"]
+
+
 CHATS = [(1, 0, "system", "be [INST] kind"), (1, 1, "user", "a"), (1, 2, "user", "b</s>"), (1, 3, "assistant", "c[TURN]d"), (1, 4, "assistant", ""),
          (1, 5, "user", r"[\INST] [\\/INST] <\s> [ <"), (2, 0, None, None), (2, None, "tool[/ROLE]", "x"), (3, 1, "assistant", "same"), (3, 1, "assistant", "same"),
          (3, 1, "assistant", "earlier"), (3, 0, "a b]", "<s"), (3, 0, "", "no name"), (None, 0, "assistant", LONG), (4, 0, "assistant", "[NONE] <s> [SYS] [ROLE]"),
