@@ -289,3 +289,25 @@ def test_many_categories_are_counted_not_collected(spark):
     assert (prep.mode, prep.kept, prep.has_rare, prep.onehot_cols) == ("big", ["big"], True, [C.RARE_BUCKET])
     got = df.select(prep.onehot_column().alias("c")).groupBy("c").count().collect()
     assert sorted((r["c"], r["count"]) for r in got if r["c"]) == [(C.RARE_BUCKET, 100_000)]
+
+
+def test_a_step_is_one_stage_and_adds_the_same_by_shuffle(spark, monkeypatch):
+    """Few rows make few tasks; a step plans nothing and needs no shuffle below ``DIRECT`` tasks."""
+    from patronus.operators import blocks as B
+    rows = spark.range(0, 500, 1, 4).select(F.col("id").alias("CustomerID"), (F.col("id") % 2).cast("int").alias("label"),
+                                            F.array(F.rand(1), F.rand(2)).alias("x")).checkpoint(eager=True)
+    assert B.kept(B.blocks([rows])).getNumPartitions() == 1
+
+    def add(block, held):
+        held[block["plan"]] = held.get(block["plan"], 0) + block["x"].reshape(-1, 2).sum(0)
+    monkeypatch.setattr(B, "TASK_ROWS", 100)
+    data, sc = B.kept(B.blocks([rows, rows.where("label = 1")])), spark.sparkContext
+    assert data.getNumPartitions() == 4
+    sc.setJobGroup("one-step", "one step")
+    direct = B.sums(data, add)
+    (job,) = sc.statusTracker().getJobIdsForGroup("one-step")
+    assert len(sc.statusTracker().getJobInfo(job).stageIds) == 1
+    monkeypatch.setattr(B, "DIRECT", 1)
+    shuffled = B.sums(data, add)
+    assert direct.keys() == shuffled.keys() == {0, 1} and all((direct[k] == shuffled[k]).all() for k in direct)
+    data.unpersist()
