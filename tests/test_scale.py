@@ -70,3 +70,17 @@ def test_explanation_when_all_models_overfit(spark):
                                     "cv_accuracy double, generalization_gap double, `order` int")
     r = CMP.explanation(m).first()
     assert r["clean_models"] == "" and "prefer Random Forest" in r["overfitting_analysis"]
+
+
+def test_large_line_items_are_dealt_by_their_count(spark, sf_small, monkeypatch):
+    """Beyond ``ROWS_PER_TASK`` rows a task the shuffles' tasks follow the rows; the customers stay the same."""
+    t = tables(spark, sf_small)
+    assert rfm.order_tasks(t) is None
+    before = sorted(map(tuple, rfm.customer_base(t).collect()))
+    monkeypatch.setattr(rfm, "ROWS_PER_TASK", 500)
+    tasks = rfm.order_tasks(t)
+    assert tasks >= t.read("lineitem").count() / 500 > spark.sparkContext.defaultParallelism
+    base = rfm.customer_base(t)
+    plan = base._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {tasks}), REPARTITION_BY_NUM") == 2
+    assert sorted(map(tuple, base.collect())) == before and len(before) > 0
