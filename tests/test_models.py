@@ -2,14 +2,18 @@
 load round trip and score the same; k-NN votes follow the distance rule."""
 
 import os
+import re
 import tempfile
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
 
 from patronus.operators import training as T
+from patronus.operators import knn as KN
 from patronus.operators.knn import RefCells, knn, knn_vote, leaves, searched_share, split_tree
 from patronus.operators.boosting import Booster, fit_boosters
 from patronus.operators.logistic import fit_logreg_plans
@@ -148,6 +152,37 @@ def test_knn_matches_brute_force(spark, slab_rows, exclude_self):
         assert mine == order, q
 
 
+def test_knn_block_memory_and_bound():
+    """A group of two full chunks is searched in a few MB; rows beyond a query's bound stay out,
+    those exactly at it do not."""
+    rng = np.random.default_rng(13)
+    x = rng.integers(0, 500, (4096, 4)).astype(float)
+    q = pd.DataFrame({"qid": np.arange(4096), "qx": list(x), "rk": np.inf})
+    r = pd.DataFrame({"rid": np.arange(4096), "rx": list(x), "rlabel": 0})
+    tracemalloc.start()
+    got = KN._local_topk(5, False)(q, r)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 5 * 4096 and peak < 40e6, peak
+    third = got.groupby("qid").dist.nth(2).to_numpy()
+    near = KN._local_topk(5, False)(q.assign(rk=third), r)
+    limit = dict(zip(q.qid, third, strict=True))
+    assert 3 * 4096 <= len(near) < len(got) and (near.dist <= near.qid.map(limit) * (1 + 1e-9)).all()
+
+
+def test_knn_tasks_follow_the_rows(spark, monkeypatch):
+    """The shuffle into cell groups has a task per ``TASK_ROWS`` rows, not one per so many MB."""
+    rng = np.random.default_rng(17)
+    rows = spark.createDataFrame([(i, rng.normal(size=3).tolist(), i % 2) for i in range(3000)], "id long, x array<double>, label int").coalesce(2)
+    usual = sorted(map(tuple, knn(rows, rows, 4, "id", "id", slab_rows=128).collect()))
+    monkeypatch.setattr(KN, "TASK_ROWS", 100)
+    few = knn(rows, rows, 4, "id", "id", slab_rows=128)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    tasks = {int(t) for t in re.findall(r"hashpartitioning\([^)]*s#[^)]*, (\d+)\), REPARTITION_BY_NUM", plan)}
+    assert len(tasks) == 1 and tasks.pop() > 20
+    assert sorted(map(tuple, few.collect())) == usual
+
+
 @pytest.fixture(scope="module")
 def two_clouds(spark):
     rng = np.random.default_rng(11)
