@@ -13,6 +13,7 @@ from patronus import config as C
 from patronus.operators import training as T
 from patronus.operators.boosting import Booster, fit_boosters
 from patronus.operators.models import fit_plans, scorer_of
+from patronus.plans import models as PM
 from patronus.plans.training import training
 from patronus.streaming.scoring import feature_schema, score_with_model
 
@@ -85,3 +86,15 @@ def test_a_fresh_session_loads_the_pipeline(spark, plan, customers, tmp_path):
     fresh = {int(k): v for k, v in json.loads(out.split("SCORES")[1]).items()}
     here = T.load_pipeline(path).transform(spark.read.parquet(customers)).select("CustomerID", "score").collect()
     assert fresh == {r.CustomerID: r.score for r in here}
+
+
+def test_saved_queries_make_the_training_frame_once(spark, sf_small, monkeypatch):
+    """The run's own frame is split, saved and evaluated; it is not computed a second time."""
+    made, build, train = [], T.build_plans, T.train_models
+    monkeypatch.setattr(PM, "training", lambda *a: made.append(training(*a)) or made[-1])
+    monkeypatch.setattr(PM, "_RUNS", {})
+    monkeypatch.setattr(T, "build_plans", lambda frame: build(frame, cv=False))
+    monkeypatch.setattr(T, "train_models", lambda plans: train(plans, ["Decision Tree"]))
+    r = PM.q_saved_split_info(spark, sf_small).first()
+    assert len(made) == 1 and r.best_model == "Decision Tree"
+    assert r.total_samples == made[0].count() and r.test_samples == made[0].where("split = 'test'").count()
