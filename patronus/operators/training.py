@@ -6,11 +6,12 @@ plans (fit = train rows outside fold f; evaluate the fold as 'cv_test' and the f
 as 'cv_train').  All plans' preparation comes from one set of per-fold statistics
 (``features``) and is a projection of the one written frame; only the over-sampled fit
 rows are written again.  Boosting and logistic regression fit all plans in the same
-jobs, the others plan by plan from a small thread pool.
+jobs, the others plan by plan from a small thread pool; ``SIDE_BY_SIDE`` models are
+trained at a time.
 
 ``train_time`` is the span the reference times for one model: preparation and SMOTE of
 the six plans (done once for all models, and counted in each one's time), the six fits
-and the scoring.
+and the scoring, while other models are trained beside it.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ from patronus.operators.pipeline import pipeline_model, scorer
 from patronus.operators.smote import needs_smote, smote
 from patronus.sources.sinks import write_json_document, write_list_document
 
+SIDE_BY_SIDE = 3
+MANY_STEPS = ("XGBoost", "Gradient Boosting")
+
+
 @dataclass
 class Plan:
     name: str
@@ -95,14 +100,20 @@ def _predictions(model_name: str, model, plan: Plan) -> DataFrame:
 def train_models(plans: list[Plan], models: list[str] | None = None, workers: int = 6) -> TrainResult:
     models = models or list(C.MODEL_NAMES)
     spark = plans[0].fit.sparkSession
-    times, fitted, preds = {}, {}, []
-    for m in models:
+
+    def one(m: str) -> tuple[float, list, list[DataFrame]]:
         t0 = time.time()
         found = fit_plans(m, [p.fit for p in plans], workers)
         with ThreadPoolExecutor(max_workers=workers) as ex:
-            preds += ex.map(lambda x: _predictions(m, x[0], x[1]), zip(found, plans, strict=True))
-        times[m] = round(plans[0].seconds + time.time() - t0, 3)
-        fitted[m] = (found[0], plans[0])
+            out = list(ex.map(lambda x: _predictions(m, x[0], x[1]), zip(found, plans, strict=True)))
+        return round(plans[0].seconds + time.time() - t0, 3), found, out
+    # a fit is a chain of short jobs that fill few cores: some models at a time, those of most steps first
+    with ThreadPoolExecutor(max_workers=SIDE_BY_SIDE) as ex:
+        running = {m: ex.submit(one, m) for m in sorted(models, key=lambda m: m not in MANY_STEPS)}
+    done = {m: running[m].result() for m in models}
+    times = {m: done[m][0] for m in models}
+    fitted = {m: (done[m][1][0], plans[0]) for m in models}
+    preds = [p for m in models for p in done[m][2]]
     allp = preds[0]
     for p in preds[1:]:
         allp = allp.unionByName(p)

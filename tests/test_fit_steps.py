@@ -63,3 +63,25 @@ def test_best_split_of_all_features_at_once(how):
         got = B.best_split(hist, cols, starts, how)
         assert (got is None) == (best is None)
         assert got is None or (got[:3] == best[:3] and (got[3] == best[3]).all())
+
+
+def test_models_are_trained_side_by_side(spark, monkeypatch):
+    """Two fits run at the same time; results keep the order asked for."""
+    from threading import Barrier
+    from types import SimpleNamespace
+
+    from patronus.operators import training as T
+    both, asked = Barrier(2, timeout=60), ["Logistic Regression", "XGBoost"]
+
+    class Model:
+        featureImportances = None
+
+    def fit(name, fits, workers):
+        both.wait()
+        return [Model()]
+    one = spark.createDataFrame([(1, 1, 1, 0.9), (2, 0, 0, 0.2)], "CustomerID long, label int, prediction int, score double")
+    monkeypatch.setattr(T, "fit_plans", fit)
+    monkeypatch.setattr(T, "_predictions", lambda m, model, plan: one.select(
+        F.lit(m).alias("model"), F.lit("test").alias("split"), F.lit(-1).alias("fold"), "CustomerID", "label", "prediction", "score"))
+    res = T.train_models([T.Plan("final", -1, one, [], SimpleNamespace(feature_names=[]))], asked)
+    assert list(res.train_time) == asked and [r["model"] for r in res.predictions.collect()] == ["Logistic Regression"] * 2 + ["XGBoost"] * 2
