@@ -225,6 +225,43 @@ def test_jaccard_chains_copies_and_shared_passages(spark):
     assert {r["doc"]: r["component"] for r in jaccard.near_duplicates(df).collect()} == comp
 
 
+def test_shared_signatures_come_with_their_ends():
+    """Runs that cross batches, repeated rows, common signatures (salt > 0)."""
+    import numpy as np
+    import pyarrow as pa
+    rows = sorted({(1, 0, 5)} | {(2, 0, i) for i in range(-9, 9, 2)} | {(3, 4, i) for i in range(5)} | {(4, 2, 7), (5, 0, 1), (5, 0, 3)})
+    rows = sorted(rows + rows[::3])
+    want = {(2, i, -9, 7, 9) for i in range(-9, 9, 2)} | {(3, i, None, None, None) for i in range(5)} | {(4, 7, None, None, None), (5, 1, 1, 3, 2), (5, 3, 1, 3, 2)}
+    for size in (1, 2, 5, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(np.array(c)) for c in (sig, ident, salt)], names=["sig", "id", "salt"])
+                   for sig, salt, ident in (zip(*rows[i:i + size], strict=True) for i in range(0, len(rows), size))]
+        got = [tuple(r.values()) for b in jaccard._shared_only(iter(batches)) for r in b.to_pylist()]
+        assert len(got) == len(want) and set(got) == want, size
+
+
+def test_second_round_in_chunks_or_whole_finds_the_same_pairs(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64))
+    sets = [(i, np.unique(np.concatenate([base[rng.random(len(base)) < 0.93], rng.integers(0, 1 << 63, 3).astype(np.uint64)]))) for i in range(30)]
+    sketches = spark.createDataFrame([(i, len(x), bytearray(jaccard.wide_sketch(x).tobytes())) for i, x in sets], "id long, n long, bits binary")
+    rest = spark.createDataFrame([(0, i, 0 if i % 4 == 0 else i) for i in range(30)], "main long, id long, label long")
+    pairs = [{(r["a"], r["b"]) for r in jaccard.across(rest, sketches, chunk=c).collect()} for c in (4, 4096)]
+    assert pairs[0] == pairs[1]
+    need = {(a, b) for a, x in sets for b, y in sets if a < b and (a % 4 or b % 4)
+            and 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y))}
+    assert need and need <= pairs[0]
+
+
+def test_one_per_group_joins_only_rows_it_may_drop(spark):
+    """Rows that surely stay are told by a bitmap; no join has them."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, " ".join(f"d{i}x{k}" for k in range(30))) for i in range(50)] + [(100, text), (101, text)]
+    got = jaccard.one_per_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert ids(got, "doc_id") == [*range(50), 100]
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_every_similar_pair_shares_a_signature():
     import numpy as np
     rng = np.random.default_rng(3)
