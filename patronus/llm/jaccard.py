@@ -345,14 +345,15 @@ def across(rest: DataFrame, sketches: DataFrame, chunk: int = 4096) -> DataFrame
     counts = rest.groupBy("main").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label") != F.col("main")).alias("outer"))
     size = lambda c: F.greatest(F.ceil(F.col(c) / chunk), F.lit(1)).cast("int")
     counts = counts.select(F.col("main").alias("key"), size("outer").alias("I"), size("rows").alias("J"))
-    rows = rest.join(sketches, "id").join(counts, F.col("main") == F.col("key")).select(
-        "key", "id", "label", (F.col("label") == F.col("main")).alias("main"), "n", "bits", "I", "J")
+    # dealt out and written before the sketches come: only the last shuffle has these
+    rows = written(rest.join(counts, F.col("main") == F.col("key")).select(
+        "key", "id", "label", (F.col("label") == F.col("main")).alias("main"), "I", "J"), "jaccard-rows")
     of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     whole = (F.col("I") == 1) & (F.col("J") == 1)
-    outer = rows.where(~F.col("main") & ~whole).select("key", of("I").alias("i"), all_of("J").alias("j"), "id", "label", "n", "bits")
-    every = rows.select(F.col("key").alias("key2"), all_of("I").alias("i2"), of("J").alias("j2"), *[
-        F.col(c).alias(c) for c in ("id", "label", "main", "n", "bits")], whole.alias("whole"))
+    outer = rows.where(~F.col("main") & ~whole).select("key", of("I").alias("i"), all_of("J").alias("j"), "id", "label").join(sketches, "id")
+    every = rows.select(F.col("key").alias("key2"), all_of("I").alias("i2"), of("J").alias("j2"), "id", "label", "main", whole.alias("whole")).join(sketches, "id")
+    every = every.select(*[F.col(c).alias(c) for c in every.columns])
     met = outer.groupBy("key", "i", "j").cogroup(every.groupBy("key2", "i2", "j2")).applyInArrow(_close_pairs, "a long, b long")
     return met.distinct()
 
