@@ -85,3 +85,39 @@ def test_models_are_trained_side_by_side(spark, monkeypatch):
         F.lit(m).alias("model"), F.lit("test").alias("split"), F.lit(-1).alias("fold"), "CustomerID", "label", "prediction", "score"))
     res = T.train_models([T.Plan("final", -1, one, [], SimpleNamespace(feature_names=[]))], asked)
     assert list(res.train_time) == asked and [r["model"] for r in res.predictions.collect()] == ["Logistic Regression"] * 2 + ["XGBoost"] * 2
+
+
+@pytest.mark.parametrize("how", [B.Booster(rounds=23, min_child_weight=0.5), B.Booster("friedman", rounds=23, depth=2, min_leaf=3, colsample=1.0)])
+def test_plans_of_bounded_size_are_grown_in_a_task_each(spark, monkeypatch, how):
+    """One job without a stage per level, and the models of the level-by-level jobs; the last columns are one-hot."""
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=(400, 2)), np.eye(4)[rng.integers(0, 4, 400)][:, :3]])
+    y = (x[:, 0] + x[:, 2] - x[:, 3] + rng.normal(size=400) > 0).astype(int)
+    rows = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(400)], "CustomerID long, label int, x array<double>").repartition(3).checkpoint()
+    fits, steps = [rows, rows.where("CustomerID % 3 > 0")], []
+    of_steps = B.sums
+    monkeypatch.setattr(B, "sums", lambda *a: steps.append(1) or of_steps(*a))
+    alone = B.fit_boosters(fits, how)
+    assert len(steps) == 1  # the counts of rows
+    monkeypatch.setattr(B, "LOCAL_ROWS", 100)
+    together = B.fit_boosters(fits, how)
+    assert len(steps) > how.rounds
+    for a, b in zip(alone, together, strict=True):
+        assert np.allclose(a.probabilities(x), b.probabilities(x), atol=1e-9)
+        assert np.allclose(a.featureImportances.toArray(), b.featureImportances.toArray())
+
+
+def test_one_hot_columns_are_summed_like_the_others():
+    """Also where a row has two of them set, so that no one number a row stands for them."""
+    rng = np.random.default_rng(6)
+    edges = [[0.0, 1.0, 2.0], [0.5], [], [0.5], [0.5]]
+    one = np.eye(4)[rng.integers(0, 4, 50)][:, :3].T.astype(np.uint8)
+    for sets in (one, np.maximum(one, one[::-1])):
+        bins = np.vstack([rng.integers(0, 4, 50), sets[0], np.zeros(50), sets[1:]]).astype(np.uint8)
+        g, h, rows = rng.normal(size=50), rng.random(50), np.arange(0, 50, 2)
+        cols = np.array([0, 2, 3, 4])
+        starts = np.cumsum([0, *(len(edges[f]) + 1 for f in cols)])
+        got = B.Features(bins, edges).sums(rows, g[rows], h[rows], cols, starts)
+        for f, a, e in zip(cols, starts[:-1], starts[1:], strict=True):
+            want = [[w[rows][bins[f][rows] == b].sum() for b in range(e - a)] for w in (g, h, np.ones(50))]
+            assert np.allclose(got[:, a:e], want)
