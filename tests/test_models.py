@@ -346,3 +346,40 @@ def test_a_step_is_one_stage_and_adds_the_same_by_shuffle(spark, monkeypatch):
     shuffled = B.sums(data, add)
     assert direct.keys() == shuffled.keys() == {0, 1} and all((direct[k] == shuffled[k]).all() for k in direct)
     data.unpersist()
+
+
+@pytest.fixture(scope="module")
+def towns(spark):
+    """Rows with a one-hot column per town and four numbers; some are between two towns, some come twice."""
+    rng = np.random.default_rng(23)
+    x = np.column_stack([rng.normal(size=(4000, 4)), np.eye(9)[rng.integers(0, 9, 4000)][:, 1:]])
+    x[:40, 4:] = (x[:40, 4:] + x[40:80, 4:]) / 2
+    x[300:340] = x[340:380]
+    return x, spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(x.tolist())], "id long, x array<double>, label int").coalesce(4).checkpoint()
+
+
+def test_knn_searches_one_town(spark, towns):
+    """Cells hold one combination of two-valued coordinates; the neighbours are those of brute force,
+    also for a combination and for values that no reference row has."""
+    x, ref = towns
+    ask = np.vstack([x[:60], x[1000:1100], np.r_[9.0, 0, 0, 0, np.ones(8)], np.full(12, 0.5)])
+    q = spark.createDataFrame(list(enumerate(ask.tolist())), "id long, x array<double>")
+    cells = RefCells(ref, "id", slab_rows=64)
+    share = searched_share(q.where("id >= 60 and id < 160"), cells, 5, "id")
+    assert share < 0.15, share
+    d = np.sqrt(((ask[:, None] - x[None]) ** 2).sum(-1))
+    want = [sorted(range(4000), key=lambda j: (d[i, j], j))[:5] for i in range(len(ask))]
+    got = knn(q, None, 5, "id", "id", prepared=cells).orderBy("qid", "rank").collect()
+    assert [r.rid for r in got] == sum(want, [])
+
+
+@pytest.mark.parametrize("slab_rows", [64, 10**6])
+def test_knn_of_reference_rows_takes_those_at_distance_zero_alone(spark, towns, slab_rows):
+    """Less is searched and kept, and the vote is that of all neighbours."""
+    _, ref = towns
+    q = ref.select("id", "x").where("id < 400").unionByName(ref.where("id < 50").selectExpr("id + 10000 as id", "transform(x, v -> v + 0.01) as x"))
+    cells = RefCells(ref, "id", slab_rows=slab_rows)
+    few, all_ = (knn(q, None, 5, "id", "id", prepared=cells, zero_alone=z) for z in (True, False))
+    assert few.where("qid < 400").count() == 480 and all_.count() == 5 * 450 and few.where("qid >= 10000").count() == 250
+    votes = [{r.qid: (r.score, r.prediction) for r in knn_vote(n).collect()} for n in (few, all_)]
+    assert votes[0] == votes[1]
