@@ -121,3 +121,15 @@ def test_one_hot_columns_are_summed_like_the_others():
         for f, a, e in zip(cols, starts[:-1], starts[1:], strict=True):
             want = [[w[rows][bins[f][rows] == b].sum() for b in range(e - a)] for w in (g, h, np.ones(50))]
             assert np.allclose(got[:, a:e], want)
+
+
+def test_forest_keeps_node_ids(spark):
+    """The forest is the one of rows that walk all trees from their roots at every level."""
+    from patronus.operators import models as MD
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 3))
+    rows = spark.createDataFrame([(i, int(x[i, 0] + x[i, 1] > 0), x[i].tolist()) for i in range(300)], "CustomerID long, label int, x array<double>").coalesce(2)
+    got = MD.fit_forest(rows)
+    assert got.getOrDefault("cacheNodeIds")
+    plain = MD.RandomForestClassifier(numTrees=160, maxDepth=8, minInstancesPerNode=10, featureSubsetStrategy="sqrt", maxBins=256, seed=MD.C.SEED, labelCol="label")
+    assert got.toDebugString.split("\n", 1)[1] == plain.fit(MD._vec(rows)).toDebugString.split("\n", 1)[1]
